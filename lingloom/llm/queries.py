@@ -18,6 +18,16 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.ratings_of_labels(table(spark, sf_dir, "labels")))
+    tail = lambda k: F.get("tails", F.lit(k - 1))
+    scored = quality.grade_documents(docs, model)
+    return scored.select("doc_id", "expected_grade", tail(1).alias("p_good"), tail(2).alias("p_clean"), F.coalesce(tail(1) >= 0.4, F.lit(True)).alias("keep"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -26,6 +36,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained_items
+
+    found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.round("containment", 6))
+
+
+#: Whole texts, 5-word shingles; the items are short, so all of their shingles are looked up.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i : i + least(len(w), 5) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS s FROM d, (SELECT DISTINCT n FROM bs)),
+size AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+hit AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (n, s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment FROM hit JOIN size USING (item_id) WHERE 100 * n_found >= 80 * n_shingles
+"""
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -41,9 +70,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op6_near_dup": op6_near_dup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
