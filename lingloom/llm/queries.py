@@ -55,6 +55,29 @@ SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS c
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup as L
+
+    pages = table(spark, sf_dir, "pages").withColumn("lines", L.html_lines(F.col("html")))
+    out = L.drop_boilerplate(pages, L.host_of(F.col("url")), "page_id", F.col("lines"), "kept")
+    text = F.array_join("kept", "\n")
+    return out.select("page_id", L.host_of(F.col("url")).alias("host"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM pages),
+t AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
+c AS (SELECT host, line, count(*) AS n_pages FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+bad AS (SELECT host, line FROM c JOIN t USING (host) WHERE n_pages >= 3 AND n_pages > 0.1 * host_pages),
+byhost AS (SELECT host, list(line) AS bad_lines FROM bad GROUP BY host),
+k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad_lines, []), x)) AS kept FROM p LEFT JOIN byhost USING (host))
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
+"""
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -71,10 +94,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op6_near_dup": op6_near_dup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL}
