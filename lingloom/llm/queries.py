@@ -94,6 +94,16 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold != 1))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -111,6 +121,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_near_dup": op6_near_dup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_topk_search": op8_topk_search,
