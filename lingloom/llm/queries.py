@@ -94,6 +94,14 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    docs = table(spark, sf_dir, "documents")
+    files = docs.where("doc_id is not null").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return scan_licenses(files).withColumn("doc_id", F.regexp_extract("path", "([^/]*)$", 1).cast("long"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -121,6 +129,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_near_dup": op6_near_dup,
     "op7_suffix_dedup": op7_suffix_dedup,
