@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries_checks, queries_flow, queries_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = queries_text.QUERIES | queries_flow.QUERIES | queries_checks.QUERIES
+ORACLE_SQL: dict[str, str] = queries_text.ORACLE_SQL | queries_flow.ORACLE_SQL | queries_checks.ORACLE_SQL
