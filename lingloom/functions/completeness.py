@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,29 @@ from .text import NUMBER, SCRIPT_RANGES, WS, half_up, trimmed
 
 #: Openings of a reply that talks about the task instead of doing it.
 CONVERSATIONAL = r"(?i)^(unfortunately|there is no text|here is the translation|i cannot translate|as an ai|note:)"
-_STRIPPED = ["__TAG_[0-9]+__", "__ENTITY_[0-9]+__", rf"https?://[^{WS}]+|www\.[^{WS}]+", rf"[^{WS}]+@[^{WS}]+\.[^{WS}]+", NUMBER]
+#: What is taken out, each with a cheap test that most texts fail.
+_STRIPPED = [
+    ("__TAG_[0-9]+__", lambda x: F.contains(x, F.lit("__TAG_"))),
+    ("__ENTITY_[0-9]+__", lambda x: F.contains(x, F.lit("__ENTITY_"))),
+    (rf"https?://[^{WS}]+|www\.[^{WS}]+", lambda x: F.contains(x, F.lit("://")) | F.contains(x, F.lit("www."))),
+    (rf"[^{WS}]+@[^{WS}]+\.[^{WS}]+", lambda x: F.contains(x, F.lit("@"))),
+    (NUMBER, lambda x: x.rlike("[0-9]")),
+]
+
+
+def once(c: Column, f) -> Column:
+    """f of an expression that is evaluated once, however often f refers to it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
+def _without(pattern: str, may, x: Column) -> Column:
+    return F.when(may(x), F.regexp_replace(x, pattern, "")).otherwise(x)
 
 
 def cleaned(c: Column) -> Column:
     """Letters and white space of a text: placeholders, URLs, e-mails and numbers taken out, other signs blanked."""
-    for pattern in _STRIPPED:
-        c = F.regexp_replace(c, pattern, "")
+    for pattern, may in _STRIPPED:
+        c = once(c, partial(_without, pattern, may))
     return trimmed(F.regexp_replace(c, rf"[^\p{{L}}{WS}]", " "))
 
 

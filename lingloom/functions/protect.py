@@ -28,17 +28,13 @@ def tag_pattern(names: str = TAG_NAMES) -> str:
     return f"<(?:{names})[^>]*(?:/>|>(?:{content}</(?:{names})>)?)"
 
 
-def _numbered(count: Column, kind: str, offset: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.concat(F.lit(f"__{kind}_"), (k + offset).cast("string"), F.lit("__")))
-
-
 def replace_matches(text: Column, pattern: str, kind: str, offset: Column) -> tuple[Column, Column]:
     """(text with placeholders, array of (token, original, type)) for the matches of a pattern, numbered from offset + 1."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    names = _numbered(F.size(found), kind, offset)
-    tokens = F.transform(found, lambda m, k: F.struct(F.get(names, k).alias("token"), m.alias("original"), F.lit(kind.lower()).alias("type")))
-    joined = F.array_join(F.zip_with(gaps, F.transform(tokens, lambda t: t["token"]), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    name = lambda k: F.concat(F.lit(f"__{kind}_"), (k + 1 + offset).cast("string"), F.lit("__"))
+    tokens = F.transform(found, lambda m, k: F.struct(name(k).alias("token"), m.alias("original"), F.lit(kind.lower()).alias("type")))
+    joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda m, k: name(k)), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
     return F.when(F.size(found) > 0, joined).otherwise(text), tokens
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.completeness import with_completeness
+from ..functions.completeness import held, with_completeness
 from ..functions.protect import find_tokens
 from ..functions.text import failure_hint, is_blank, numbers
-from .segments import last_by_key
 
 KEYS = ["doc_id", "segment_id"]
 
@@ -26,13 +25,19 @@ def _issue(no: int, kind: str, message: Column) -> Column:
 
 
 def checked(segments: DataFrame, results: DataFrame) -> DataFrame:
-    """results with source, completeness, `issues` (one struct for each failed check) and `warnings`.
+    """results with source, completeness, `issues` (one struct for each failed check) and `warnings`, and a row with
+    `missing` set for each segment without a result.
 
-    segments: doc_id, segment_id, source_text, source_lang, target_lang; of repeated ids the last row counts (by
-    seg_index). Orphan results keep a null source and get the placeholder checks only.
+    segments: doc_id, segment_id, seg_index, source_text, source_lang, target_lang; of repeated ids the last row counts
+    (by seg_index), n_segments says how many there were. Orphan results keep a null source and get the placeholder
+    checks only. One full join by segment; result_no numbers the results of a segment on the join's own partitions.
     """
-    sources = last_by_key(segments.select(*KEYS, "seg_index", "source_text", "source_lang", "target_lang"), KEYS, "seg_index").drop("seg_index")
-    df = with_completeness(results.drop("source_text", "source_lang", "target_lang").join(sources, KEYS, "left"), "source_text", "translated_text", "source_lang", "target_lang")
+    sources = segments.groupBy(*KEYS).agg(F.max_by(F.struct(F.col("seg_index").alias("s_index"), "source_text", "source_lang", "target_lang"), "seg_index").alias("s"), F.count("*").alias("n_segments"))
+    order = Window.partitionBy(*KEYS).orderBy("seg_index")
+    own = results.drop("source_text", "source_lang", "target_lang").withColumn("result_no", F.row_number().over(order))
+    joined = own.join(sources.select(*KEYS, "s.*", "n_segments"), KEYS, "full").withColumn("missing", F.col("result_no").isNull())
+    joined = joined.withColumn("seg_index", F.coalesce("seg_index", "s_index")).drop("s_index")
+    df = with_completeness(joined, "source_text", "translated_text", "source_lang", "target_lang")
     done, has = F.col("status") == "completed", F.col("source_text").isNotNull()
     worded = has & ~is_blank(F.col("source_text"))
     raw = F.coalesce("translated_raw", F.lit(""))
@@ -40,6 +45,7 @@ def checked(segments: DataFrame, results: DataFrame) -> DataFrame:
     verdict = F.col("completeness.status")
     issues = F.filter(
         F.array(
+            F.when(F.col("missing"), _issue(-1, "validation_error", F.lit("Segment missing from translation results"))),
             F.when(F.col("status") == "failed", _issue(0, "api_error", F.coalesce("error_message", F.lit("Translation failed")))),
             F.when(done & worded & is_blank(F.col("translated_text")), _issue(4, "validation_error", F.lit("Empty translation output for non-empty source segment"))),
             F.when(done & (F.size(tags) > 0), _issue(5, "tag_error", F.concat(F.lit("Unrestored tag tokens: "), F.array_join(tags, ", ")))),
@@ -52,14 +58,12 @@ def checked(segments: DataFrame, results: DataFrame) -> DataFrame:
     own = F.coalesce("validation_warnings", F.array().cast("array<string>"))
     texts = F.array_distinct(F.concat(F.coalesce(F.transform(lost, lambda n: F.concat(F.lit('number "'), n, F.lit('" from source not found in translation'))), F.array().cast("array<string>")), F.when(done & worded & (verdict == "warning"), F.array("completeness.reason")).otherwise(F.array().cast("array<string>")), own))
     warnings = F.transform(texts, lambda w: F.concat(F.lit("Segment "), F.col("segment_id"), F.lit(": "), w))
-    return df.withColumns({"issues": issues, "warnings": warnings, "missing_numbers": F.coalesce(lost, F.array().cast("array<string>"))})
+    return held(df, issues=issues, warnings=F.when(F.col("missing"), F.array().cast("array<string>")).otherwise(warnings), missing_numbers=F.coalesce(lost, F.array().cast("array<string>")))
 
 
-def issues_of(segments: DataFrame, results: DataFrame, checked_rows: DataFrame | None = None) -> DataFrame:
-    """(doc_id, segment_id, seg_index, check_no, error_type, message): missing segments first, then each failed check."""
-    rows = checked_rows if checked_rows is not None else checked(segments, results)
-    lost = missing_segments(segments, results).select(*KEYS, "seg_index", F.lit(-1).alias("check_no"), F.lit("validation_error").alias("error_type"), F.lit("Segment missing from translation results").alias("message"))
-    return lost.unionByName(rows.select(*KEYS, "seg_index", F.explode("issues").alias("i")).select(*KEYS, "seg_index", "i.*"))
+def issues_of(segments: DataFrame, results: DataFrame) -> DataFrame:
+    """(doc_id, segment_id, seg_index, check_no, error_type, message) of missing segments (check_no -1) and failed checks."""
+    return checked(segments, results).select(*KEYS, "seg_index", F.explode("issues").alias("i")).select(*KEYS, "seg_index", "i.*")
 
 
 def first_issue(issues: DataFrame) -> DataFrame:
@@ -84,14 +88,18 @@ def job_counts(results: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def validation_report(segments: DataFrame, results: DataFrame) -> DataFrame:
     """A row for each document: valid, segment_count_match, all_segments_present, failed segments and ordered warnings."""
-    rows = checked(segments, results)
-    failed = first_issue(issues_of(segments, results, rows)).groupBy("doc_id").agg(F.count("*").alias("failed_segments"))
-    n_source = segments.groupBy("doc_id").agg(F.count("*").alias("n_source"))
-    per = rows.groupBy("doc_id").agg(F.count("*").alias("n_results"), F.array_sort(F.collect_list(F.when(F.size("warnings") > 0, F.struct("seg_index", "warnings")))).alias("w"))
-    lost = missing_segments(segments, results).groupBy("doc_id").agg(F.count("*").alias("n_missing"))
-    z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    all_rows = n_source.join(per, "doc_id", "full").join(lost, "doc_id", "left").join(failed, "doc_id", "left")
-    out = all_rows.select("doc_id", z("n_source").alias("n_source"), z("n_results").alias("n_results"), z("n_missing").alias("n_missing"), z("failed_segments").alias("failed_segments"), F.coalesce(F.flatten(F.transform("w", lambda x: x["warnings"])), F.array().cast("array<string>")).alias("warnings"))
+    first = F.col("missing") | (F.col("result_no") == 1)
+    failed = F.max(F.size("issues") > 0).over(Window.partitionBy(*KEYS))
+    rows = checked(segments, results).withColumn("failed", failed)
+    n = lambda c: F.count_if(c).alias
+    out = rows.groupBy("doc_id").agg(
+        F.coalesce(F.sum(F.when(first, F.col("n_segments"))), F.lit(0)).cast("long").alias("n_source"),
+        n(~F.col("missing"))("n_results"),
+        n(F.col("missing"))("n_missing"),
+        n(first & F.col("failed"))("failed_segments"),
+        F.array_sort(F.collect_list(F.when(F.size("warnings") > 0, F.struct("seg_index", "warnings")))).alias("w"),
+    )
+    out = out.withColumn("warnings", F.flatten(F.transform("w", lambda x: x["warnings"]))).drop("w")
     out = out.withColumn("segment_count_match", F.col("n_source") == F.col("n_results")).withColumn("all_segments_present", F.col("n_missing") == 0)
     return out.withColumn("valid", F.col("segment_count_match") & F.col("all_segments_present") & (F.col("failed_segments") == 0))
 

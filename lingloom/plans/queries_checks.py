@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.completeness import cleaned, script_count, with_completeness
+from ..functions.completeness import cleaned, held, script_count, with_completeness
 from ..functions.protect import find_tokens
 from ..functions.text import SCRIPT_RANGES, WS
 from ..operators import validate
@@ -102,7 +102,7 @@ def v9_u4_missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, seg_index, len(list_filter(string_split(lower(source_text), ' '), lambda w: list_contains(string_split(lower(target_text), ' '), w))) AS n_common FROM pair", "pair")
 def u5_word_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = F.split(F.lower("source_text"), " ", -1), F.split(F.lower("target_text"), " ", -1)
-    rows = V.pair(spark, sf_dir).select("doc_id", "seg_index", s.alias("s"), t.alias("t"))
+    rows = held(V.pair(spark, sf_dir), s=s, t=F.array_distinct(t))
     return rows.select("doc_id", F.col("seg_index").cast("long").alias("seg_index"), F.size(F.filter("s", lambda w: F.array_contains("t", w))).cast("long").alias("n_common"))
 
 

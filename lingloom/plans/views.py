@@ -27,16 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. A table of fewer files than cores is dealt out once, before work on its texts; any table of
+    a size that matters has more partitions than that and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def seg_doc_of(documents: DataFrame) -> DataFrame:
     return segments_from_text(documents, "text", ["doc_id", "lang"])
 
 
 def seg_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seg_doc_of(table(spark, sf_dir, "documents"))
+    return seg_doc_of(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
 
 
 def seg_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments_from_pattern(table(spark, sf_dir, "pages"), "html", PARAGRAPH, ["page_id", "url"])
+    return segments_from_pattern(spread(table(spark, sf_dir, "pages")), "html", PARAGRAPH, ["page_id", "url"])
 
 
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
