@@ -18,6 +18,7 @@ from lingloom.llm.queries import bpe_path, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on rated ones of docs, does not reject."""
+    jobs.small_batches(spark)
     model = quality.fit(docs, quality.ratings_of_labels(table(spark, sf_dir, "labels")))
     return quality.select_documents(docs, model, grade=1, least=0.4)
 

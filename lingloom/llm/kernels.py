@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  #: texts are worked on in chunks of this size; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  #: texts are worked on in chunks of this size; a longer text is a chunk of its own
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
