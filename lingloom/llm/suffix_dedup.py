@@ -11,6 +11,10 @@ A suffix array of a whole corpus fits no task, so the work is cut by content:
    are trimmed to what they share with another one, and equal strings fold again.
 4. A suffix array over the remaining strings puts equal windows next to each other; of each such class all windows
    but the earliest are repeated.
+
+An anchor with over HOT_CONTEXTS differing contexts (the end of a line that a third of the documents share) would
+fill a task. Its windows are hashed one by one instead and meet their earliest equal in a grouped minimum, which
+combines before the shuffle, and a join: the exact way for the rest.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from .kernels import mix, powers, text_chunks
 
 GRAM = 24  #: bytes of an anchor
 FOLD_BYTES = 16 << 20  #: text of which a task folds equal contexts before the shuffle
+HOT_CONTEXTS = 50_000  #: differing contexts of one anchor that one task takes
 BLOCK = 60_000  #: symbols of one suffix array; strings under one anchor are never parted
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -309,6 +314,34 @@ def _repeats_of(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, lo long, hi long")
 
 
+def _repeats_of_hot(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(id, lo, hi) like _repeats_of, for contexts under very frequent anchors, window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                bodies = part.column(4).to_pylist()
+                size = np.array([len(b) for b in bodies])
+                raw = np.frombuffer(b"".join(bodies), np.uint8)
+                p, q = powers(len(raw))
+                total = np.zeros(len(raw) + 1, np.uint64)
+                np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=total[1:])
+                count = np.maximum(size - length + 1, 0)
+                row = np.repeat(np.arange(len(size)), count)
+                off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = (np.cumsum(size) - size)[row] + off
+                w = mix(_span_hash(total, q, at, at + length))
+                h, ids = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                start = (part.column(2).to_numpy() - part.column(3).to_numpy())[row] + off
+                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(w.view(np.int64)), pa.array(ids[row]), pa.array(start)], names=["h", "w", "id", "start"])
+
+    windows = contexts.mapInArrow(run, "h long, w long, id long, start long")
+    first = windows.groupBy("h", "w").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("h", "w", "first")
+    later = windows.join(first, ["h", "w"]).where(F.struct("id", "start") != F.col("first"))
+    return later.select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+
+
 def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM) -> DataFrame:
     """(id, lo, hi): byte ranges of the texts that are covered by strings of `length` bytes which start earlier too.
 
@@ -320,11 +353,16 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_context = Window.partitionBy("h", "c").orderBy("id", "at")
     by_anchor = Window.partitionBy("h")
     met = _anchor_rows(docs, length, gram).repartition("h").withColumn("k", F.rank().over(by_context)).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
-    met = met.withColumn("repeated", F.col("done") | (F.col("k") > 1)).where("repeated or mixed").select("h", "id", "at", "repeated")
+    met = met.withColumn("repeated", F.col("done") | (F.col("k") > 1))
+    met = met.withColumn("hot", F.count_if(F.col("k") == 1).over(by_anchor) > HOT_CONTEXTS).where("repeated or mixed").select("h", "id", "at", "repeated", "hot")
     met = saved(met)
     pos = F.shiftright("at", 9)
     whole = met.where("repeated").select("id", F.greatest(F.lit(0), pos + gram - length).alias("lo"), (pos + F.col("at").bitwiseAND(511)).alias("hi"))
-    parts = _repeats_of(_contexts(docs, met.where("not repeated").select("id", "h", "at"), length, gram), length, gram)
+    open_rows = met.where("not repeated")
+    parts = _repeats_of(_contexts(docs, open_rows.where("not hot").select("id", "h", "at"), length, gram), length, gram)
+    hot = open_rows.where("hot").select("id", "h", "at")
+    if hot.limit(1).count():
+        parts = parts.unionByName(_repeats_of_hot(_contexts(docs, hot, length, gram), length, gram))
     return whole.unionByName(parts)
 
 

@@ -122,8 +122,9 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram", [(100, 24), (20, 8), (16, 16)])
-def test_repeats_equal_brute_force(spark, length, gram):
+@pytest.mark.parametrize("length, gram, hot", [(100, 24, 50_000), (20, 8, 50_000), (16, 16, 50_000), (100, 24, 1), (20, 8, 3)])
+def test_repeats_equal_brute_force(spark, length, gram, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rng = random.Random(length)
     word = lambda: rng.choice(["the", "ä", "of", "Straße", "x", "ing ", "\n"]) + rng.choice("abc ") * rng.randint(0, 3)
     passages = ["".join(word() for _ in range(rng.randint(5, 120))) for _ in range(6)]
