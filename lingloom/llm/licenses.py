@@ -35,6 +35,8 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+#: A table of directories up to this size goes to the tasks as a broadcast (its measured size); beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 LICENCE_WORD = r"(?i)licen[sc]|copyright|rights reserved|spdx|permission is hereby|redistribution and use|public domain|\bcc0\b"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice|copyright)([._-].*)?$"
 
@@ -100,7 +102,9 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     # a directory that many files share is asked for once: files meet their directory's answer afterwards
     dirs = own.where("own_license is null").select(directory(F.col("path")).alias("of"), parts.alias("_p"), up.alias("up")).dropDuplicates(["of"])
     asked = dirs.select("of", F.explode("up").alias("u")).select("of", "u.distance", "u.dir").distinct()
-    found = asked.join(by_dir, "dir").groupBy("of").agg(F.min(F.struct("distance", "license_path", "dir_license")).alias("f")).select("of", "f.*")
+    found = saved(asked.join(by_dir, "dir").groupBy("of").agg(F.min(F.struct("distance", "license_path", "dir_license")).alias("f")).select("of", "f.*"))
+    size = found.agg(F.sum(F.length("of") + F.length("license_path") + 64)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found  # a directory of very many files costs no shuffle
     out = own.withColumn("of", directory(F.col("path"))).join(found, "of", "left")
     has = F.col("own_license").isNotNull()
     return out.select(
