@@ -213,7 +213,7 @@ def _feature_rows(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [reader.features(t or "").tolist() for t in pdf["text"]]})
 
-    rows = train.mapInPandas(run, "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    rows = sorted(train.mapInPandas(run, "toxic int, x array<double>").collect())  # bounded by max_labelled
     return np.array([r["x"] for r in rows]).reshape(len(rows), len(PRIOR)), np.array([r["toxic"] for r in rows], float)
 
 
