@@ -12,7 +12,7 @@ from ..functions.protect import find_tokens
 from ..functions.text import SCRIPT_RANGES, WS
 from ..operators import validate
 from . import views as V
-from .queries_text import SQL_NUMBER
+from .queries_text import SQL_NUMBER, entity_steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,3 +179,12 @@ SELECT doc_id, gate <> 'open' AS blocked, gate, CASE WHEN gate = 'nothing_comple
 def k4_k5_gate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, r = both(spark, sf_dir)
     return validate.gate_outputs(r, validate.issues_of(s, r))
+
+
+@query("WITH rows_ AS (SELECT *, source_text AS t FROM pair),\n" + entity_steps() + ",\n" + completeness_ctes("e5", "source_text", "target_text") + "\nSELECT doc_id, segment_id, x AS protected_text, c_status AS status FROM q_done", "pair")
+def r2_stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of arriving documents protected and checked as in batch."""
+    from ..streaming import jobs
+    from .queries_flow import streamed
+
+    return streamed(spark, sf_dir, lambda s: jobs.stream_validate(s).select("doc_id", "segment_id", "protected_text", F.col("completeness.status").alias("status")), "append", "documents")

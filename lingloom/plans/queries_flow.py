@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import failure_hint
+from ..functions.text import failure_hint, is_blank, plain_text, xml_escape
 from ..operators import dimensions, metrics, segments, validate
-from ..sources import rewrite
+from ..sources import files, rewrite
 from ..sources.tables import default_glossary, with_user_terms
 from . import views as V
 
@@ -281,18 +281,18 @@ def i3_i6_translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r1_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
-    return _streamed(spark, sf_dir, lambda s: jobs.stream_progress(s), "complete")
+    return streamed(spark, sf_dir, lambda s: jobs.stream_progress(s), "complete")
 
 
 @query("""SELECT date_trunc('day', ts) AS window_start, provider, count(*) AS requests, count(*) FILTER (status = 'failed') AS failed, CAST(floor(avg(latency_ms) + 0.5) AS BIGINT) AS avg_latency_ms, max(latency_ms) AS max_latency_ms FROM call_log GROUP BY ALL""", "call_log")
 def r3_stream_call_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
-    out = _streamed(spark, sf_dir, lambda s: jobs.stream_call_metrics(s, "1 day"), "complete")
+    out = streamed(spark, sf_dir, lambda s: jobs.stream_call_metrics(s, "1 day"), "complete")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], mode: str, table: str = "events") -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], mode: str, table: str = "events") -> DataFrame:
     """The job over a stream of the table's files, everything that is there, read back from its sink in the shared folder."""
     import uuid
 
@@ -306,10 +306,39 @@ def _streamed(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataF
     return spark.read.parquet(f"{home}/out")
 
 
-@query(None)
-def r2_stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of arriving documents protected and checked as in batch."""
-    from ..streaming import jobs
-
-    out = _streamed(spark, sf_dir, lambda s: jobs.stream_validate(s).select("doc_id", "segment_id", "protected_text", F.col("completeness.status").alias("status")), "append", "documents")
-    return out
+def _xliff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml, lang): each document's segments as a bilingual file, every seventh unit locked."""
+    d = V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    texts = F.transform(F.filter(F.split("text", "\n", -1), lambda x: ~is_blank(x)), plain_text)
+    unit = lambda t, k: F.concat(F.lit('<trans-unit id="u'), k.cast("string"), F.when(k % 7 == 3, '" translate="no">').otherwise('">'), F.lit("<source>"), xml_escape(t), F.lit("</source><target/></trans-unit>"))
+    body = F.array_join(F.transform(texts, unit), "\n")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.concat(F.lit('<xliff><file source-language="'), "lang", F.lit('">'), body, F.lit("</file></xliff>")).alias("xml"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'u' || seg_index AS segment_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_index) - 1 AS seg_index, source_text, lang AS declared_source_lang FROM seg_doc WHERE seg_index % 7 <> 3""", "seg_doc")
+def s1_s4_scan_xliff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = files.with_declared_langs(_xliff_documents(spark, sf_dir))
+    langs = docs.select("doc_id", "declared_source_lang")
+    return files.xliff_segments(docs).join(langs, "doc_id").select("doc_id", "segment_id", *long("seg_index"), "source_text", "declared_source_lang")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'u' || seg_index AS segment_id, CASE WHEN seg_index % 2 = 0 THEN {V.sql_plain("('T & ' || source_text)")} END AS target_text FROM seg_doc WHERE seg_index % 7 <> 3""", "seg_doc")
+def k1_rewrite_xliff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second unit translated into its file, and the written files scanned again."""
+    docs = _xliff_documents(spark, sf_dir)
+    own = files.xliff_segments(docs)
+    done = own.where("cast(substring(segment_id, 2) as int) % 2 = 0").select("doc_id", "segment_id", F.lit("completed").alias("status"), F.concat(F.lit("T & "), "source_text").alias("translated_raw"))
+    written = rewrite.rewrite_xliff(docs, done).select("doc_id", F.col("output").alias("xml"))
+    return files.xliff_segments(written).select("doc_id", "segment_id", "target_text")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'p-' || row_number() OVER (PARTITION BY doc_id ORDER BY seg_index) AS segment_id, source_text FROM seg_doc WHERE source_text <> ''""", "seg_doc")
+def s5_s6_scan_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as word-processor markup with each paragraph split into two runs, some of them in tables."""
+    s = V.seg_doc(spark, sf_dir)
+    half = F.floor(F.length("source_text") / 2).cast("int")
+    runs = F.concat(F.lit("<w:p><w:pPr/><w:r><w:t>"), xml_escape(F.substring("source_text", F.lit(1), half)), F.lit('</w:t></w:r><w:r><w:t xml:space="preserve">'), xml_escape(F.substring("source_text", half + 1, F.length("source_text"))), F.lit("</w:t></w:r></w:p>"))
+    p = F.when(F.col("seg_index") % 5 == 2, F.concat(F.lit("<w:tbl><w:tc>"), runs, F.lit("</w:tc></w:tbl>"))).otherwise(runs)
+    parts = s.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("seg_index", p.alias("p")))).alias("x"))
+    docs = parts.select("doc_id", F.concat(F.lit("<w:document><w:body>"), F.array_join(F.transform("x", lambda x: x["p"]), ""), F.lit("</w:body></w:document>")).alias("xml"))
+    return files.docx_segments(docs).select("doc_id", "segment_id", "source_text")

@@ -123,7 +123,7 @@ _URL, _FTP = r"""https?://[^ \t\n\x0B\f\r\x{A0}\x{FEFF}<>"''()\[\]{}]+""", r"""f
 _EMAIL, _NCT, _CODE = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", r"\bNCT[0-9]{8}\b", r"\b[A-Z]{2,}-[A-Z0-9-]{2,}\b"
 
 
-def _entity_steps() -> str:
+def entity_steps() -> str:
     steps = ["e0 AS (SELECT *, t AS x, CAST([] AS VARCHAR[]) AS toks FROM rows_)"]
     for k, pattern in enumerate((_URL, _FTP, _EMAIL, _NCT, _CODE)):
         steps.append(f"""m{k} AS (SELECT *, regexp_extract_all(x, '{pattern}') AS f, string_split_regex(x, '{pattern}') AS g FROM e{k}),
@@ -134,7 +134,7 @@ e{k + 1} AS (SELECT * EXCLUDE (x, toks, f, g), array_to_string(list_transform(g,
 ENTITY_ROWS = """rows_ AS (SELECT page_id, seg_index, source_text || ' see ' || url || ', ftp://h.example/' || page_id || ' or write u' || page_id || '.x@mail.example.org on NCT1234567' || (page_id % 10) || ' STUDY-' || page_id || '-X9.' AS t FROM seg_page)"""
 
 
-@query(f"WITH {ENTITY_ROWS},\n{_entity_steps()}\nSELECT page_id, seg_index, x AS protected_text, array_to_string(list_transform(toks, lambda y, i: '__ENTITY_' || i || '__=' || y), '|') AS tokens, t AS restored FROM e5", "seg_page")
+@query(f"WITH {ENTITY_ROWS},\n{entity_steps()}\nSELECT page_id, seg_index, x AS protected_text, array_to_string(list_transform(toks, lambda y, i: '__ENTITY_' || i || '__=' || y), '|') AS tokens, t AS restored FROM e5", "seg_page")
 def t2_t4_t9_protect_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id").cast("string")
     text = F.concat("source_text", F.lit(" see "), "url", F.lit(", ftp://h.example/"), p, F.lit(" or write u"), p, F.lit(".x@mail.example.org on NCT1234567"), (F.col("page_id") % 10).cast("string"), F.lit(" STUDY-"), p, F.lit("-X9."))

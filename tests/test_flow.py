@@ -87,9 +87,9 @@ def test_report_and_gate(spark):
 def test_batch_equals_stream(spark):
     from lingloom.functions.completeness import with_completeness
     from lingloom.functions.protect import protect
-    from lingloom.plans import queries_flow, views
+    from lingloom.plans import queries_checks, views
 
     d = "/root/testdata/sf0.001"
-    streamed = {tuple(r) for r in queries_flow.r2_stream_validate(spark, d).collect()}
+    streamed = {tuple(r) for r in queries_checks.r2_stream_validate(spark, d).collect()}
     batch = with_completeness(protect(views.pair(spark, d), "source_text"), "source_text", "target_text", "source_lang", "target_lang")
     assert streamed == {tuple(r) for r in batch.select("doc_id", "segment_id", "protected_text", "completeness.status").collect()}
