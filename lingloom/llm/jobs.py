@@ -15,10 +15,26 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingloom-"))
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the checkpoint folder: lost executors lose nothing of it."""
-    with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df, computed once and kept in the checkpoint folder: lost executors lose nothing of it.
+
+    The shuffle files behind them go at once, as nothing reads them again; else they would wait for the driver's
+    garbage collection and add up on the executors' disks.
+    """
+    spark = df.sparkSession
+    with_checkpoint_dir(spark)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
 
 
 ARROW_BYTES = 8 << 20
