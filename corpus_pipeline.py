@@ -24,8 +24,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that more than a tenth of their source's documents have; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate_from_text(docs, "source", "doc_id", "text", ratio=0.1, min_pages=3)
+    """Documents without the lines that more than a tenth of their source's documents have; n_chars follows the text.
+
+    Copies count once: the next stage keeps one of them, which has to have its text still.
+    """
+    out = line_dedup.drop_boilerplate_from_text(docs, "source", "doc_id", "text", ratio=0.1, min_pages=3, copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

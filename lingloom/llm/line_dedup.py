@@ -21,24 +21,27 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(pages: DataFrame, host: Column, id_col: str, lines: Column, ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: Column, id_col: str, lines: Column, ratio: float = 0.1, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
     """(host, key, n_pages, host_pages): lines that at least min_pages pages of the host have, more than ratio of them.
 
     lines is an array column; key is xxhash64 of the trimmed line. Blank lines do not count. A null host is a host of
-    its own. Rows that repeat an id are pages of their own.
+    its own. Rows that repeat an id are pages of their own. With copies_once, pages of a host that have the same set of
+    lines are one page in both counts, so that copies of a page do not make its lines boilerplate.
     """
     rows = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), _key)).alias("keys"))
+    if copies_once:
+        rows = rows.select("host", F.sort_array("keys").alias("keys")).distinct()
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     return counts.join(totals, "host").where(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, id_col: str, lines: Column, into: str, ratio: float = 0.1, min_pages: int = 3, min_chars: int = 0) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, id_col: str, lines: Column, into: str, ratio: float = 0.1, min_pages: int = 3, min_chars: int = 0, copies_once: bool = False) -> DataFrame:
     """pages, all columns, with the array column `into`: the lines left, in order, those dropped taken out.
 
     A null text has null lines and stays null. A page all of whose lines go keeps its row with an empty array.
     """
-    found = saved(boilerplate_lines(pages, host, id_col, lines, ratio, min_pages).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("__ll_keys")).withColumnRenamed("host", "__ll_host"))
+    found = saved(boilerplate_lines(pages, host, id_col, lines, ratio, min_pages, copies_once).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("__ll_keys")).withColumnRenamed("host", "__ll_host"))
     size = found.agg(F.sum(F.size("__ll_keys") * 8 + F.length("__ll_host") + 64)).first()[0] or 0
     side = F.broadcast(found) if size <= BROADCAST_BYTES else found
     joined = pages.withColumn("__ll_site", F.coalesce(host.cast("string"), F.lit(""))).join(side, F.col("__ll_site") == F.col("__ll_host"), "left")
@@ -46,10 +49,10 @@ def drop_boilerplate(pages: DataFrame, host: Column, id_col: str, lines: Column,
     return joined.withColumn(into, left).drop("__ll_site", "__ll_host", "__ll_keys")
 
 
-def drop_boilerplate_from_text(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate_from_text(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
     """docs, all columns, with the boilerplate lines taken out of the text; a host is a value of host_col."""
     lines = F.split(F.col(text_col), "\n")
-    out = drop_boilerplate(docs, F.col(host_col), id_col, lines, "__ll_left", ratio, min_pages)
+    out = drop_boilerplate(docs, F.col(host_col), id_col, lines, "__ll_left", ratio, min_pages, copies_once=copies_once)
     return out.withColumn(text_col, F.array_join("__ll_left", "\n")).drop("__ll_left")
 
 

@@ -142,3 +142,16 @@ def test_pipeline_keeps_the_columns_and_decides(spark):
     counts = [n for _, n, _ in seen]
     assert all(c == d.columns for _, _, c in seen[:-1]) and counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * d.count()
     assert counts[1] == counts[0] and counts[2] < counts[1] and counts[3] < counts[2] and counts[4] == counts[3]
+
+
+def test_pipeline_keeps_the_text_of_frequent_copies(spark):
+    copy = "a passage of several words that many rows repeat\nand its second line of words"
+    rows = [(k, copy, "s") for k in range(20)] + [(20 + k, f"menu\nbody number {k} with w{k} x{k} y{k} z{k}", "s") for k in range(40)]
+    rows += [(100 + k, copy, "few") for k in range(3)] + [(200, None, "s"), (201, " \n", "s"), (202, copy.replace("\n", " \n\n"), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lines = corpus_pipeline.drop_boilerplate(spark, df, SF)
+    text = {r.doc_id: r.text for r in lines.collect()}
+    assert all(text[k] == copy for k in range(20)) and all(text[100 + k] == copy for k in range(3)) and len(text) == len(rows)
+    assert all(text[20 + k] == f"body number {k} with w{k} x{k} y{k} z{k}" for k in range(40))
+    left = corpus_pipeline.keep_one_of_each_group(spark, lines, SF).collect()
+    assert [r.doc_id for r in left if r.text and "second line" in r.text] == [0]
