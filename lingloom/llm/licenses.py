@@ -1,19 +1,24 @@
 """Operator 4: licences by sparse TF-IDF cosine to templates, inherited along directories, in DataFrame functions only.
 
-A line of a file that has a licence word is a candidate header. Its terms meet the templates' terms (a fixed table of
-a few hundred rows) in a join; products add up to the cosine. Headers that reach `least` give the file a licence of
-its own. A licence file, by its name or because most of its words are in such lines, licenses its directory; a file
+A line of a file that has a licence word is a candidate header, and so is each window of terms around a licence word,
+across line breaks, that is as long as a template: headers share lines with other text and are wrapped. A candidate's
+terms meet the templates' terms (a fixed table of a few hundred rows) in a join; products add up to the cosine. Headers
+that reach `least` give the file a licence of its own; a reservation of rights gives way to a licence. A licence file,
+by its name or because most of its words are in headers, licenses its directory; a file
 without a licence takes the one of its nearest ancestor directory that has one: each file's ancestor paths meet the
 table of licensed directories in an equi-join, and the deepest wins.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jobs import saved
 
+RESERVED = "LicenseRef-all-rights-reserved"
 #: Headers and titles by which public licences are recognised.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -25,6 +30,8 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
@@ -33,11 +40,13 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License (CC BY 4.0)."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
-    ("LicenseRef-all-rights-reserved", "All rights reserved."),
+    (RESERVED, "All rights reserved."),
 ]
 #: A table of directories up to this size goes to the tasks as a broadcast (its measured size); beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
-LICENCE_WORD = r"(?i)licen[sc]|copyright|rights reserved|spdx|permission is hereby|redistribution and use|public domain|\bcc0\b"
+LICENCE_WORD = r"(?i)licen[sc]|copyright|rights[\W_]+reserved|spdx|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|public[\W_]+domain|\bcc0\b"
+#: The same on terms: a term, and terms that follow one another.
+LICENCE_TERM, LICENCE_TERMS = r"licen[sc]|copyright|spdx|^cc0$", [("rights", "reserved"), ("permission", "is", "hereby"), ("redistribution", "and", "use"), ("public", "domain")]
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice|copyright)([._-].*)?$"
 
 
@@ -47,13 +56,39 @@ def terms_of(line: Column) -> Column:
 
 
 def template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, term, weight, idf): unit vectors of the templates, a few hundred rows whatever the corpus."""
+    """(template, license, size, term, weight, idf), size in terms: unit vectors of the templates, a few hundred rows whatever the corpus."""
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(templates)], "template int, license string, line string")
     counts = rows.select("template", "license", F.explode(terms_of(F.col("line"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     idf = counts.groupBy("term").agg((1 + F.log(F.lit(float(len(templates))) / F.count_distinct("template"))).alias("idf"))
     raw = counts.join(F.broadcast(idf), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = raw.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(F.broadcast(norm), "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+    return raw.join(F.broadcast(norm), "template").join(F.broadcast(counts.groupBy("template").agg(F.sum("tf").cast("int").alias("size"))), "template").select("template", "license", "size", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def windows_of(files: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows of terms around the licence words of files(path, text): (path, at, context) for each word, context an id
+    of the terms around it, at the place of its first term; and (context, first, key, terms) for each window of a context.
+
+    Windows are as long as a template and hold the word; equal contexts have theirs once.
+    """
+    lengths = sorted(r["size"] for r in weights.select("size").distinct().collect())  # a few numbers, from the templates
+    most = lengths[-1]
+    rows = files.where(F.col("text").rlike(LICENCE_WORD)).select("path", terms_of(F.col("text")).alias("t"))
+    is_word = lambda x, k: x.rlike(LICENCE_TERM) | _any([F.coalesce(F.slice("t", k + 1, len(w)) == F.array(*map(F.lit, w)), F.lit(False)) for w in LICENCE_TERMS])
+    places = F.filter(F.transform("t", lambda x, k: F.when(is_word(x, k), k)), lambda k: k.isNotNull())
+    start = F.greatest(F.col("k") - (most - 1), F.lit(0))
+    met = rows.select("path", "t", F.explode(places).alias("k")).select("path", start.alias("at"), (F.col("k") - start).alias("k"), F.slice("t", start + 1, F.col("k") - start + most).alias("t"))
+    met = saved(met.withColumn("context", F.xxhash64("k", "t")))
+    n = F.size("t")
+    low = lambda size: F.greatest(F.col("k") - (size - 1), F.lit(0))
+    starts = lambda size: F.transform(F.sequence(low(size), F.greatest(F.least(F.col("k"), n - size), low(size))), lambda s: F.struct(s.alias("first"), F.lit(size).alias("size")))
+    each = met.select("context", "k", "t").dropDuplicates(["context"]).select("context", "t", F.explode(F.concat(*map(starts, lengths))).alias("w"))
+    each = each.select("context", "w.first", "w.size", F.slice("t", F.col("w.first") + 1, F.col("w.size")).alias("terms"))
+    return met.select("path", "at", "context"), each.withColumn("key", F.xxhash64("size", "terms"))
 
 
 def directory(path: Column) -> Column:
@@ -63,7 +98,8 @@ def directory(path: Column) -> Column:
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.6, file_share: float = 0.5, unknown_idf: float = 2.0) -> DataFrame:
     """(path, own_license, own_score, license, license_path, distance) for each path of files.
 
-    own_license comes from the file's own best header (ties: the licence first in the alphabet), null without one.
+    own_license comes from the file's own best header (a licence before a reservation of rights; ties: the licence first
+    in the alphabet), null without one.
     license is that, or the nearest licensed ancestor directory's: then license_path is the licence file and distance
     the directories between. Several licence files in one directory: the highest score, then the smallest path. A
     term that no template has weighs `unknown_idf` in the header's length. Null paths are left out, a null text has no
@@ -75,21 +111,26 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     lines = rows.select("path", F.size(terms_of(F.col("text"))).alias("n_terms"), F.explode_outer(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(LICENCE_WORD)))).alias("line"))
     lines = saved(lines.withColumn("key", F.xxhash64("line")))
 
-    # equal lines are scored once
-    heads = lines.where("line is not null").select("key", "line").dropDuplicates(["key"])
-    tf = heads.select("key", F.explode(terms_of(F.col("line"))).alias("term")).groupBy("key", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    # equal lines and equal windows are scored once; a window meets the templates of its length only
+    places, windows = windows_of(rows.dropDuplicates(["path", "text"]), weights)
+    windows = saved(windows)
+    heads = lines.where("line is not null").select("key", F.lit(0).alias("size"), terms_of(F.col("line")).alias("terms"))
+    heads = heads.unionByName(windows.select("key", "size", "terms")).dropDuplicates(["key", "size"])
+    tf = saved(heads.select("key", "size", F.explode("terms").alias("term")).groupBy("key", "size", "term").agg((1 + F.log(F.count("*"))).alias("tf")))
     idf = F.broadcast(weights.select("term", "idf").distinct())
-    length = tf.join(idf, "term", "left").groupBy("key").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown_idf))) ** 2)).alias("norm"))
-    dots = tf.join(weights, "term").groupBy("key", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    scored = dots.join(length, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
-    best = saved(scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select("key", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score")))
-
-    per = lines.join(best, "key", "left")
-    own = per.groupBy("path").agg(
-        F.min(F.when(F.col("license").isNotNull(), F.struct((-F.col("score")).alias("minus"), "license"))).alias("b"),
-        F.sum(F.when(F.col("license").isNotNull(), F.size(terms_of(F.col("line")))).otherwise(0)).alias("in_headers"),
-        F.max("n_terms").alias("n_terms"),
-    )
+    length = tf.join(idf, "term", "left").groupBy("key", "size").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown_idf))) ** 2)).alias("norm"))
+    of = weights.withColumnRenamed("size", "of_size")
+    dots = tf.join(of, "term").where("size = 0 or size = of_size").groupBy("key", "size", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
+    scored = dots.join(length, ["key", "size"]).select("key", "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    order = F.struct((F.col("license") == RESERVED).alias("reserved"), (-F.col("score")).alias("minus"), "license")
+    best = saved(scored.groupBy("key", "size").agg(F.min(order).alias("b")).select("key", "size", "b"))
+
+    of_lines = lines.join(best.where("size = 0").select("key", "b"), "key", "left")
+    by_line = of_lines.groupBy("path").agg(F.min("b").alias("b"), F.sum(F.when(F.col("b").isNotNull(), F.size(terms_of(F.col("line")))).otherwise(0)).alias("in_lines"), F.max("n_terms").alias("n_terms"))
+    hits = windows.join(best.where("size > 0"), ["key", "size"]).select("context", "first", "size", "b")
+    ranges = places.join(hits, "context").select("path", "b", F.explode(F.sequence(F.col("at") + F.col("first"), F.col("at") + F.col("first") + F.col("size") - 1)).alias("place"))
+    by_window = ranges.groupBy("path", "place").agg(F.min("b").alias("b")).groupBy("path").agg(F.min("b").alias("w"), F.count("*").alias("in_windows"))
+    own = by_line.join(by_window, "path", "left").select("path", "n_terms", F.least("b", "w").alias("b"), F.greatest("in_lines", F.coalesce("in_windows", F.lit(0))).alias("in_headers"))
     own = saved(own.select("path", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("own_score"), ((F.col("n_terms") > 0) & (F.col("in_headers") >= file_share * F.col("n_terms"))).alias("mostly")))
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)

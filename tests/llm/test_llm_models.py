@@ -155,3 +155,14 @@ def test_pipeline_keeps_the_text_of_frequent_copies(spark):
     assert all(text[20 + k] == f"body number {k} with w{k} x{k} y{k} z{k}" for k in range(40))
     left = corpus_pipeline.keep_one_of_each_group(spark, lines, SF).collect()
     assert [r.doc_id for r in left if r.text and "second line" in r.text] == [0]
+
+
+def test_licenses_of_one_line_and_wrapped_headers(spark):
+    apache, other = "Licensed under the Apache License, Version 2.0.", " ".join(f"word{k}" for k in range(50))
+    rows = [("a/x", f"{other} {apache} {other}"), ("b/x", "Copyright 2020 The Foo Authors. All rights reserved. " + apache[:-1] + ' (the "License"); you may not use this file except in compliance with the License.')]
+    rows += [("c/x", f"{other}\n# This work is licensed under the GNU\n# General Public License, version 3.\n{other}")]
+    rows += [("d/x", f"/* you can redistribute it\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or {other}")]
+    rows += [("e/x", f"{other} All rights\nreserved. {other}"), ("f/x", f"{other} my license to drive and the license plate {other}"), ("g/x", apache.replace(" ", "\n")), ("g/y", "code")]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"{d}/x"].own_license for d in "abcdefg"] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", "GPL-3.0", "LicenseRef-all-rights-reserved", None, "Apache-2.0"]
+    assert (got["g/y"].license, got["g/y"].distance) == ("Apache-2.0", 0)
