@@ -104,7 +104,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, label: Colu
     """(id, finding, secret, probability, is_secret) for each candidate of each row of docs, in the order of the text.
 
     The forest learns from `findings`(secret, before, after, path, label) if given, else from the candidates
-    themselves, labelled by the expression `label` over (secret, before, after, path). Without both labels the
+    themselves, labelled by the expression `label` over (secret, before, after, path) and FEATURES. Without both labels the
     probability is null and every candidate stays a secret. Null and empty texts have no candidates.
     """
     found = saved(candidates(docs, id_col, text_col, path))
@@ -121,8 +121,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, label: Colu
 
 
 def confirmed_by_assignment() -> Column:
-    """A label for corpora without reviewed findings: 1 where a quoted value is assigned to a name of a secret, 0 where
-    nothing is assigned, null where it is open."""
+    """A label for corpora without reviewed findings: 1 where a value is assigned to a name of a secret; 0 where nothing
+    is assigned, no secret is named nearby and the value is a number, words of the corpus or next to words of something
+    else; null where it is open, such as a key in prose or in a header."""
     named = F.col("before").rlike(SECRET_WORDS + "[A-Za-z_]*\\s*[:=]\\s*[\"']?$")
     assigned = F.col("before").rlike("[:=]\\s*[\"']?$")
-    return F.when(named, 1.0).when(~assigned, 0.0)
+    other = F.col("before").rlike(OTHER_WORDS) | F.col("secret").rlike("^[0-9]+$") | (F.col("covered") >= 0.7)
+    return F.when(named, 1.0).when(~assigned & ~F.col("before").rlike(SECRET_WORDS) & other, 0.0)

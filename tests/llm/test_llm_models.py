@@ -166,3 +166,10 @@ def test_licenses_of_one_line_and_wrapped_headers(spark):
     got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert [got[f"{d}/x"].own_license for d in "abcdefg"] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", "GPL-3.0", "LicenseRef-all-rights-reserved", None, "Apache-2.0"]
     assert (got["g/y"].license, got["g/y"].distance) == ("Apache-2.0", 0)
+
+
+def test_secrets_in_prose_are_not_taught_as_false_positives(spark):
+    rows = [("Authorization: Bearer ", "a1b2c3d4e5f6a7b8", 0.0), ("the token is ", "a1b2c3d4e5f6a7b8", 0.0), ("seen in ", "a1b2c3d4e5f6a7b8", 0.0), ("commit ", "a1b2c3d4e5f6a7b8", 0.0), ("paid ", "4111111111111111", 0.0), ("see ", "some-words-here-2", 0.9), ('token = "', "a1b2c3d4e5f6a7b8", 0.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, before string, secret string, covered double")
+    got = {r.k: r.label for r in df.select("k", secrets.confirmed_by_assignment().alias("label")).collect()}
+    assert [got[k] for k in range(7)] == [None, None, None, 0.0, 0.0, 0.0, 1.0]
