@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only a session without one gets a folder of its own (tests)."""
+    """Use the folder that the cluster names. Only a local session without one gets a folder of its own (tests): on a
+    cluster each machine would write to its own disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lingloom-"))
 
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -37,6 +41,15 @@ def saved(df: DataFrame) -> DataFrame:
             spark.conf.set(FREE_SHUFFLES, before)
 
 
+#: A join's side up to this size goes to the tasks as a broadcast (its measured size); beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A saved df as a side of a join: its rows are counted, and it is broadcast where they are small enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 ARROW_BYTES = 8 << 20
 
 
@@ -55,24 +68,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the undirected graph edges(src, dst); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each round moves every edge closer to a star around the
-    smallest node. Edges stay in Spark; the driver sees one count and one checksum a round. Only nodes that
-    occur in an edge are returned. Null ends and loops are ignored. A hub is the single row of a grouped
-    side, so its neighbours are an ordinary skewed join that Spark can split.
+    Alternating star steps over edges (u, v), u > v. Large star: the smaller end of an edge gives way to its own least
+    neighbour. Small star: smaller neighbours of a node are linked with the least of them. A star around its smallest
+    node stays as it is, and all is settled when every edge is of one. Edges stay in Spark; the driver sees two counts
+    a round. Only nodes that occur in an edge are returned. Null ends and loops are ignored. Both sides of each join
+    are saved tables, so the edges of a hub are one side of a skewed join that Spark can split.
     """
     e = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = None
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(e.groupBy("u").agg(F.min("v").alias("m")))
+        up = low.select(F.col("u").alias("v"), "m")
+        if e.count() == low.count() and not e.join(up, "v", "left_semi").limit(1).count():
+            break
+        large = saved(e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if row == mark:
-            break
-        mark = row
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -17,6 +17,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  #: keeps the first k of 8 bytes
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -76,13 +77,85 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words in blocks of 8 bytes: (first block of each word; word, number and value of every block after it)."""
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    at = np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))  # the 8 bytes from each byte on
+    size = ends - starts
+    more = np.flatnonzero(size > 8)
+    count = (size[more] + 7 >> 3) - 1
+    word = np.repeat(more, count)
+    number = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + 1
+    left = np.minimum(size[word] - 8 * number, 8)
+    return at[starts] & _LOW_BYTES[np.minimum(size, 8)], word, number, at[starts[word] + 8 * number] & _LOW_BYTES[left]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of up to 8 bytes are a bijection of their bytes for each length; longer ones add what mixes each block with
+    its number, so no arrangement of equal blocks cancels out as it can in a sum of powers."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    head, word, number, rest = _blocks(data, starts, ends)
+    h = mix(head ^ mix((ends - starts).astype(np.uint64)))
+    if len(word):
+        first = np.flatnonzero(number == 1)
+        h[word[first]] = mix(h[word[first]] + np.add.reduceat(mix(mix(rest) + number.astype(np.uint64) * _R), first))
+    return h
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word; two are equal exactly where the lower-cased bytes are, whatever their hashes are."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    like = first[number]  # the first word of the same hash
+    head, word, k, rest = _blocks(data, starts, ends)
+    size = ends - starts
+    same = (size == size[like]) & (head == head[like])
+    if len(word):
+        begin = np.zeros(len(starts), np.int64)
+        begin[word[k == 1]] = np.flatnonzero(k == 1)
+        twin = begin[like[word]] + k - 1
+        ok = rest == rest[np.minimum(twin, len(rest) - 1)]
+        same[word[~ok & same[word]]] = False
+    if not same.all():  # different words of one hash: told apart by their bytes
+        names: dict[tuple[int, bytes], int] = {}
+        low = _LOWER[data]
+        for w in np.flatnonzero(np.isin(number, number[~same])).tolist():
+            key = int(number[w]), low[starts[w] : ends[w]].tobytes()
+            number[w] = names.setdefault(key, len(starts) + len(names))
+    return number
+
+
+def shingle_numbers(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Like shingle_hashes, but equal exactly where the n words are: pairs are numbered, then pairs with the next word."""
+    m = len(numbers) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    _, numbers = np.unique(numbers, return_inverse=True)
+    span = int(numbers.max()) + 1
+    out = numbers[:m]
+    for j in range(1, n):
+        _, out = np.unique(out * span + numbers[j : j + m], return_inverse=True)
+    return out
+
+
+def exact_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
+    """Like shingle_sets, with numbers that are equal exactly where the words are, for the texts of this call."""
+    starts, ends, first = words(data, offs)
+    numbers = word_numbers(data, starts, ends)
+    s = shingle_numbers(numbers, n)
+    short: dict[bytes, int] = {}
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= n:
+            out.append(np.unique(s[a : b - n + 1]))
+        elif b > a:
+            out.append(np.array([len(numbers) + short.setdefault(numbers[a:b].tobytes(), len(short))]))
+        else:
+            out.append(np.zeros(0, np.int64))
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -7,8 +7,9 @@
    estimated as (m - 2**-bits) / (1 - 2**-bits), which takes out the agreement by chance. A bucket is walked
    breadth first, each class against those not reached yet, so a bucket of n mutual copies costs n comparisons
    and gives n - 1 edges.
-4. Clusters of edges are walked the same way over full sets with the exact threshold. The estimate only has to
-   bring true partners into one cluster, directly or through others: it is held `slack` below the threshold.
+4. Clusters of edges are walked the same way over full sets with the exact threshold, on words told apart by their
+   bytes, not by hashes. The estimate only has to bring true partners into one cluster, directly or through others:
+   it is held `slack` below the threshold.
 5. Components of the confirmed links.
 
 Buckets and clusters over a size limit are dealt into tiles, pairs of blocks that cover all pairs between them,
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import connected_components, saved, shuffle_partitions
-from .kernels import mix, shingle_sets, text_chunks
+from .jobs import connected_components, saved, shuffle_partitions, side
+from .kernels import exact_sets, mix, shingle_sets, text_chunks
 
 BUCKET_ROWS = 4096  #: classes of a bucket that one task compares; more are dealt into tiles
-CLUSTER_SHINGLES = 2_000_000  #: shingles of a cluster that one task holds; more are dealt into tiles
+CLUSTER_BYTES = 16 << 20  #: text of a cluster that one task holds; more is dealt into tiles
 MISS = 1e-6  #: chance that a pair right at the threshold shares no band
 
 
@@ -90,12 +91,12 @@ def _sketch_rows(df: DataFrame, id_col: str, text_col: str, words: int, n_hashes
                         key[w] = mix(full[k]).sum(), np.bitwise_xor.reduce(mix(full[k] + np.uint64(77)))
                         sig[w], band[w] = packed[k].tobytes(), h[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "k0", "k1", "sig", "bands"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+                    names=["id", "n_bytes", "n_shingles", "k0", "k1", "sig", "bands"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_shingles long, k0 long, k1 long, sig binary, bands array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_bytes long, n_shingles long, k0 long, k1 long, sig binary, bands array<long>")
 
 
 def _walk(n: int, near) -> Iterator[tuple[int, int]]:
@@ -118,8 +119,26 @@ def _tiles(df: DataFrame, blocks: str, spread: str) -> DataFrame:
     return df.withColumn("_b", b).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))).withColumn("tile_i", F.least("_b", "_o")).withColumn("tile_j", F.greatest("_b", "_o")).drop("_b", "_o")
 
 
-def _estimated_edges(buckets: DataFrame, kind: str, n_hashes: int, bits: int, bound: float, ratio: float) -> DataFrame:
-    """Forest edges between classes of a tile whose estimated similarity reaches the bound."""
+def _groups(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, rows of its groups, a line each) for each size of the groups that keys make; rows are in order of id and
+    number the rows of pdf. Groups of one row are left out."""
+    order = np.lexsort([pd.factorize(pdf["id"], sort=True)[0], *(pdf[k].to_numpy() for k in reversed(keys))])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        x = pdf[k].to_numpy()[order]
+        new[1:] |= x[1:] != x[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(order)))
+    for n in np.unique(size[size > 1]).tolist():
+        yield n, order[begin[size == n][:, None] + np.arange(n)]
+
+
+def _estimated_edges(buckets: DataFrame, kind: str, n_hashes: int, bits: int, bound: float, ratio: float, parts: int) -> DataFrame:
+    """Forest edges between classes of a tile whose estimated similarity reaches the bound.
+
+    Buckets of two or three classes, which are nearly all, are compared side by side; larger ones are walked.
+    """
     per_byte = 8 // bits
     mask = np.array([sum(((x >> (bits * p)) & ((1 << bits) - 1)) == 0 for p in range(per_byte)) for x in range(256)], np.uint16)
     pad = per_byte * (-(-n_hashes // per_byte)) - n_hashes
@@ -127,27 +146,39 @@ def _estimated_edges(buckets: DataFrame, kind: str, n_hashes: int, bits: int, bo
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = [], []
-        for _, g in pdf.groupby(["band", "key", "tile_i", "tile_j"], sort=False):
-            if len(g) < 2:
-                continue
-            g = g.drop_duplicates(["id", "sig"]).sort_values("id")
-            ids, size = g["id"].to_numpy(), g["n_shingles"].to_numpy().astype(float)
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-
-            def near(v: int, others: np.ndarray) -> np.ndarray:
-                m = (mask[sig[others] ^ sig[v]].sum(1) - pad) / n_hashes
-                s = size[others]
-                return ((m - chance) / (1 - chance) >= bound) & (np.minimum(s, size[v]) >= ratio * np.maximum(s, size[v]) - 1e-6)
-
-            for v, root in _walk(len(g), near):
-                src.append(ids[v])
-                dst.append(ids[root])
-        return pd.DataFrame({"src": src, "dst": dst})
-
-    return buckets.groupBy("bundle").applyInPandas(run, f"src {kind}, dst {kind}")
-
-
-def _confirmed_edges(members: DataFrame, kind: str, percent: float) -> DataFrame:
+        ids, size = pdf["id"].to_numpy(), pdf["n_shingles"].to_numpy().astype(float)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            s, t = size[a], size[b]
+            ok = (np.minimum(s, t) >= ratio * np.maximum(s, t) - 1e-6) & (ids[a] != ids[b])
+            at = np.flatnonzero(ok)
+            for k in range(0, len(at), 1 << 16):
+                i = at[k : k + (1 << 16)]
+                m = (mask[sig[a[i]] ^ sig[b[i]]].sum(1) - pad) / n_hashes
+                ok[i] = (m - chance) / (1 - chance) >= bound
+            return ok
+
+        def add(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> None:
+            src.append(ids[a[ok]]), dst.append(ids[b[ok]])
+
+        for n, rows in _groups(pdf, ["band", "key", "tile_i", "tile_j"]):
+            if n <= 3:
+                met = [(rows[:, j], rows[:, i], alike(rows[:, j], rows[:, i])) for i in range(n) for j in range(i + 1, n)]
+                if n == 3:  # the third side of a triangle links nothing more
+                    met[2][2][met[0][2] & met[1][2]] = False
+                for edge in met:
+                    add(*edge)
+            else:
+                for g in rows:
+                    pairs = np.array(list(_walk(len(g), lambda v, others, g=g: alike(np.full(len(others), g[v]), g[others]))), np.int64).reshape(-1, 2)
+                    add(g[pairs[:, 0]], g[pairs[:, 1]], np.ones(len(pairs), bool))
+        return pd.DataFrame({"src": np.concatenate(src) if src else [], "dst": np.concatenate(dst) if dst else []})
+
+    return buckets.repartition(parts, "bundle").groupBy("bundle").applyInPandas(run, f"src {kind}, dst {kind}")
+
+
+def _confirmed_edges(members: DataFrame, kind: str, words: int, percent: float, parts: int) -> DataFrame:
     """Forest edges between classes of a cluster tile whose full sets reach the threshold."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,10 +186,11 @@ def _confirmed_edges(members: DataFrame, kind: str, percent: float) -> DataFrame
         for _, g in pdf.groupby(["cluster", "tile_i", "tile_j"], sort=False):
             if len(g) < 2:
                 continue
-            g = g.drop_duplicates(["id", "shingles"]).sort_values("id")
-            ids = g["id"].to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
+            g = g.drop_duplicates(["id", "text"]).sort_values("id")
+            raw = [t.encode() for t in g["text"]]
+            sets = exact_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), words)
             size = np.array([len(s) for s in sets], np.int64)
+            ids, sets, size = g["id"].to_numpy()[size > 0], [s for s in sets if len(s)], size[size > 0]
             _, dense = np.unique(np.concatenate(sets), return_inverse=True)
             at = np.concatenate([[0], np.cumsum(size)])
             flag = np.zeros(dense.max() + 1, bool)
@@ -173,21 +205,12 @@ def _confirmed_edges(members: DataFrame, kind: str, percent: float) -> DataFrame
                 flag[own] = False
                 return 100 * both >= percent * (n + size[v] - both)
 
-            for v, root in _walk(len(g), near):
+            for v, root in _walk(len(ids), near):
                 src.append(ids[v])
                 dst.append(ids[root])
         return pd.DataFrame({"src": src, "dst": dst})
 
-    return members.groupBy("bundle").applyInPandas(run, f"src {kind}, dst {kind}")
-
-
-def _packed_sets(df: DataFrame, kind: str, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offs in text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offs, words)], pa.binary())], names=["id", "shingles"])
-
-    return df.mapInArrow(run, f"id {kind}, shingles binary")
+    return members.repartition(parts, "bundle").groupBy("bundle").applyInPandas(run, f"src {kind}, dst {kind}")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: float = 80, n_hashes: int = 252, bits: int = 2, slack: float = 0.12) -> DataFrame:
@@ -204,22 +227,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = shuffle_partitions(spark)
     docs = saved(_sketch_rows(df, id_col, text_col, words, n_hashes, rows, bits))
     linkable = docs.where("id is not null and n_shingles > 0")
-    classes = saved(linkable.groupBy("k0", "k1", "n_shingles").agg(F.min(F.struct("id", "sig", "bands")).alias("s")).select("k0", "k1", "n_shingles", "s.*"))
+    classes = saved(linkable.groupBy("k0", "k1", "n_shingles").agg(F.min(F.struct("id", "n_bytes", "sig", "bands")).alias("s")).select("k0", "k1", "n_shingles", "s.*"))
 
     keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / BUCKET_ROWS).alias("blocks"))
     buckets = _tiles(keys.join(shared, ["band", "key"]).join(classes.select("id", "n_shingles", "sig"), "id"), "blocks", "id")
     buckets = buckets.withColumn("bundle", F.pmod(F.xxhash64("band", "key", "tile_i", "tile_j"), F.lit(8 * parts)))
-    edges = _estimated_edges(buckets, kind, n_hashes, bits, t - slack, t)
+    edges = _estimated_edges(buckets, kind, n_hashes, bits, t - slack, t, parts)
 
     cluster = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    cluster = cluster.join(classes.select("id", "n_shingles"), "id")
-    totals = cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).alias("blocks"))
-    wanted = cluster.select("id", "cluster").join(totals, "cluster")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = _tiles(_packed_sets(texts.join(wanted.select("id"), "id", "left_semi"), kind, words).join(wanted, "id"), "blocks", "id")
+    cluster = cluster.join(classes.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes")), "id")
+    totals = cluster.groupBy("cluster").agg(F.ceil((F.sum("n_bytes") + 1) / CLUSTER_BYTES).alias("blocks"))
+    wanted = side(saved(cluster.select("id", "cluster").join(totals, "cluster")), 48)
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    members = _tiles(texts.join(wanted, "id"), "blocks", "id")
     members = members.withColumn("bundle", F.pmod(F.xxhash64("cluster", "tile_i", "tile_j"), F.lit(8 * parts)))
-    links = connected_components(_confirmed_edges(members, kind, percent)).select(F.col("node").alias("rep"), "component")
+    confirmed = _confirmed_edges(members, kind, words, percent, parts)
+    twice = linkable.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if twice.limit(1).count():  # an id of several texts ties their classes together
+        own = linkable.join(twice, "id", "left_semi").join(classes.select("k0", "k1", "n_shingles", F.col("id").alias("dst")), ["k0", "k1", "n_shingles"])
+        confirmed = confirmed.unionByName(own.select(F.col("id").alias("src"), "dst"))
+    links = connected_components(confirmed).select(F.col("node").alias("rep"), "component")
 
     reps = classes.select("k0", "k1", "n_shingles", F.col("id").alias("rep")).join(links, "rep", "left").select("k0", "k1", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = docs.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))

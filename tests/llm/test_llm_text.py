@@ -5,12 +5,13 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lingloom.llm import bpe, decontaminate, jobs, line_dedup, near_dup, suffix_dedup
+from lingloom.llm import bpe, decontaminate, jobs, kernels, line_dedup, near_dup, suffix_dedup
 
 DOCS = "doc_id long, text string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,9 +81,10 @@ def test_near_duplicates_equal_brute_force(spark, words, percent, monkeypatch):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], DOCS + ", component_id string")
-    for rows, held in ((4096, 2_000_000), (2, 50)):  # the second deals even these small groups into tiles
+    for rows, held in ((4096, 16 << 20), (2, 400)):  # the second deals even these small groups into tiles
         monkeypatch.setattr(near_dup, "BUCKET_ROWS", rows)
-        monkeypatch.setattr(near_dup, "CLUSTER_SHINGLES", held)
+        monkeypatch.setattr(near_dup, "CLUSTER_BYTES", held)
+        monkeypatch.setattr(jobs, "BROADCAST_BYTES", held)
         got = {r.doc_id: r for r in near_dup.near_duplicates(df, words=words, percent=percent).collect()}
         assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == {k: (len(sets[k]), root(k), root(k) == k) for k in range(len(texts))}
 
@@ -93,6 +95,42 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def thue_morse(n, swap):
+    """A word whose hash by powers modulo 2**64 equals that of its swapped twin."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s.translate(str.maketrans("ab", "ba")) if swap else s
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_are_told_apart_by_their_bytes(spark, n, monkeypatch):
+    a, b, rest = thue_morse(n, False), thue_morse(n, True), "one two three four"
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a.upper()} {rest}")], DOCS)
+    item = spark.createDataFrame([(1, f"{a} {rest}")], "item_id long, text string")
+    for clash in (False, True):
+        if clash:  # even where all words of a length have one hash
+            monkeypatch.setattr(kernels, "word_hashes", lambda data, starts, ends: kernels.mix((ends - starts).astype("uint64")))
+            monkeypatch.setattr(decontaminate, "word_hashes", kernels.word_hashes)
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        starts, ends, _ = kernels.words(data, np.array([0, len(data)]))
+        x, y, z = kernels.word_numbers(data, starts, ends).tolist()
+        assert x == z != y
+        sets = kernels.exact_sets(np.frombuffer((a + b + a).encode(), np.uint8), np.array([0, n, 2 * n, 3 * n]), 5)
+        assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist()
+        if not clash:
+            got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+            assert got == {1: 1, 2: 2, 3: 1}
+        assert sorted(r.doc_id for r in decontaminate.contained_items(df, item).collect()) == [1, 3]
+
+
+def test_an_id_of_several_texts_ties_their_groups(spark):
+    one, two = " ".join(f"w{k}" for k in range(30)), " ".join(f"x{k}" for k in range(30))
+    rows = [(2, one), (9, one), (9, two), (11, two), (9, None), (20, one + " end"), (30, "alone here"), (9, two + " more")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(2, 2), (9, 2), (11, 2), (20, 2), (30, 30)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(None, 4), (2000, 2000)]
