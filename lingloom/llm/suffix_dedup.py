@@ -12,9 +12,11 @@ A suffix array of a whole corpus fits no task, so the work is cut by content:
 4. A suffix array over the remaining strings puts equal windows next to each other; of each such class all windows
    but the earliest are repeated.
 
-An anchor with over HOT_CONTEXTS differing contexts (the end of a line that a third of the documents share) would
-fill a task. Its windows are hashed one by one instead and meet their earliest equal in a grouped minimum, which
-combines before the shuffle, and a join: the exact way for the rest.
+A very frequent anchor (the end of a line that a third of the documents share) would fill a task. Those that a bounded
+sample of texts shows are dealt out by context from the start, and any other with over HOT_CONTEXTS differing contexts
+leaves the arrays as well: their windows are hashed one by one and meet their earliest equal in a grouped minimum,
+which combines before the shuffle, and a join: the exact way for the rest. The sample decides where rows go, never what
+is removed.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .kernels import mix, powers, text_chunks
 GRAM = 24  #: bytes of an anchor
 FOLD_BYTES = 16 << 20  #: text of which a task folds equal contexts before the shuffle
 HOT_CONTEXTS = 50_000  #: differing contexts of one anchor that one task takes
+SAMPLE_TEXTS, SAMPLE_HITS = 5000, 50  #: texts that are looked at for frequent anchors, and how many contexts one has there
 BLOCK = 60_000  #: symbols of one suffix array; strings under one anchor are never parted
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -47,33 +50,47 @@ def suffix_array(text: list[int]) -> list[int]:
     """
     n = len(text) + 1
     s = [x + 1 for x in text] + [0]
-    order = sorted(range(n), key=s.__getitem__)
-    place, start, size = [0] * n, [0] * n, [0] * n
-    at = 0
-    for k, i in enumerate(order):
-        if k and s[order[k - 1]] != s[i]:
-            at = k
-        place[i], start[i] = k, at
-        size[at] += 1
+    size = [0] * n
+    begin = [0] * (max(s) + 2)
+    for x in s:
+        begin[x + 1] += 1
+    for x in range(1, len(begin)):
+        begin[x] += begin[x - 1]
+    first, order, place, start = begin[:-1], [0] * n, [0] * n, [0] * n
+    for i, x in enumerate(s):
+        k = first[x]
+        first[x] += 1
+        order[k], place[i], start[i] = i, k, begin[x]
+        size[begin[x]] += 1
     prev = [-1] * n
     end = n - 1
     while end >= 0:
-        first = start[order[end]]
-        times: dict[int, int] = {}
-        for i in sorted(order[first : end + 1]) if end > first else (order[end],):
+        low = start[order[end]]
+        group = order[low : end + 1]
+        for i in group:  # up to the last earlier suffix of this group or a lower one
             p = i - 1
-            while p >= 0 and start[p] >= first:
+            while p >= 0 and start[p] > low:
                 p = prev[p]
             prev[i] = p
+        for i in group:  # on through this group, each of whose members is passed once
+            p = i
+            while p >= 0 and start[p] == low:
+                p = prev[p]
+            q = i
+            while q != p and prev[q] != p:
+                prev[q], q = p, prev[q]
+        times: dict[int, int] = {}
+        for i in group:
+            p = prev[i]
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
         if times:
-            by_count: dict[int, list[int]] = {}
+            by_count: list[list[int]] = [[] for _ in range(max(times.values()) + 1)]
             for p, c in times.items():
-                by_count.setdefault(c, []).append(p)
-            for c in sorted(by_count, reverse=True):
+                by_count[c].append(p)
+            for same in reversed(by_count):
                 left: dict[int, list[int]] = {}
-                for p in by_count[c]:
+                for p in same:
                     g = start[p]
                     size[g] -= 1
                     k, here = g + size[g], place[p]
@@ -87,7 +104,7 @@ def suffix_array(text: list[int]) -> list[int]:
                     size[new] = len(members)
                     for p in members:
                         start[p] = new
-        end = first - 1
+        end = low - 1
     out, placed, front = [n - 1] * n, [False] * n, list(range(n))
     for k in range(n):
         j = out[k] - 1
@@ -100,27 +117,32 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def _span_hash(total: np.ndarray, inverse: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return (total[hi] - total[lo]) * inverse[lo]
-
-
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text number, offset, hash, bytes after the offset in the context, context hash) of the anchors of a chunk's texts."""
+    """(text number, offset, hash, bytes after the offset in the context, context hash) of the anchors of a chunk's texts.
+
+    A string's hash is a sum of powers over its 8-grams, each mixed first: sums over plain bytes collide on long regular
+    strings.
+    """
     n, w = len(data), length - gram + 1
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.uint64))
     if n < length:
         return none
     p, q = powers(n)
+    part = min(8, gram)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    grams = mix(np.ndarray((n,), "<u8", padded, 0, (1,)) & np.uint64((1 << 8 * part) - 1))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-    h = mix((total[gram:] - total[:-gram]) * q[: n - gram + 1])
+    np.cumsum(grams * p[:n], out=total[1:])
+    span = lambda lo, hi: (total[hi - part + 1] - total[lo]) * q[lo]
+    h = mix((total[gram - part + 1 : n - part + 2] - total[: n - gram + 1]) * q[: n - gram + 1])
     low = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    span = 1
-    while span * 2 <= w:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < w:
-        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+    wide = 1
+    while wide * 2 <= w:
+        low = np.minimum(low[:-wide], low[wide:])
+        wide *= 2
+    if wide < w:
+        low = np.minimum(low[: len(low) - (w - wide)], low[w - wide :])
     ok = np.zeros(n + 1, np.int32)  # windows that end before their text does
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
         if b - a >= length:
@@ -133,45 +155,86 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     text = np.searchsorted(offs, at, "right") - 1
     lo = np.maximum(offs[text], at + gram - length)
     hi = np.minimum(offs[text + 1], at + length)
-    context = mix(_span_hash(total, q, lo, hi) + (at - lo).astype(np.uint64) * _C1 + (hi - at).astype(np.uint64) * _C2)
+    context = mix(span(lo, hi) + (at - lo).astype(np.uint64) * _C1 + (hi - at).astype(np.uint64) * _C2)
     return text, at - offs[text], h[at], hi - at, context
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, id, at, done): at = offset << 9 | bytes after it in the context; done: an equal context comes earlier."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs(id, text) with `doc`, a number in order of id that two rows share only where they share the text too.
+
+    Ids are such numbers where none is repeated with another text; else ids and text hashes are sorted and numbered.
+    """
+    own = docs.where("id is not null").select("id", F.xxhash64("text").alias("_x"))
+    mixed = own.groupBy("id").agg(F.min("_x").alias("a"), F.max("_x").alias("b")).where("a <> b")
+    if not mixed.limit(1).count():
+        return docs.withColumn("doc", F.col("id"))
+    keys = saved(own.distinct().repartitionByRange("id", "_x").sortWithinPartitions("id", "_x").withColumn("doc", F.monotonically_increasing_id()))
+    return docs.withColumn("_x", F.xxhash64("text")).join(keys, ["id", "_x"], "left").select("id", "text", "doc")
+
+
+def _anchors_of(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], int]]:
+    """(documents, anchors, bytes) of each chunk of batches of (doc, text)."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, _, data, offs in text_chunks(batch.column(1), 1 << 20):
+            found = anchors(data, offs, length, gram)
+            yield ids[i:][found[0]], found, len(data)
+
+
+def _frequent_anchors(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Sorted hashes of anchors with SAMPLE_HITS differing contexts in about SAMPLE_TEXTS sampled texts."""
+    share = min(1.0, SAMPLE_TEXTS / max(docs.count(), 1))
+    part = docs.where(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, _, h, _, c), _ in _anchors_of(batches, length, gram):
+            pair = np.unique(np.stack([h.view(np.int64), c.view(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["h", "c"])
+
+    pairs = part.where("text is not null").select("doc", "text").mapInArrow(run, "h long, c long").distinct()
+    often = pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS).select("h").collect()
+    return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
+
+
+def _anchor_rows(docs: DataFrame, length: int, gram: int, frequent: np.ndarray) -> DataFrame:
+    """(h, c, id, at, done, often): at = offset and bytes after it in the context; done: an equal context comes earlier.
+
+    Rows that need no partner, and those of frequent anchors, whose contexts meet elsewhere, are spread over all h.
+    """
+    shift = length.bit_length()
 
     def fold(parts: list[tuple]) -> pa.RecordBatch:
         ids, pos, h, after, c = (np.concatenate(x) for x in zip(*parts))
-        at = pos << 9 | after
+        at = pos << shift | after
         order = np.lexsort((at, ids, c, h))
         ids, at, h, c = ids[order], at[order], h[order], c[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         done = (ids != ids[first]) | (at != at[first])
-        h = np.where(done, mix(ids.astype(np.uint64) * _C1 + at.astype(np.uint64)), h)  # spread: they need no partner
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids), pa.array(at), pa.array(done)], names=["h", "c", "id", "at", "done"])
+        often = np.isin(h, frequent)
+        h = np.where(often, mix(h + c), h)
+        h = np.where(done, mix(ids.astype(np.uint64) * _C1 + at.astype(np.uint64)), h)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids), pa.array(at), pa.array(done), pa.array(often)], names=["h", "c", "id", "at", "done", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, offs in text_chunks(batch.column(1), 1 << 20):
-                text, pos, h, after, c = anchors(data, offs, length, gram)
-                parts.append((ids[i:][text], pos, h, after, c))
-                held += len(data)
-                if held >= FOLD_BYTES:
-                    yield fold(parts)
-                    parts, held = [], 0
+        for ids, (_, pos, h, after, c), size in _anchors_of(batches, length, gram):
+            parts.append((ids, pos, h, after, c))
+            held += size
+            if held >= FOLD_BYTES:
+                yield fold(parts)
+                parts, held = [], 0
         if parts:
             yield fold(parts)
 
-    return docs.where("id is not null and text is not null").mapInArrow(run, "h long, c long, id long, at long, done boolean")
+    return docs.where("doc is not null and text is not null").select("doc", "text").mapInArrow(run, "h long, c long, id long, at long, done boolean, often boolean")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, id, pos, left, body) of wanted(id, h, at): body is the context's bytes, left how many of them are before the anchor."""
     asked = wanted.groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+    shift, low = length.bit_length(), (1 << length.bit_length()) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,14 +244,15 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 count = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1])
                 flat = lists.flatten()
                 at = flat.field("at").to_numpy(zero_copy_only=False)
-                pos, hi = at >> 9, (at >> 9) + (at & 511)
+                pos, hi = at >> shift, (at >> shift) + (at & low)
                 lo = np.maximum(0, pos + gram - length)
                 row = np.repeat(np.arange(len(count)), count)
                 raw = [t.encode() for t in part.column(1).to_pylist()]
                 body = [raw[r][a:b] for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist())]
                 yield pa.RecordBatch.from_arrays([flat.field("h"), part.column(0).take(pa.array(row)), pa.array(pos), pa.array(pos - lo), pa.array(body, pa.binary())], names=["h", "id", "pos", "left", "body"])
 
-    return docs.join(asked, "id").select("id", "text", "asked").mapInArrow(run, "h long, id long, pos long, left long, body binary")
+    one = docs.where("text is not null").select(F.col("doc").alias("id"), "text")
+    return one.join(asked, "id").select("id", "text", "asked").mapInArrow(run, "h long, id long, pos long, left long, body binary")
 
 
 def _shared_reach(group: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -314,7 +378,20 @@ def _repeats_of(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, lo long, hi long")
 
 
-def _repeats_of_hot(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def _window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of `length` bytes that starts at `at`: its blocks of 8 bytes, mixed with their numbers."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+    out = np.zeros(len(at), np.uint64)
+    for k in range(0, length, 8):
+        left = min(8, length - k)
+        out += mix(mix(word[at + k] & np.uint64((1 << 8 * left) - 1)) + np.uint64(k + 1) * _C2)
+    return mix(out)
+
+
+def _repeats_of_hot(contexts: DataFrame, length: int) -> DataFrame:
     """(id, lo, hi) like _repeats_of, for contexts under very frequent anchors, window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,56 +400,56 @@ def _repeats_of_hot(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                 part = batch.slice(k, 2000)
                 bodies = part.column(4).to_pylist()
                 size = np.array([len(b) for b in bodies])
-                raw = np.frombuffer(b"".join(bodies), np.uint8)
-                p, q = powers(len(raw))
-                total = np.zeros(len(raw) + 1, np.uint64)
-                np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=total[1:])
                 count = np.maximum(size - length + 1, 0)
                 row = np.repeat(np.arange(len(size)), count)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = (np.cumsum(size) - size)[row] + off
-                w = mix(_span_hash(total, q, at, at + length))
-                h, ids = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                w = _window_hashes(np.frombuffer(b"".join(bodies), np.uint8), (np.cumsum(size) - size)[row] + off, length)
+                ids = part.column(1).to_numpy(zero_copy_only=False)
                 start = (part.column(2).to_numpy() - part.column(3).to_numpy())[row] + off
-                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(w.view(np.int64)), pa.array(ids[row]), pa.array(start)], names=["h", "w", "id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[row]), pa.array(start)], names=["w", "id", "start"])
 
-    windows = contexts.mapInArrow(run, "h long, w long, id long, start long")
-    first = windows.groupBy("h", "w").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("h", "w", "first")
-    later = windows.join(first, ["h", "w"]).where(F.struct("id", "start") != F.col("first"))
+    windows = contexts.mapInArrow(run, "w long, id long, start long")
+    first = windows.groupBy("w").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("w", "first")
+    later = windows.join(first, "w").where(F.struct("id", "start") != F.col("first"))
     return later.select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
 
 
-def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM) -> DataFrame:
-    """(id, lo, hi): byte ranges of the texts that are covered by strings of `length` bytes which start earlier too.
-
-    Earlier: in a smaller id, or in the same text before. Ranges may overlap. Ids are integers; rows of null id or
-    text have no ranges; rows that repeat an id are taken as the same document, so equal ones do not remove each other.
-    """
+def _ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(id, lo, hi) of docs(doc, text), id a doc."""
     gram = min(gram, length)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    shift, low = length.bit_length(), (1 << length.bit_length()) - 1
     by_context = Window.partitionBy("h", "c").orderBy("id", "at")
     by_anchor = Window.partitionBy("h")
-    met = _anchor_rows(docs, length, gram).repartition("h").withColumn("k", F.rank().over(by_context)).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
+    rows = _anchor_rows(docs, length, gram, _frequent_anchors(docs, length, gram))
+    met = rows.repartition("h").withColumn("k", F.rank().over(by_context)).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
     met = met.withColumn("repeated", F.col("done") | (F.col("k") > 1))
-    met = met.withColumn("hot", F.count_if(F.col("k") == 1).over(by_anchor) > HOT_CONTEXTS).where("repeated or mixed").select("h", "id", "at", "repeated", "hot")
+    met = met.withColumn("hot", F.col("often") | (F.count_if(F.col("k") == 1).over(by_anchor) > HOT_CONTEXTS)).where("repeated or mixed or often").select("h", "id", "at", "repeated", "hot")
     met = saved(met)
-    pos = F.shiftright("at", 9)
-    whole = met.where("repeated").select("id", F.greatest(F.lit(0), pos + gram - length).alias("lo"), (pos + F.col("at").bitwiseAND(511)).alias("hi"))
+    pos = F.shiftright("at", shift)
+    whole = met.where("repeated").select("id", F.greatest(F.lit(0), pos + gram - length).alias("lo"), (pos + F.col("at").bitwiseAND(low)).alias("hi"))
     open_rows = met.where("not repeated")
     parts = _repeats_of(_contexts(docs, open_rows.where("not hot").select("id", "h", "at"), length, gram), length, gram)
     hot = open_rows.where("hot").select("id", "h", "at")
     if hot.limit(1).count():
-        parts = parts.unionByName(_repeats_of_hot(_contexts(docs, hot, length, gram), length, gram))
+        parts = parts.unionByName(_repeats_of_hot(_contexts(docs, hot, length, gram), length))
     return whole.unionByName(parts)
 
 
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _numbered(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, spans, kept) for each row of df: spans are the maximal removed byte runs, kept the bytes left over.
 
-    A null or empty text has no bytes, no spans and keeps nothing. kept is binary: a run may end inside a character.
+    spans cover the byte ranges that strings of `length` bytes cover which start earlier too, in a smaller id or in the
+    same text before. Ids are integers. A null or empty text has no bytes, no spans and keeps nothing; neither is anything
+    taken from a row of null id. Rows that repeat an id with one text are one document, so they do not remove each
+    other; different texts of an id are documents of their own, in order of a hash of the text. kept is binary: a run
+    may end inside a character.
     """
-    ranges = repeated_ranges(df, id_col, text_col, length, gram).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = _documents(df, id_col, text_col)
+    ranges = _ranges(docs, length, gram).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges")).withColumnRenamed("id", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,5 +471,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
-    out = docs.join(ranges, "id", "left").select("id", "text", "ranges").mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = docs.join(ranges, F.col("doc") == F.col("of"), "left").select("id", "text", "ranges").mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)

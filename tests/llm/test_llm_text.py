@@ -160,9 +160,10 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram, hot", [(100, 24, 50_000), (20, 8, 50_000), (16, 16, 50_000), (100, 24, 1), (20, 8, 3)])
-def test_repeats_equal_brute_force(spark, length, gram, hot, monkeypatch):
+@pytest.mark.parametrize("length, gram, hot, often", [(100, 24, 50_000, 50), (20, 8, 50_000, 50), (16, 16, 50_000, 50), (100, 24, 1, 50), (20, 8, 3, 50), (100, 24, 50_000, 2), (20, 4, 50, 3)])
+def test_repeats_equal_brute_force(spark, length, gram, hot, often, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_HITS", often)
     rng = random.Random(length)
     word = lambda: rng.choice(["the", "ä", "of", "Straße", "x", "ing ", "\n"]) + rng.choice("abc ") * rng.randint(0, 3)
     passages = ["".join(word() for _ in range(rng.randint(5, 120))) for _ in range(6)]
@@ -175,6 +176,53 @@ def test_repeats_equal_brute_force(spark, length, gram, hot, monkeypatch):
     assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == brute_repeats(rows, length)
 
 
+@pytest.mark.parametrize("length", [512, 600, 2000])
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_repeats_of_long_strings(spark, length, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    rng = random.Random(length)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, regular = noise(2300), thue_morse(2048, False)
+    rows = [(1, noise(900) + shared + noise(50)), (2, noise(30) + shared + noise(900)), (3, shared[100:1900]), (4, shared), (5, "z" * 3 * length)]
+    rows += [(6, "<" + regular + ">" + noise(300)), (7, "<" + thue_morse(2048, True) + ">" + noise(300)), (8, noise(40) + regular[7:])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS), length=length).collect()
+    want = brute_repeats(rows, length)
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 2 * length
+
+
+def test_repeats_of_an_id_with_several_texts(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two = noise(300), noise(400)
+    rows = [(7, one), (7, two + one[:150]), (7, one), (3, noise(20) + two), (9, one + two), (None, one), (7, None)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    removed = {(r.doc_id, r.n_bytes): r.n_bytes - len(r.kept) for r in got}
+    assert len(got) == len(rows) and removed[9, 700] == 700 and removed[3, 420] == 0 and removed[None, 300] == 0 and removed[7, 0] == 0
+    # of the two texts of id 7 the one of greater hash loses what it shares with the other; two is 3's already
+    assert (removed[7, 300], removed[7, 550]) in {(0, 550), (150, 400)}
+
+
+def test_long_and_short_texts_around_a_chunk(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(230_000))
+    assert len(long) > 1.1 * kernels.CHUNK_BYTES
+    item = " ".join(long.split()[200_000:200_030])
+    rows = [(1, long), (2, long + " end"), (3, item), (4, "short one here with words"), (5, long[-600:])]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    found = decontaminate.contained_items(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [1, 2, 3]
+    got = {r.doc_id: r.n_bytes - len(r.kept) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got[1] < 1000 and got[2] >= len(long) and got[3] == len(item) and got[4] == 0 and got[5] == 600
+    coded = {r.doc_id: r for r in bpe.encode(df, PATH, decoded=True).collect()}
+    assert coded[1].decoded == long and coded[1].ids == Tokenizer.from_file(PATH).encode(long, add_special_tokens=False).ids
+    lines = spark.createDataFrame([(k, f"menu\n{long[k * 100 : k * 100 + 50]}\n" + ("x y\n" * 100_000 if k == 0 else "")) for k in range(12)], DOCS).withColumn("source", F.lit("s"))
+    left = {r.doc_id: r.text for r in line_dedup.drop_boilerplate_from_text(lines).collect()}
+    assert len(left) == 12 and not any("menu" in t for t in left.values()) and len(left[0]) > 400_000
+
+
 def test_repeats_of_odd_rows(spark):
     got = suffix_dedup.remove_repeats(spark.createDataFrame([*ODD, (9, "q" * 150), (9, "q" * 150)], DOCS)).collect()
     assert len(got) == len(ODD) + 2 and {(r.n_bytes, len(r.kept)) for r in got if r.doc_id == 9} == {(150, 1)} and [len(r.kept) for r in got if r.doc_id == 1] == [0]
