@@ -9,8 +9,9 @@ then goes to the other shards that the triangle inequality cannot rule out, and
 outward from its own distance, until no annulus left can reach its bound. With |q - x| >= |d(q, p) - d(x, p)|,
 q . x <= (|q|^2 + |x|^2 - |q - x|^2) / 2; and q . x <= q . p + |q| d(x, p).
 
-The shards' table of annuli has n_shards + n_pivots rows at most and is broadcast; shards hold about
-`shard_rows` vectors, and the queries that meet in a shard are dealt into blocks, so a task's size is bounded.
+Shards hold about `shard_rows` vectors, and the queries that meet in a shard are dealt into blocks, so a task's size is
+bounded. The table of annuli that is broadcast has at most MAX_RUNS + n_pivots rows: with more shards than that, an
+entry of it stands for several shards in a row, all of which a query that cannot rule it out goes to.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ N_PIVOTS = 64
 SHARD_ROWS = 20_000
 QUERY_BLOCK = 4096
 ANNULUS = 1024  #: vectors of an annulus that one step scores
+MAX_RUNS = 50_000  #: entries of the table of annuli, some 40 bytes each
+RUN_BLOCK = 2048  #: annuli that 1024 queries are held against at once
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -72,12 +75,22 @@ def _merge(ids, scores, new_ids, new_scores, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "v", n_pivots: int = N_PIVOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, score): for each query its k rows of greatest inner product, ties to the smaller id.
 
-    Both tables hold (id long, v array<long>) of one dimension; a row whose id is the query's own is no candidate.
-    Rows that repeat an id are candidates of their own with equal score; queries that repeat an id count once.
+    Both tables hold (id long, v array<long>); a vector with fewer components than another counts as having zeros after
+    them. A row whose id is the query's own is no candidate. Rows that repeat an id are candidates of their own with
+    equal score; queries that repeat an id count once, by their least vector. Rows of null id or vector take no part,
+    and other columns are left out. An empty table of either kind gives no rows.
     """
-    pivots_rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots).select(vector_col).collect()
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
+    usable = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
+    vectors, queries = usable(vectors), usable(queries)
+    sizes = vectors.select(F.size(vector_col).alias("n")).union(queries.select(F.size(vector_col))).agg(F.max("n")).first()[0]
+    if not sizes:
+        return empty
+    padded = F.concat(F.col(vector_col).cast("array<long>"), F.array_repeat(F.lit(0).cast("long"), F.lit(sizes) - F.size(vector_col)))
+    vectors, queries = vectors.select(id_col, padded.alias(vector_col)), queries.select(id_col, padded.alias(vector_col))
+    pivots_rows = vectors.orderBy(F.xxhash64(id_col), id_col, vector_col).limit(n_pivots).select(vector_col).collect()
     if not pivots_rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
+        return empty
     pivots = np.unique(_matrix([r[0] for r in pivots_rows]), axis=0).astype(np.float64)
     square = (pivots**2).sum(1)
 
@@ -96,19 +109,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
     data = own(vectors).mapInPandas(keyed, schema)
     n_shards = max(1, -(-vectors.count() // shard_rows))
     shards = saved(data.repartitionByRange(n_shards, "pivot", "dist", "id").withColumn("shard", F.spark_partition_id()))
-    annuli = shards.groupBy("shard", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("longest"))
-    runs = annuli.orderBy("shard", "pivot").toPandas()  # n_shards + n_pivots rows at most
-    asked = saved(own(queries).groupBy("id").agg(F.first("v").alias("v")).mapInPandas(keyed, schema))
-    run_pivot, run_shard = runs["pivot"].to_numpy(), runs["shard"].to_numpy()
-    run_lo, run_hi, run_longest = (runs[c].to_numpy() for c in ("lo", "hi", "longest"))
+    together = -(-n_shards // MAX_RUNS)
+    annuli = shards.groupBy(F.floor(F.col("shard") / together).cast("int").alias("shard"), "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("longest"))
+    runs = annuli.orderBy("shard", "pivot").toPandas()  # MAX_RUNS + n_pivots rows at most
+    asked = saved(own(queries).groupBy("id").agg(F.min("v").alias("v")).mapInPandas(keyed, schema))
+    table = vectors.sparkSession.sparkContext.broadcast(tuple(runs[c].to_numpy() for c in ("pivot", "shard", "lo", "hi", "longest")))
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_pivot, run_shard, run_lo, run_hi, _ = table.value
         for pdf in batches:
-            if len(pdf):
-                far = np.where(run_pivot[None, :] == pdf["pivot"].to_numpy()[:, None], np.maximum(run_lo - pdf["dist"].to_numpy()[:, None], pdf["dist"].to_numpy()[:, None] - run_hi), np.inf)
-                yield pdf[["id", "v"]].assign(shard=run_shard[np.maximum(far, 0).argmin(1)], bound=np.iinfo(np.int64).min, home=-1)
+            for a in range(0, len(pdf), 1024):
+                part = pdf.iloc[a : a + 1024]
+                pivot, dist = part["pivot"].to_numpy()[:, None], part["dist"].to_numpy()[:, None]
+                best, least = np.zeros(len(part), np.int64), np.full(len(part), np.inf)
+                for r in range(0, len(run_pivot), RUN_BLOCK):
+                    s = slice(r, r + RUN_BLOCK)
+                    far = np.where(run_pivot[None, s] == pivot, np.maximum(np.maximum(run_lo[None, s] - dist, dist - run_hi[None, s]), 0), np.inf)
+                    at = far.argmin(1)
+                    far = far[np.arange(len(part)), at]
+                    best, least = np.where(far < least, at + r, best), np.minimum(far, least)
+                yield part[["id", "v"]].assign(shard=run_shard[best] * together, bound=np.iinfo(np.int64).min, home=-1)
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_pivot, run_shard, run_lo, run_hi, run_longest = table.value
         for pdf in batches:
             for a in range(0, len(pdf), 1024):
                 part = pdf.iloc[a : a + 1024]
@@ -116,12 +139,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
                 qq = (q**2).sum(1)[:, None]
                 qp = q @ pivots.T
                 dq = np.sqrt(np.maximum(0, qq + square[None, :] - 2 * qp))
-                b = _bound(qq, dq[:, run_pivot], qp[:, run_pivot], run_lo[None, :], run_hi[None, :], run_longest[None, :])
-                row, run = np.nonzero((b >= part["bound"].to_numpy()[:, None]) & (run_shard[None, :] != part["home"].to_numpy()[:, None]))
-                pair = np.unique(np.stack([row, run_shard[run]], 1), axis=0)
-                if len(pair):
-                    got = part.iloc[pair[:, 0]]
-                    yield pd.DataFrame({"id": got["id"].to_numpy(), "v": got["v"].tolist(), "shard": pair[:, 1].astype(np.int32), "bound": got["bound"].to_numpy(), "home": got["home"].to_numpy()})
+                pairs = [np.zeros((0, 2), np.int64)]
+                for r in range(0, len(run_pivot), RUN_BLOCK):
+                    s = slice(r, r + RUN_BLOCK)
+                    b = _bound(qq, dq[:, run_pivot[s]], qp[:, run_pivot[s]], run_lo[None, s], run_hi[None, s], run_longest[None, s])
+                    row, run = np.nonzero(b >= part["bound"].to_numpy()[:, None])
+                    pairs.append(np.stack([row, run_shard[s][run]], 1))
+                pair = np.unique(np.concatenate(pairs), axis=0)
+                pair = np.stack([np.repeat(pair[:, 0], together), (pair[:, 1:] * together + np.arange(together)).ravel()], 1)
+                pair = pair[(pair[:, 1] < n_shards) & (pair[:, 1] != part["home"].to_numpy()[pair[:, 0]])]
+                for c in range(0, len(pair), 4096):
+                    pair_ = pair[c : c + 4096]
+                    got = part.iloc[pair_[:, 0]]
+                    yield pd.DataFrame({"id": got["id"].to_numpy(), "v": got["v"].tolist(), "shard": pair_[:, 1].astype(np.int32), "bound": got["bound"].to_numpy(), "home": got["home"].to_numpy()})
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []

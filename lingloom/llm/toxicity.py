@@ -5,16 +5,18 @@ whose states are sets of (trie node, edits so far), made as words need them. A w
 dies after a few letters. Terms are seeds and words that rated documents tie to toxicity; misspellings that are
 ordinary words of clean rated documents do not count.
 
-Each hit is scored by its window: inside quotation marks or after a reporting word it is likely quoted, beside a
-second-person word it is likely abuse. A logistic regression over the counts of both kinds, with prior weights that
-hold where the ratings say nothing, gives the score. Fits use at most `max_labelled` rated documents (documented
-bound); one half picks the terms while the other half fits the weights. Scoring covers all texts in one pass.
+Each hit is scored by its window: inside quotation marks, paired over its line, or after a reporting word it is likely
+quoted, beside a second-person word it is likely abuse. A logistic regression over the counts of both kinds, with prior
+weights that hold where the ratings say nothing, gives the score. Fits use at most `max_labelled` rated documents
+(documented bound, so their words are bounded too; every term that they show is taken); one half picks the terms while
+the other half fits the weights. Scoring covers all texts in one pass.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,13 +27,12 @@ from pyspark.sql import functions as F
 
 from .jobs import saved
 
-#: Seed terms, reporting words and second-person words.
+#: Seed terms, reporting words and second-person words, quotation marks.
 SEEDS = ["idiot", "moron", "scum", "trash", "stupid", "clown", "loser", "pathetic", "worthless", "disgusting"]
-REPORTING = ["said", "says", "called", "wrote", "quote", "quoted", "term", "word", "slur", "insult", "quoting"]
+REPORTING = ["said", "says", "called", "wrote", "quote", "quoted", "term", "word", "slur", "insult", "quoting", "sagte", "nannte", "schrieb", "wort", "dit", "écrit", "mot", "dijo", "llamó", "escribió", "palabra"]
 SECOND_PERSON = ["you", "your", "youre", "u", "du", "dein", "tu", "vous", "ton", "usted"]
 
 MAX_LABELLED = 12_000
-MAX_TERMS = 1000
 MEMORY = 200_000
 WINDOW = 80  #: characters on each side of a hit
 SEED_WEIGHT = 4.0
@@ -40,7 +41,12 @@ PRIOR = np.array([-3.0, 2.0, 0.7, 0.5, -0.5, 2.5, 0.7, -0.5, 0.7, 0.2])
 _WORD = re.compile(r"\w+")
 _REPORT = re.compile(r"\b(?:" + "|".join(REPORTING) + r")\b[^.!?\n]{0,40}$")
 _PERSON = re.compile(r"\b(?:" + "|".join(SECOND_PERSON) + r")\b")
-_MARKS = re.compile("[\"“”«»]")
+#: A quotation within a line, marks by pair; an apostrophe inside a word neither opens nor closes one.
+QUOTATIONS = [
+    r'"[^"\n]*"', "„[^„“”\n]*[“”]", "“[^“”\n]*”", "«[^«»\n]*»", "»[^«»\n]*«", "‹[^‹›\n]*›", "›[^‹›\n]*‹", "‚[^‚‘’\n]*[‘’]",
+    r"‘(?:[^‘’\n]|(?<=\w)’(?=\w))*’", r"(?<!\w)'(?:[^'\n]|(?<=\w)'(?=\w))*'(?!\w)",
+]
+_QUOTED = re.compile("|".join(QUOTATIONS))
 
 
 def edits_for(term: str) -> int:
@@ -161,6 +167,8 @@ class Reader:
         self.clean |= {t for t in new if t not in bad and len(t) < 40}
         if not bad:
             return x
+        spans = [m.span() for m in _QUOTED.finditer(low)]
+        opened = [a for a, _ in spans]
         exact = quoted = wrong = wrong_quoted = 0
         best, person = 0.0, False
         for m in _WORD.finditer(low):
@@ -169,7 +177,8 @@ class Reader:
                 continue
             line = low.rfind("\n", 0, m.start()) + 1
             before, after = low[max(line, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
-            q = len(_MARKS.findall(before)) % 2 == 1 and _MARKS.search(after) is not None or _REPORT.search(before) is not None
+            k = bisect_right(opened, m.start()) - 1
+            q = k >= 0 and m.end() < spans[k][1] or _REPORT.search(before) is not None
             if h[1]:
                 wrong, wrong_quoted = wrong + (not q), wrong_quoted + q
             else:
@@ -195,7 +204,7 @@ def learn_terms(train: DataFrame, seeds: list[str], support: int = 4, odds: floa
     words = saved(_rated_words(train).where(f"pos >= {support} or neg >= 2"))
     ratio = (F.col("pos") + 0.5) / (n["p"] + 1) / ((F.col("neg") + 0.5) / (n["n"] + 1))
     learned = words.where(F.col("pos") >= support).where(ratio >= odds).where(F.length("word") >= 3).select("word", ratio.alias("r"))
-    for r in learned.orderBy(F.desc("r"), "word").limit(MAX_TERMS).collect():
+    for r in sorted(learned.collect(), key=lambda r: (-r["r"], r["word"])):  # some of the words of max_labelled texts
         terms[r["word"]] = max(terms.get(r["word"], 0), min(6.0, math.log(r["r"])))
     automaton = TermAutomaton(terms)
 
@@ -203,7 +212,7 @@ def learn_terms(train: DataFrame, seeds: list[str], support: int = 4, odds: floa
         for pdf in batches:
             yield pdf[[(m := automaton.match(w)) is not None and m[1] > 0 for w in pdf["word"]]]
 
-    common = words.where(F.col("neg") >= 2).where(ratio < 5).select("word").mapInPandas(near, "word string").orderBy("word").limit(20 * MAX_TERMS)
+    common = words.where(F.col("neg") >= 2).where(ratio < 5).select("word").mapInPandas(near, "word string")
     return terms, frozenset(r["word"] for r in common.collect())
 
 

@@ -16,9 +16,11 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("shard_rows, k", [(20_000, 10), (40, 3)])
-def test_top_k_equals_brute_force(spark, shard_rows, k, monkeypatch):
+@pytest.mark.parametrize("shard_rows, k, runs", [(20_000, 10, 50_000), (40, 3, 50_000), (10, 4, 5)])
+def test_top_k_equals_brute_force(spark, shard_rows, k, runs, monkeypatch):
     monkeypatch.setattr(topk_search, "ANNULUS", 16)
+    monkeypatch.setattr(topk_search, "MAX_RUNS", runs)
+    monkeypatch.setattr(topk_search, "RUN_BLOCK", 3)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(200, 8)) + 3 * rng.normal(size=(1, 8)), np.repeat(rng.normal(size=(1, 8)), 60, 0), np.zeros((3, 8))])
     rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(900, None, 1), (901, [], 1), (902, [1.0] * 7 + [None], 1), (903, [float("inf")] + [0.0] * 7, 1), (None, [1.0] * 8, 1)]
@@ -37,6 +39,16 @@ def test_top_k_equals_brute_force(spark, shard_rows, k, monkeypatch):
     assert topk_search.top_k(alone, alone, k).collect() == []
 
 
+def test_top_k_of_two_dimensions_nulls_and_repeats(spark):
+    rows = [(1, [1, 2, 3], "x"), (2, [4], "x"), (3, [1, 1], "x"), (3, [1, 1], "x"), (4, [], "x"), (5, None, "x"), (None, [9, 9, 9], "x"), (6, [0, 0, 0, 5], "x")]
+    df = spark.createDataFrame(rows, "id long, v array<long>, score string")
+    got = {}
+    for r in topk_search.top_k(df, df.where("id <= 3 or id is null"), 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {1: [(1, 2, 4), (2, 3, 3), (3, 3, 3)], 2: [(1, 1, 4), (2, 3, 4), (3, 3, 4)], 3: [(1, 2, 4), (2, 1, 3), (3, 4, 0)]}
+    assert topk_search.top_k(df, df.where("1 = 0"), 3).collect() == [] == topk_search.top_k(df.where("id = 5"), df, 3).collect()
+
+
 def test_cumulative_link_recovers_ordered_grades():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 6)).astype(np.float32)
@@ -97,6 +109,28 @@ def test_quotation_counts_less_than_abuse(spark):
     assert toxicity.score_toxicity(df.where("1 = 0"), model).collect() == []
 
 
+def test_quotation_marks_are_paired_over_the_line():
+    reader = toxicity.Reader(toxicity.Model(dict.fromkeys(toxicity.SEEDS, toxicity.SEED_WEIGHT)))
+    score = lambda t: 1 / (1 + np.exp(-reader.features(t) @ toxicity.PRIOR))
+    far = "quite a long way of words " * 6
+    quoted = ['a "idiot" b', "a „idiot“ b", "a „idiot” b", "a “idiot” b", "a «idiot» b", "a »idiot« b", "a ‹idiot› b", "a ‘idiot’ b", "a ‚idiot‘ b", "a 'idiot' b", "a ‘it’s an idiot’ b", f'a "{far} idiot {far}" b', f"a „{far} idiot {far}“ b", "l'homme 'don't idiot' b"]
+    abuse = ["a idiot b", 'a "thing" idiot "b"', "„a“ idiot „b“", "it’s an idiot, don’t", "it's an idiot, don't", 'a " idiot\n" b', "«a» idiot «b»", f'"{far}" idiot "{far}"']
+    assert all(score(t) < 0.5 for t in quoted), [t for t in quoted if score(t) >= 0.5]
+    assert all(score(t) >= 0.5 for t in abuse), [t for t in abuse if score(t) < 0.5]
+    assert score(("'a " * 30_000) + "„" * 30_000 + "‘x " * 30_000) < 0.1
+
+
+def test_no_learned_word_is_left_out(spark):
+    names = [f"z{chr(97 + k // 26)}{chr(97 + k % 26)}qq" for k in range(200)]
+    rows = [(f"{n} clean{k} text{j} more words", j % 2) for k, n in enumerate(names) for j in range(8)]
+    rows = [(t if y else t.replace(t.split()[0], "plain"), y) for t, y in rows]
+    terms, innocent = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"), [], odds=2.0)
+    assert set(names) <= set(terms)
+    rows += [(f"{n}x and {n}x again", 0) for n in names for _ in range(3)]
+    terms, innocent = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"), [], odds=2.0)
+    assert {f"{n}x" for n in names} <= innocent
+
+
 def test_toxicity_held_out(spark):
     from lingloom.llm.queries import op5_toxicity
 

@@ -270,6 +270,23 @@ def test_contained_items_equal_brute_force(spark):
     assert decontaminate.contained_items(d, b.where("1 = 0")).collect() == [] and decontaminate.decontaminate(d.where("1 = 0"), b).collect() == []
 
 
+def test_boilerplate_lines_of_split_hosts(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = [f"line {k}" for k in range(30)]
+    rows = [(k, rng.choice(["big", "big", "big", "mid", "few", None]), "\n".join(rng.choice(lines[: 8 + k % 23]) for _ in range(rng.randint(0, 6)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(tuple, line_dedup.drop_boilerplate_from_text(df).select("doc_id", "text").collect()))
+    monkeypatch.setattr(jobs, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "SPLIT_PAGES", 20)
+    got = line_dedup.drop_boilerplate_from_text(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.select("doc_id", "text").collect())) == want
+    pages = {}
+    for _, h, t in rows:
+        pages.setdefault(h or "", []).append(set(t.split("\n")) - {""})
+    bad = {h: {x for x in lines if (n := sum(x in p for p in ps)) >= 3 and n > 0.1 * len(ps)} for h, ps in pages.items()}
+    assert want == sorted((k, "\n".join(x for x in t.split("\n") if x not in bad[h or ""])) for k, h, t in rows)
+
+
 def test_boilerplate_lines(spark):
     rows = [(k, "h", f"menu\nbody {k}\n\nmenu\n foot ") for k in range(8)] + [(8, "h", "body 1\nonly"), (9, None, "menu\nx"), (10, "h", None), (11, "h", "menu"), (11, "h", "menu")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("host", F.lit("clash"))
