@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, decontaminate, licenses, near_dup, quality, secrets, suffix_dedup, topk_search, toxicity
+from . import line_dedup as L
 from .jobs import small_batches
 
 
@@ -16,16 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bpe_path() -> str:
-    import public_tokenizers
-
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .topk_search import quantized, top_k
-
-    vectors = quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
-    return top_k(vectors, vectors.where("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
+    vectors = topk_search.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return topk_search.top_k(vectors, vectors.where("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
 
 
 OP8_SQL = """
@@ -38,8 +37,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import quality
-
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.ratings_of_labels(table(spark, sf_dir, "labels")))
     tail = lambda k: F.get("tails", F.lit(k - 1))
@@ -48,23 +45,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import bpe
-
     coded = bpe.encode(table(spark, sf_dir, "documents"), bpe_path(), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import confirmed_by_assignment, scan_secrets
-
-    return scan_secrets(table(spark, sf_dir, "documents"), label=confirmed_by_assignment(), path=F.col("source"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan_secrets(docs, secrets.example_findings(spark), secrets.confirmed_by_assignment(), path=F.concat_ws("/", "source", "lang"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contained_items
-
-    found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.round("containment", 6))
 
 
@@ -81,8 +73,6 @@ SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS c
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import line_dedup as L
-
     pages = table(spark, sf_dir, "pages").withColumn("lines", L.html_lines(F.col("html")))
     out = L.drop_boilerplate(pages, L.host_of(F.col("url")), "page_id", F.col("lines"), "kept")
     text = F.array_join("kept", "\n")
@@ -104,16 +94,12 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licenses import scan_licenses
-
     docs = table(spark, sf_dir, "documents")
     files = docs.where("doc_id is not null").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return scan_licenses(files).withColumn("doc_id", F.regexp_extract("path", "([^/]*)$", 1).cast("long"))
+    return licenses.scan_licenses(files).withColumn("doc_id", F.regexp_extract("path", "([^/]*)$", 1).cast("long"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import toxicity
-
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold != 1))
@@ -122,16 +108,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dup import near_duplicates
-
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import remove_repeats
-
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    out = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

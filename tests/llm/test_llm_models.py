@@ -1,6 +1,7 @@
 """Operators with models and indexes: search, quality, toxicity, secrets, licences, and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -140,13 +141,16 @@ def test_toxicity_held_out(spark):
     assert list(none.terms) == toxicity.SEEDS
 
 
-def test_secrets(spark):
+def secret_rows():
     rng = random.Random(6)
     code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows = [(k, f'some words token = "{code(40)}" and more') for k in range(60)] + [(100 + k, f"commit {code(40)} of words 4111111111111111 end") for k in range(60)]
-    rows += [(300, None), (301, ""), (None, f'api_key: "{code(32)}"'), (302, "no digits herehereherehere"), (303, "a1" * 20_000), (0, "plain")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, finding int")
-    out = secrets.scan_secrets(df, label=secrets.confirmed_by_assignment()).collect()
+    return rows + [(300, None), (301, ""), (None, f'api_key: "{code(32)}"'), (302, "no digits herehereherehere"), (303, "a1" * 20_000), (0, "plain")]
+
+
+def test_secrets(spark):
+    df = spark.createDataFrame([(*r, 0, "p") for r in secret_rows()], "doc_id long, text string, finding int, path string")
+    out = secrets.scan_secrets(df, secrets.example_findings(spark), secrets.confirmed_by_assignment()).collect()
     by = {}
     for r in out:
         by.setdefault(r.doc_id, []).append(r)
@@ -156,6 +160,66 @@ def test_secrets(spark):
     assert all(r.is_secret and r.probability is None for r in only) and secrets.scan_secrets(df.where("1 = 0")).collect() == []
 
 
+def test_planted_secrets_are_found_and_the_rest_left(spark):
+    rng = random.Random(16)
+    any_of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = ['password = "{}"', "DB_PASSWORD: {}", "Authorization: Bearer {}", 'my "auth_token": "{}",', "the api key is {} here", "secret={}"]
+    shapes = [lambda: any_of(base62, 32), lambda: any_of("0123456789abcdef", 40), lambda: any_of(base62, 9) + "!x", lambda: any_of("bcdfgBCDFGHJKLM.@#", 12)]
+    rows, want = [], {}
+    for k in range(120):
+        value = shapes[k % 4]()
+        if k % 4 >= 2 and k % 6 == 2:
+            continue  # a header's key is a long run of key characters
+        rows.append((k, "words before\n" + planted[k % 6].format(value) + "\nwords after"))
+        want[k] = value
+    plain = ["commit {} fixes it", "the md5 {} of the file", "order 2024{} shipped", "see src/user/order/index/{} there", "call get_user_order_value_{}(x)"]
+    for k in range(100):
+        t = plain[k % 5]
+        rows.append((1000 + k, t.format(any_of("0123456789abcdef", 40) if k % 5 < 2 else str(10**12 + k))))
+    rows += [(2000, "password = changeme"), (2001, 'token = "your_token_here"'), (2002, "the password is incorrect"), (2003, "token: none123")]
+    out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), secrets.example_findings(spark)).collect()
+    found = {r.doc_id for r in out if r.is_secret and r.secret == want.get(r.doc_id)}
+    false = {r.doc_id for r in out if r.is_secret and r.doc_id >= 1000}
+    assert {r.doc_id for r in out if r.secret == want.get(r.doc_id)} == set(want)  # each is a candidate
+    assert len(found) >= 0.9 * len(want), (len(found), len(want), [want[k] for k in set(want) - found][:8])
+    assert len(false) <= 0.1 * 104, false
+
+
+def test_findings_of_odd_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 'token = "0123456789abcdef0123"', 1)], "doc_id long, text string, f_length int")
+    findings = secrets.example_findings(spark, 400).withColumn("length", F.lit(1)).withColumn("f_length", F.lit("x")).withColumn("id", F.lit(3)).withColumn("letters", F.lit(0))
+    odd = spark.createDataFrame([(None, None, None, None, 1), ("", "", "", "", 0), ("x" * 100_000, "a", "b", "c", None)], "secret string, before string, after string, path string, label long")
+    out = secrets.scan_secrets(df, findings.unionByName(odd, allowMissingColumns=True)).collect()
+    assert [(r.doc_id, r.finding, r.secret) for r in out] == [(1, 0, "0123456789abcdef0123")] and out[0].is_secret
+    assert secrets.scan_secrets(df, findings.where("1 = 0")).first().probability is None
+
+
+def test_features_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = spark.createDataFrame([("some",), ("words",), ("token",)], "word string")
+    rows = [("".join(rng.choice("aeiouTHerinXZ0189_+/=-.!") for _ in range(rng.randint(1, 40))) + rng.choice(["", "some", "words_some"]), rng.choice(["token = '", "commit ", "the word: ", "", 'x="']), rng.choice(["'", '"', " end", ""]), rng.choice(["", "a/b.env", "tests/x", "src/doc/y.json"])) for _ in range(200)]
+    got = secrets.featured(spark.createDataFrame(rows, "secret string, before string, after string, path string"), words).collect()
+    assert len(got) == len(rows)
+    strip = lambda p: p.removeprefix("(?i)")
+    for r in got:
+        s, n, near = r.secret, len(r.secret), r.before + r.after
+        count = lambda p, t=s: len(re.findall(p, t))  # noqa: E731, B023
+        want = {
+            "f_length": n, "f_digits": count("[0-9]") / n, "f_uppers": count("[A-Z]") / n, "f_symbols": sum(not (c.isascii() and c.isalnum()) for c in s) / n,
+            "f_turns": sum((a.isdigit() and b.isalpha()) or (a.isalpha() and b.isdigit()) for a, b in zip(s, s[1:])) / n,
+            "f_case_turns": sum((a.islower() and b.isupper()) or (a.isupper() and b.islower()) for a, b in zip(s, s[1:])) / n,
+            "f_pairs": count(secrets.FREQUENT_PAIRS, s.lower()) / n, "f_vowels": sum(c in "aeiouAEIOU" for c in s) / n, "f_distinct": len(set(s)) / n,
+            "f_hex": float(all(c in "0123456789abcdefABCDEF" for c in s)), "f_covered": sum(len(w) for w in re.findall("[a-z]{3,}", s.lower()) if w in ("some", "words", "token")) / n,
+            "f_test_path": float(re.search(strip(secrets.TEST_PATH), r.path, re.I) is not None), "f_config_path": float(re.search(strip(secrets.CONFIG_PATH), r.path, re.I) is not None), "f_depth": r.path.count("/") + 1,
+            "f_near_letters": sum(c.isalpha() for c in near) / max(1, len(near)), "f_near_symbols": sum(not c.isalnum() and c != " " for c in near) / max(1, len(near)),
+            "f_secret_word": float(re.search(strip(secrets.SECRET_WORDS), r.before, re.I) is not None), "f_other_word": float(re.search(strip(secrets.OTHER_WORDS), r.before, re.I) is not None),
+            "f_assigned": float(re.search("[:=]\\s*[\"']?$", r.before) is not None), "f_quoted": float(r.before[-1:] in ("'", '"') and r.before != "" and r.after[:1] in ("'", '"') and r.after != ""),
+        }
+        assert set(want) == set(secrets.FEATURES)
+        assert all(abs(r[c] - v) < 1e-9 for c, v in want.items()), [(c, r[c], v) for c, v in want.items() if abs(r[c] - v) >= 1e-9]
+
+
 def test_licenses_are_inherited_from_the_nearest_ancestor(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     rows = [("a/LICENSE", apache), ("a/x.py", "code"), ("a/b/c/y.py", "code\n" + mit + "\nmore code that is long enough not to be a licence file at all"), ("a/b/c/z.py", "x"), ("a/b/COPYING", mit), ("q/w.py", "text"), ("LICENSE.txt", "All rights reserved."), ("n.py", None), ("", ""), (None, apache), ("a/x.py", "code"), ("a/b/c/d/e.py", "My license to drive")]
@@ -204,6 +268,6 @@ def test_licenses_of_one_line_and_wrapped_headers(spark):
 
 def test_secrets_in_prose_are_not_taught_as_false_positives(spark):
     rows = [("Authorization: Bearer ", "a1b2c3d4e5f6a7b8", 0.0), ("the token is ", "a1b2c3d4e5f6a7b8", 0.0), ("seen in ", "a1b2c3d4e5f6a7b8", 0.0), ("commit ", "a1b2c3d4e5f6a7b8", 0.0), ("paid ", "4111111111111111", 0.0), ("see ", "some-words-here-2", 0.9), ('token = "', "a1b2c3d4e5f6a7b8", 0.0)]
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, before string, secret string, covered double")
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, before string, secret string, f_covered double")
     got = {r.k: r.label for r in df.select("k", secrets.confirmed_by_assignment().alias("label")).collect()}
     assert [got[k] for k in range(7)] == [None, None, None, 0.0, 0.0, 0.0, 1.0]
