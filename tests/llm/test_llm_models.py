@@ -1,7 +1,9 @@
 """Operators with models and indexes: search, quality, toxicity, secrets, licences, and the pipeline."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -231,6 +233,69 @@ def test_licenses_are_inherited_from_the_nearest_ancestor(spark):
     assert licenses.scan_licenses(df.where("1 = 0")).collect() == []
 
 
+def tf_idf_cosine(text, templates, unknown=2.0):
+    """{license: best cosine}, in plain Python."""
+    terms = lambda t: re.findall(r"[0-9]+(?:\.[0-9]+)+|[^\W_]+", t.lower())
+    vectors = [(name, Counter(terms(t))) for name, t in templates]
+    df = Counter(x for _, v in vectors for x in v)
+    idf = {x: 1 + math.log(len(templates) / n) for x, n in df.items()}
+    weigh = lambda v: {x: (1 + math.log(n)) * idf.get(x, unknown) for x, n in v.items()}
+    length = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    own, out = weigh(Counter(terms(text))), {}
+    for name, v in vectors:
+        w = weigh(v)
+        out[name] = max(out.get(name, 0), sum(w[x] * own[x] for x in w if x in own) / (length(w) * length(own) or 1))
+    return out
+
+
+def test_licence_files_equal_brute_force(spark):
+    rng = random.Random(13)
+    texts, headers = dict(licenses.FULL_TEXTS), licenses.TEMPLATES
+    rows, folders = [], ["", "a", "a/b", "a/b/c", "d", "d/e", "f"]
+    for k, f in enumerate(folders):
+        body = rng.choice(list(texts.values())).split()
+        for j in range(rng.randint(0, 60)):
+            body[rng.randrange(len(body))] = f"word{j}"
+        if f in ("a", "d", "f"):
+            rows.append((f + "/LICENSE", "Copyright (c) 2019 Someone\n" + " ".join(body)))
+        if f == "a/b":
+            rows.append((f + "/legal.txt", "\n".join(" ".join(body[i : i + 9]) for i in range(0, len(body), 9))))
+        rows += [(f"{f}/x{k}.py".lstrip("/"), "plain code of words"), (f"{f}/y{k}.py".lstrip("/"), f"line\n{rng.choice(headers[:6])[1]}\n" + "code of other words " * 30)]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    own, gives = {}, {}
+    for p, t in rows:
+        file = p.rsplit("/", 1)[-1]
+        whole = tf_idf_cosine(t, licenses.FULL_TEXTS) if file in ("LICENSE", "legal.txt") else {}
+        best = {n: s for n, s in whole.items() if s >= 0.8}
+        for line in t.split("\n"):
+            if re.search("licen[sc]|copyright|rights reserved|permission is hereby|redistribution and use|spdx|public domain", line.lower()):
+                for n, s in tf_idf_cosine(line, headers).items():
+                    if s >= 0.6:
+                        best[n] = max(best.get(n, 0), s)
+        own[p] = best
+        if p in got and got[p].own_license:
+            assert got[p].own_license in texts or got[p].own_license in dict(headers)
+        if whole and max(whole.values()) >= 0.8:
+            gives[p.rpartition("/")[0]] = p
+            top = max(whole, key=whole.get)
+            assert got[p].own_license == top and got[p].own_score >= round(whole[top], 6) - 1e-6
+        elif best:
+            top = min(best, key=lambda n: (n == licenses.RESERVED, -best[n], n))
+            assert got[p].own_license is not None and got[p].own_score >= best[top] - 1e-6  # windows may score higher than lines
+    assert gives
+    for p, t in rows:
+        if "code" in t and "plain" in t:
+            at, d, want = p.rpartition("/")[0], 0, None
+            while want is None:
+                want = gives.get(at)
+                if want is None and not at:
+                    break
+                if want is None:
+                    at, d = at.rpartition("/")[0], d + 1
+            assert (got[p].license_path, got[p].license) == (want, got[want].own_license if want else None), p
+            assert want is None or got[p].distance == d
+
+
 def test_pipeline_keeps_the_columns_and_decides(spark):
     d = docs(spark)
     seen, at = [], d
