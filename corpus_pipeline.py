@@ -17,7 +17,11 @@ from lingloom.llm.queries import bpe_path, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on rated ones of docs, does not reject."""
+    """Documents that the quality classifier, fitted on rated ones of docs, does not reject.
+
+    A null or empty text is judged by its emptiness; rows that repeat an id are judged each by its text; null ids
+    cannot be rated and are judged as all others. Without two rated grades, as in an empty table, every row stays.
+    """
     jobs.small_batches(spark)
     model = quality.fit(docs, quality.ratings_of_labels(table(spark, sf_dir, "labels")))
     return quality.select_documents(docs, model, grade=1, least=0.4)
@@ -26,26 +30,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that more than a tenth of their source's documents have; n_chars follows the text.
 
-    Copies count once: the next stage keeps one of them, which has to have its text still.
+    Copies count once: the next stage keeps one of them, which has to have its text still. A null source is a source of
+    its own. A null text stays null, with null n_chars; a text of such lines only becomes empty, and its row stays.
     """
     out = line_dedup.drop_boilerplate_from_text(docs, "source", "doc_id", "text", ratio=0.1, min_pages=3, copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id; documents without words all stay."""
+    """One document of each group of near duplicates, the one of smallest id.
+
+    Documents without words, null texts and rows of null id are near nothing and all stay. An id goes or stays with all
+    of its rows.
+    """
     groups = near_dup.near_duplicates(docs, "doc_id", "text", words=5, percent=80)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__ll_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__ll_gone"), "left_anti")
+    gone = jobs.saved(groups.where("not kept").select(F.col("doc_id").alias("__ll_gone")).distinct())
+    return docs.join(jobs.side(gone, 32), F.col("doc_id") == F.col("__ll_gone"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; a row of null id stays; an id goes with all
+    of its rows."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", n_words=5, percent=80)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each document, and whether decoding gives its text back."""
+    """(doc_id, n_tokens, ids) of each row, null and repeated ids too, and the hash of the text that decoding gives. A null
+    or empty text has no ids and decodes to ''."""
     coded = bpe.encode(docs, bpe_path(), "text", "doc_id", decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
