@@ -1,13 +1,17 @@
 """Operators with models and indexes: search, quality, toxicity, secrets, licences, and the pipeline."""
 
+import hashlib
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lingloom.llm import licenses, quality, secrets, topk_search, toxicity
@@ -296,6 +300,108 @@ def test_licence_files_equal_brute_force(spark):
             assert want is None or got[p].distance == d
 
 
+def plain_features(text):
+    """quality.features of one text, in plain Python."""
+    raw = (text or "").encode()
+    out, m = np.zeros(quality.DIM), (1 << 32) - 1
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        h = (a * 0x9E3779B1 & m) ^ (b * 0x85EBCA77 & m) ^ (c * 0xC2B2AE3D & m)
+        h ^= h >> 15
+        out[(h * 0x27D4EB2F & m) % (1 << 32) // 256 % quality.TRIGRAMS] += 1
+    words = [w for w in re.split(b"[\x20\x09-\x0d]+", raw) if w]
+    kind = lambda c: 1 if 97 <= c < 123 or c >= 128 else 2 if 65 <= c < 91 else 4 if 48 <= c < 58 else 5 if c in b".,;:'\"-?" else 3
+    low = lambda w: bytes(c + 32 if 65 <= c < 91 else c for c in w)
+    for k, w in enumerate(words):
+        counts = [min(3, sum(kind(c) == j for c in w)) for j in range(1, 6)]
+        shape = sum(c * 4**j for j, c in enumerate(counts)) * 4 + min(3, len(w) // 8)
+        out[quality.TRIGRAMS + ((shape * 0x9E3779B1 & m) >> 9) % quality.SHAPES] += 1
+        out[quality.DIM - 4 + (k > 0 and low(w) == low(words[k - 1]))] += 1
+    for a, b in ((0, quality.TRIGRAMS), (quality.TRIGRAMS, quality.TRIGRAMS + quality.SHAPES), (quality.DIM - 4, quality.DIM - 2)):
+        out[a:b] = np.sqrt(out[a:b] / max(1, out[a:b].sum()))
+    out[quality.DIM - 2 if words else quality.DIM - 1] = 1
+    return out
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(5)
+    texts = [None, "", " \n ", "a", "The the THE cat.", "Ünï codé x9 x9 -- ??", "q" * 70_000] + ["".join(rng.choice("ab cdeXY 19.,é\n!") for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    want = np.stack([plain_features(t) for t in texts])
+    got = np.concatenate([x for _, _, x in quality.feature_rows(pa.array(texts, pa.string()))])
+    assert np.abs(got - want).max() < 1e-5
+    model = quality.CumulativeLink(np.random.default_rng(2).normal(size=quality.DIM).astype(np.float32), np.array([-0.5, 0.7]))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in quality.grade_documents(df, model).collect():
+        eta = float(want[r.doc_id] @ model.weights)
+        tails = [1 - 1 / (1 + math.exp(-(c - eta))) for c in (-0.5, 0.7)]
+        assert np.abs(np.array(r.tails) - tails).max() < 1e-4 and abs(r.expected_grade - sum(tails)) < 1e-4
+    kept = {r.doc_id for r in quality.select_documents(df, model, grade=2, least=0.3).collect()}
+    assert kept == {k for k, x in enumerate(want) if 1 - 1 / (1 + math.exp(-(0.7 - float(x @ model.weights)))) >= 0.3}
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    good, item = "the committee will meet again in the town hall on the second day of the month", " ".join(f"item{k}" for k in range(20))
+    rows = [(1, None, None), (2, "", "s"), (3, " \n\t", "s"), (None, good, "s"), (4, good, "s"), (4, good + " and so on", "s"), (5, good, None), (6, good + " " + item, "s"), (None, "x " + item, "s"), (7, "y" * 300_000, "s"), (8, None, "s"), (8, "other words of this id", "t")]
+    extra = "0 as kept, 'a' as ids, 1 as component_id, 'h' as host, 2 as n, 'i' as item_id, 'x' as tails, 'l' as lines"
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).selectExpr("*", *extra.split(", "))
+    spark.createDataFrame([(1, item), (2, None), (None, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 0), (7, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda d: Counter(r.doc_id for r in d.select("doc_id").collect())
+    every = Counter(r[0] for r in rows)
+    out = stage["quality_classifier"](spark, df, str(tmp_path))
+    assert out.columns == df.columns and not ids(out) - every and ids(out)[4] == 2 and ids(out)[7] == 0
+    out = stage["line_dedup"](spark, df, str(tmp_path))
+    assert out.columns == df.columns and ids(out) == every and {r.doc_id: (r.text, r.n_chars) for r in out.collect()}[1] == (None, None)
+    out = stage["minhash_near_dedup"](spark, df, str(tmp_path))
+    assert out.columns == df.columns and every - ids(out) == Counter({5: 1})
+    out = stage["benchmark_decontamination"](spark, df, str(tmp_path))
+    assert out.columns == df.columns and every - ids(out) == Counter({6: 1})
+    out = stage["bpe_encoding"](spark, df, str(tmp_path))
+    assert ids(out) == every and all((r.n_tokens == 0) == (r.ids == []) for r in out.collect())
+    for name, f in corpus_pipeline.STAGES:
+        none = f(spark, df.where("1 = 0"), str(tmp_path))
+        assert none.collect() == [] and (name == "bpe_encoding" or none.columns == df.columns)
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(25) for _ in range(3)]
+    docs = []
+    for k in range(60):
+        body = text(rng.randint(10, 80))
+        if k % 9 == 4:
+            body[3:3] = items[k % 3]
+        if k % 5 == 2 and docs:
+            body = rng.choice(docs)[1].split("\n")[-1].split() + ["end"]
+        docs.append((k, ("menu of the site\n" if k % 2 else "") + " ".join(body), "s"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")  # nothing is rated: all stay
+    lines = {k: t.split("\n") for k, t, _ in docs}
+    sets = {frozenset(x) for x in lines.values()}
+    bad = {x for x in set().union(*sets) if (n := sum(x in s for s in sets)) >= 3 and n > 0.1 * len(sets)}
+    left = {k: "\n".join(x for x in t if x not in bad) for k, t in lines.items()}
+    shingles = lambda t, n=5: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)} or ({tuple(t)} if t else set())
+    own = {k: shingles(t.split()) for k, t in left.items()}
+    root = {k: k for k in left}
+    for _ in range(len(left)):
+        for a in left:
+            for b in left:
+                if a < b and own[a] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = [k for k in left if root[k] == k]
+    clean = [k for k in kept if not any(100 * len(shingles(i) & own[k]) >= 80 * len(shingles(i)) for i in items)]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(got) == clean and len(clean) < len(kept) < len(left) and bad == {"menu of the site"}
+    for k in clean:
+        assert got[k].ids == library.encode(left[k], add_special_tokens=False).ids and got[k].n_tokens == len(got[k].ids)
+        assert got[k].decoded_sha256 == hashlib.sha256(left[k].encode()).hexdigest()
+
+
 def test_pipeline_keeps_the_columns_and_decides(spark):
     d = docs(spark)
     seen, at = [], d
