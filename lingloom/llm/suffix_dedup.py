@@ -34,7 +34,7 @@ from .kernels import mix, powers, text_chunks
 GRAM = 24  #: bytes of an anchor
 FOLD_BYTES = 16 << 20  #: text of which a task folds equal contexts before the shuffle
 HOT_CONTEXTS = 50_000  #: differing contexts of one anchor that one task takes
-SAMPLE_TEXTS, SAMPLE_HITS = 5000, 50  #: texts that are looked at for frequent anchors, and how many contexts one has there
+SAMPLE_TEXTS, SAMPLE_HITS = 5000, 100  #: texts that are looked at for frequent anchors, and how many contexts one has there
 BLOCK = 60_000  #: symbols of one suffix array; strings under one anchor are never parted
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
