@@ -3,9 +3,15 @@
 The automaton reads tokens. It starts as one state that every byte leads back to. Each merge (u, v) -> uv, in
 rank order, is one gadget: the state that arcs labelled u enter is copied without its arc v, the u arcs go to
 the copy, and wherever u and then v could be read an arc uv is added to where that v led. After all gadgets a
-word has exactly one accepted path, its encoding. Each gadget makes one state, so a token names the state it
-enters; the arcs that gadgets cut are kept in one table (token, token) -> rank, and what a state inherits from
-the state it was copied from is found through the right part of its token.
+word has exactly one accepted path, its encoding, and so has each of its prefixes. Each gadget makes one state, so a
+token names the state it enters. Written out, 50,000 states would have hundreds of millions of arcs, nearly all of
+which no text takes; so the arcs that gadgets cut are kept in one table (token, token) -> rank, what a state inherits
+from the state it was copied from is found through the right part of its token, and arcs that a text takes are
+remembered.
+
+A word is driven byte by byte through a second table, that of the states' labels: its transitions (node, byte) give
+the longest label that ends there, and each label names the next shorter one. The one whose arc the state before it
+has is the last arc of the path so far: nothing is tried twice, and the work is in proportion to the bytes.
 """
 
 from __future__ import annotations
@@ -25,8 +31,7 @@ from .kernels import text_chunks
 #: The pre-split pattern of byte-level BPE, and the printable stand-ins of bytes in its vocabulary file.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-CACHE_WORDS = 200_000  #: words whose path a task remembers; a full memory is emptied, which costs time only
-LOOK_AHEAD = 6
+CACHE_WORDS = 200_000  #: words, arcs and moves that a task remembers; a full memory is emptied, which costs time only
 _NEVER = 1 << 40
 
 
@@ -56,10 +61,9 @@ class TokenizationAutomaton:
         for text, i in self.special.items():
             self.label[i] = text.encode()
         self.token = {self.label[t]: t for t in self.reached}
-        self.longest, self.width = max(map(len, self.token)), list(map(len, self.label))
+        self.width = list(map(len, self.label))
         self.ok: dict[int, bool] = {}
-        self.near: dict[bytes, tuple[tuple[int, ...], int]] = {}
-        self._trie()
+        self._table()
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         if not self.follows(u, v):
@@ -86,81 +90,84 @@ class TokenizationAutomaton:
                 return True
             until, a = born[a], self.right[a]
 
-    def _trie(self) -> None:
-        """Which tokens start at a byte: (node, byte) -> node, and the token that ends at a node."""
-        self.step: dict[int, int] = {}
-        self.ends = [-1]
+    def _table(self) -> None:
+        """Nodes for the prefixes of all labels: `move` (node, byte) -> node of the longest prefix that ends with the byte,
+        `fail` a node's longest proper suffix that is a node, `last` the longest label that ends at a node, and
+        `shorter` the longest label that a label ends with."""
+        step: dict[int, int] = {}
+        ends, depth_first = [-1], [[0]]
         for text, t in self.token.items():
             node = 0
-            for b in text:
-                nxt = self.step.get(node << 8 | b)
+            for k, b in enumerate(text):
+                nxt = step.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.step[node << 8 | b] = len(self.ends)
-                    self.ends.append(-1)
+                    nxt = step[node << 8 | b] = len(ends)
+                    ends.append(-1)
+                    if len(depth_first) < k + 2:
+                        depth_first.append([])
+                    depth_first[k + 1].append(node << 8 | b)
                 node = nxt
-            self.ends[node] = t
-        self.inner = {k >> 8 for k in self.step}
-
-    def starting(self, word: bytes, i: int) -> tuple[int, ...]:
-        """Tokens that the word continues with at byte i, longest first; remembered by the next bytes, the look-ahead."""
-        key = word[i : i + LOOK_AHEAD]
-        tokens, node = self.near.get(key, (None, 0))
-        if tokens is None:
-            found, node = self._walk(0, key)
-            tokens = tuple(reversed(found))
-            if len(self.near) >= CACHE_WORDS:
-                self.near.clear()
-            self.near[key] = tokens, node if len(key) == LOOK_AHEAD and node in self.inner else 0
-            node = self.near[key][1]
-        if node:
-            tokens = (*reversed(self._walk(node, word[i + LOOK_AHEAD : i + self.longest])[0]), *tokens)
-        return tokens
-
-    def _walk(self, node: int, rest: bytes) -> tuple[list[int], int]:
-        step, ends, out = self.step, self.ends, []
-        for b in rest:
-            node = step.get(node << 8 | b, 0)
-            if not node:
+            ends[node] = t
+        self.step, self.move = step, {}
+        self.fail, self.last, self.shorter = [0] * len(ends), ends, [-1] * self.size
+        for level in depth_first[1:]:
+            for key in level:
+                node, above = step[key], key >> 8
+                if above:
+                    self.fail[node] = self._next(self.fail[above], key & 255)
+                behind = ends[self.fail[node]]
+                if ends[node] >= 0:
+                    self.shorter[ends[node]] = behind
+                else:
+                    ends[node] = behind
+        self.move = {}
+
+    def _next(self, node: int, b: int) -> int:
+        at = node
+        while True:
+            nxt = self.step.get(at << 8 | b)
+            if nxt is not None or not at:
                 break
-            if ends[node] >= 0:
-                out.append(ends[node])
-        return out, node
+            at = self.fail[at]
+        if len(self.move) >= 4 * CACHE_WORDS:
+            self.move.clear()
+        self.move[node << 8 | b] = nxt = nxt or 0
+        return nxt
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The labels of the one accepted path. A prefix has one accepted path too, so a byte that a walk could not
-        go on from is never tried again: the work is in proportion to the word's length."""
+        """The labels of the one accepted path."""
         whole = self.token.get(word)
         if whole is not None:
             return (whole,)
-        n, ok, size, width, starting = len(word), self.ok, self.size, self.width, self.starting
-        i, before, arcs, above, dead = 0, -1, iter(starting(word, 0)), [], set()
-        path: list[int] = []
-        while True:
-            for t in arcs:
-                j = i + width[t]
-                if dead and j in dead:
-                    continue
-                if i:
-                    key = before * size + t
-                    may = ok.get(key)
-                    if may is None:
-                        if len(ok) >= CACHE_WORDS:
-                            ok.clear()
-                        may = ok[key] = self.follows(before, t)
-                    if not may:
-                        continue
-                path.append(t)
-                if j == n:
-                    return tuple(path)
-                above.append((i, before, arcs))
-                i, before, arcs = j, t, iter(starting(word, j))
-                break
+        ok, size, width, shorter, last, move = self.ok, self.size, self.width, self.shorter, self.last, self.move
+        node, j, arcs = 0, 0, [-1]  # arcs[j]: the last arc of the path of the first j bytes
+        for b in word:
+            nxt = move.get(node << 8 | b)
+            node = self._next(node, b) if nxt is None else nxt
+            j += 1
+            t = last[node]
+            while t >= 0:
+                i = j - width[t]
+                if not i:
+                    break
+                key = arcs[i] * size + t
+                may = ok.get(key)
+                if may is None:
+                    if len(ok) >= 2 * CACHE_WORDS:
+                        ok.clear()
+                    may = ok[key] = self.follows(arcs[i], t)
+                if may:
+                    break
+                t = shorter[t]
             else:
-                dead.add(i)
-                if not above:
-                    raise ValueError("the vocabulary lacks a byte of this word")
-                i, before, arcs = above.pop()
-                path.pop()
+                raise ValueError("the vocabulary lacks a byte of this word")
+            arcs.append(t)
+        path = []
+        while j:
+            t = arcs[j]
+            path.append(t)
+            j -= width[t]
+        return tuple(path[::-1])
 
 
 class Encoder:
@@ -194,8 +201,10 @@ class Encoder:
         if text.endswith(" ") or any(g in text for g in self.gaps):
             return [self.of_words(text)]
         first, *rest = text.split(" ")
-        out, seen = [self.of_words(first)], self.piece
-        for p in rest:
+        seen = self.piece
+        out = list(map(seen.get, rest))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            p = rest[k]
             ids = seen.get(p)
             if ids is None:
                 if len(seen) >= CACHE_WORDS:
@@ -203,8 +212,8 @@ class Encoder:
                 ids = self.of_words(" " + p)
                 if len(p) < 64:
                     seen[p] = ids
-            out.append(ids)
-        return out
+            out[k] = ids
+        return [self.of_words(first), *out]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -259,7 +268,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: s
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 cols = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
-                    out = [label[t] for t in flat.tolist()]
+                    out = list(map(label.__getitem__, flat.tolist()))
                     cols.append(pa.array([b"".join(out[a:b]).decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "decoded"][: len(cols)])
 
