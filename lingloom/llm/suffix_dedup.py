@@ -408,9 +408,9 @@ def _repeats_of_hot(contexts: DataFrame, length: int) -> DataFrame:
                 start = (part.column(2).to_numpy() - part.column(3).to_numpy())[row] + off
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[row]), pa.array(start)], names=["w", "id", "start"])
 
-    windows = contexts.mapInArrow(run, "w long, id long, start long")
+    windows = saved(contexts).mapInArrow(run, "w long, id long, start long")
     first = windows.groupBy("w").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("w", "first")
-    later = windows.join(first, "w").where(F.struct("id", "start") != F.col("first"))
+    later = windows.join(saved(first), "w")  # a saved side lets Spark split a window that very many texts have.where(F.struct("id", "start") != F.col("first"))
     return later.select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
 
 
