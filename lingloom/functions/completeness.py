@@ -11,6 +11,13 @@ from .text import NUMBER, SCRIPT_RANGES, WS, half_up, trimmed
 
 #: Openings of a reply that talks about the task instead of doing it.
 CONVERSATIONAL = r"(?i)^(unfortunately|there is no text|here is the translation|i cannot translate|as an ai|note:)"
+#: The reasons' texts.
+EMPTY_OUTPUT = "Empty target output after stripping placeholders"
+COMMENTARY = "LLM returned conversational commentary instead of translation"
+SOURCE_SCRIPT = ("Untranslated source script (", ") detected in target (", ") output")
+NO_TARGET_SCRIPT = "Target translation missing expected script characters for "
+MOSTLY_SOURCE = ("Substantial source text (", "%) left untranslated")
+PARTLY_SOURCE = ("Possible untranslated source words (", "%) detected")
 #: What is taken out, each with a cheap test that most texts fail.
 _STRIPPED = [
     ("__TAG_[0-9]+__", lambda x: F.contains(x, F.lit("__TAG_"))),
@@ -80,12 +87,12 @@ def with_completeness(df: DataFrame, source: str, target: str, source_lang: str,
     compared = differ & (F.size("_sw") >= 3)
     cascade = (
         F.when(F.length("_cs") < 3, verdict("valid", none))
-        .when(F.col("_ct") == "", verdict("failed", F.lit("Empty target output after stripping placeholders")))
-        .when(F.col("_ct").rlike(CONVERSATIONAL), verdict("failed", F.lit("LLM returned conversational commentary instead of translation")))
-        .when(differ & ~same_script & (sl != "en") & (left > 3) & (left > 0.15 * F.length("_ct")), verdict("failed", F.concat(F.lit("Untranslated source script ("), F.col(source_lang), F.lit(") detected in target ("), F.col(target_lang), F.lit(") output"))))
-        .when(differ & (tl != "en") & (F.length("_cs") >= 8) & (there == 0), verdict("failed", F.concat(F.lit("Target translation missing expected script characters for "), F.col(target_lang))))
-        .when(compared & (F.col("_hit") >= 0.70), verdict("failed", F.concat(F.lit("Substantial source text ("), percent, F.lit("%) left untranslated"))))
-        .when(compared & (F.col("_hit") >= 0.45), verdict("warning", F.concat(F.lit("Possible untranslated source words ("), percent, F.lit("%) detected"))))
+        .when(F.col("_ct") == "", verdict("failed", F.lit(EMPTY_OUTPUT)))
+        .when(F.col("_ct").rlike(CONVERSATIONAL), verdict("failed", F.lit(COMMENTARY)))
+        .when(differ & ~same_script & (sl != "en") & (left > 3) & (left > 0.15 * F.length("_ct")), verdict("failed", F.concat(F.lit(SOURCE_SCRIPT[0]), F.col(source_lang), F.lit(SOURCE_SCRIPT[1]), F.col(target_lang), F.lit(SOURCE_SCRIPT[2]))))
+        .when(differ & (tl != "en") & (F.length("_cs") >= 8) & (there == 0), verdict("failed", F.concat(F.lit(NO_TARGET_SCRIPT), F.col(target_lang))))
+        .when(compared & (F.col("_hit") >= 0.70), verdict("failed", F.concat(F.lit(MOSTLY_SOURCE[0]), percent, F.lit(MOSTLY_SOURCE[1]))))
+        .when(compared & (F.col("_hit") >= 0.45), verdict("warning", F.concat(F.lit(PARTLY_SOURCE[0]), percent, F.lit(PARTLY_SOURCE[1]))))
         .otherwise(verdict("valid", none))
     )
     return df.withColumn(out, cascade).drop("_cs", "_ct", "_sw", "_tw", "_hit")

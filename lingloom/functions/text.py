@@ -86,7 +86,35 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+def _rewritten(c: Column, may: str, pattern: str, change) -> Column:
+    """c with change(group 1) in place of each match of a pattern; texts without `may` are left alone."""
+    made = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), change)
+    joined = F.array_join(F.zip_with(F.split(c, pattern, -1), made, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit(may)), joined).otherwise(c)
+
+
+def _character(number: Column) -> Column:
+    """The character of a reference's digits, decimal or x and hexadecimal; the reference as it is if there is none."""
+    hexadecimal = F.lower(F.left(number, F.lit(1))) == "x"
+    code = F.when(hexadecimal, F.conv(F.substring(number, 2, 8), 16, 10)).otherwise(number).try_cast("long")
+    pair = code - 0x10000
+    units = F.when(code > 0xFFFF, F.concat(F.hex(F.shiftright(pair, 10) + 0xD800), F.hex(F.pmod(pair, F.lit(1024)) + 0xDC00))).otherwise(F.lpad(F.hex(code), 4, "0"))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(units), "UTF-16BE")).otherwise(F.concat(F.lit("&#"), number, F.lit(";")))
+
+
+def cdata_as_text(c: Column) -> Column:
+    """CDATA sections as escaped text."""
+    return _rewritten(c, "<![CDATA[", r"<!\[CDATA\[([\s\S]*?)\]\]>", xml_escape)
+
+
+def without_comments(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("<!--")), F.regexp_replace(c, r"<!--[\s\S]*?-->", "")).otherwise(c)
+
+
 def xml_unescape(c: Column) -> Column:
+    """Numeric references and the five named ones as characters; what an escaped ampersand makes is not read again."""
+    c = _rewritten(c, "&#", "&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", _character)
     for char, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
@@ -116,13 +144,17 @@ def joined_runs(paragraph: Column, run: str) -> Column:
     return F.array_join(F.regexp_extract_all(paragraph, F.lit(run), F.lit(1)), "")
 
 
+#: Fixed value: how a message says when to try again.
+RETRY_HINT = r"(?:retry|try again) (?:in|after) ([0-9]+(?:\.[0-9]+)?) ?s"
+
+
 def backoff_ms(attempt: Column) -> Column:
     return F.least(F.lit(1000) * F.pow(F.lit(2), attempt), F.lit(30000)).cast("long")
 
 
 def retry_after_ms(message: Column) -> Column:
     """Milliseconds to wait by a message's 'retry in N s' hint, one second on top, 65 s at most; null without a hint."""
-    seconds = F.regexp_extract(F.lower(message), r"(?:retry|try again) (?:in|after) ([0-9]+(?:\.[0-9]+)?) ?s", 1).try_cast("double")
+    seconds = F.regexp_extract(F.lower(message), RETRY_HINT, 1).try_cast("double")
     return F.when(seconds.isNotNull(), F.least(F.ceil(seconds * 1000) + 1000, F.lit(65000))).cast("long")
 
 

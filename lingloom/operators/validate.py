@@ -10,6 +10,8 @@ from ..functions.protect import find_tokens
 from ..functions.text import failure_hint, is_blank, numbers
 
 KEYS = ["doc_id", "segment_id"]
+#: Fixed value: what is said of a segment without a result.
+NO_RESULT = "Segment missing from translation results"
 
 
 def missing_segments(segments: DataFrame, results: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def checked(segments: DataFrame, results: DataFrame) -> DataFrame:
     verdict = F.col("completeness.status")
     issues = F.filter(
         F.array(
-            F.when(F.col("missing"), _issue(-1, "validation_error", F.lit("Segment missing from translation results"))),
+            F.when(F.col("missing"), _issue(-1, "validation_error", F.lit(NO_RESULT))),
             F.when(F.col("status") == "failed", _issue(0, "api_error", F.coalesce("error_message", F.lit("Translation failed")))),
             F.when(done & worded & is_blank(F.col("translated_text")), _issue(4, "validation_error", F.lit("Empty translation output for non-empty source segment"))),
             F.when(done & (F.size(tags) > 0), _issue(5, "tag_error", F.concat(F.lit("Unrestored tag tokens: "), F.array_join(tags, ", ")))),

@@ -7,7 +7,9 @@ calls the function again for rows that have an answer.
 from __future__ import annotations
 
 import json
-import tempfile
+import math
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,31 +20,40 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..functions.completeness import with_completeness
 from ..functions.protect import ENTITY_PATTERNS, protect, restore_all
 from ..functions.responses import batch_items, user_prompt
-from ..functions.text import plain_result
+from ..functions.text import RETRY_HINT, RETRYABLE, plain_result
+from ..operators.dimensions import glossary_for
 from ..operators.segments import pack_batches, split_blank, with_batch_no, with_context
+from ..sources.tables import shared_folder
 from .prompts import system_prompt
 
 #: fn(system, user, json_mode) -> text
 Infer = Callable[[str, str, bool], str]
-NEVER_AGAIN = "401|403|api key|unauthorized|not found"
+#: What is worth another try, its codes as numbers of their own.
+_AGAIN = re.compile("|".join(rf"(?<![0-9]){x}(?![0-9])" if x.isdigit() else x for x in RETRYABLE.split("|")))
+_HINT = re.compile(RETRY_HINT)
+
+
+def pause_before(message: str, attempt: int) -> float | None:
+    """Seconds to wait before trying again after a failure: by its hint, else growing; None if another try is useless."""
+    message = message.lower()
+    if not _AGAIN.search(message):
+        return None
+    hint = _HINT.search(message)
+    return min((math.ceil(float(hint[1]) * 1000) + 1000) / 1000, 65.0) if hint else min(2.0**attempt, 30.0)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingloom-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def infer(requests: DataFrame, fn: Infer, parallel: int | None = None, retries: int = 2, pause: Callable[[float], None] | None = None) -> DataFrame:
     """requests(..., system, prompt, json_mode) with reply, error, retry_count and latency_ms; a failure is a value.
 
-    fn runs in the tasks; `parallel` bounds how many run at once. A failed call is tried again after a growing pause
-    unless its message says that trying again is useless.
+    fn runs in the tasks; `parallel` bounds how many run at once. A failed call is tried again if its message says that
+    this may help: after the time that the message names, or a growing pause.
     """
-    import re
-    import time
-
     wait = pause or time.sleep
     schema = StructType([*requests.schema.fields, StructField("reply", StringType()), StructField("error", StringType()), StructField("retry_count", IntegerType()), StructField("latency_ms", LongType())])
 
@@ -57,9 +68,10 @@ def infer(requests: DataFrame, fn: Infer, parallel: int | None = None, retries:
                         break
                     except Exception as e:  # noqa: BLE001  a caller's function may raise anything; it becomes the row's error
                         error = str(e) or type(e).__name__
-                        if tries >= retries or re.search(NEVER_AGAIN, error.lower()):
+                        seconds = pause_before(error, tries)
+                        if tries >= retries or seconds is None:
                             break
-                        wait(min(2.0**tries, 30.0))
+                        wait(seconds)
                         tries += 1
                 rows.append((reply, error, tries, int(1000 * (time.monotonic() - began))))
             yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("reply", "error", "retry_count", "latency_ms"))})
@@ -88,33 +100,56 @@ def _settled(rows: DataFrame) -> DataFrame:
 RESULT = ["doc_id", "segment_id", "seg_index", "translated_text", "translated_raw", "status", "error_message", "validation_warnings"]
 
 
-def translate(segments: DataFrame, fn: Infer, batch_size: int = 10, max_context: int = 500, attempts: int = 2, patterns: list = ENTITY_PATTERNS, tags: str | None = None, terms: tuple = (), parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
+def translate(segments: DataFrame, fn: Infer, batch_size: int = 10, max_context: int = 500, attempts: int = 2, patterns: list = ENTITY_PATTERNS, tags: str | None = None, terms: tuple = (), parallel: int | None = None, glossary: DataFrame | None = None, domain: str = "", on_error: str = "segment", on_round: Callable[[int, int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, call_log) of segments(doc_id, segment_id, seg_index, source_raw, source_text, target_text, source_lang, target_lang).
 
     Round 0 sends batches. A reply that is no list leaves its whole batch open, one that is leaves what is missing,
     lost placeholders or is incomplete. Rounds 1..attempts send open segments singly, from the second on with a retry
     notice. What is open in the end has failed, each segment for itself. Blank sources are done without a call.
+
+    Prompts are made for each language pair: with its terms of `glossary` that fit `domain`, and `terms` for all. A
+    batch holds segments of one document and pair. With on_error='batch' a batch whose call failed has failed as a whole.
+    on_round(round, completed, failed) is told of each round's end.
     """
+
+    def tell(attempt: int, state: DataFrame) -> None:
+        if on_round is not None:
+            n = {r["status"]: r["n"] for r in state.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            on_round(attempt, n.get("completed", 0), n.get("failed", 0))
+
     rows = protect(with_batch_no(with_context(segments, max_context), batch_size), "source_raw", patterns, tags)
     todo, blank = split_blank(rows)
-    todo = saved(todo)
-    prompt = F.udf(lambda s, t, mode, retry: system_prompt(s or "", t or "", mode, terms=terms, retry=retry), "string")
-    pairs = todo.select("source_lang", "target_lang").distinct()
-    system = lambda mode, retry: F.broadcast(pairs.withColumn("system", prompt("source_lang", "target_lang", F.lit(mode), F.lit(retry))))
-    batches = pack_batches(todo, batch_size).join(todo.groupBy("doc_id").agg(F.first("source_lang").alias("source_lang"), F.first("target_lang").alias("target_lang")), "doc_id").join(system("batch", False), ["source_lang", "target_lang"])
-    answered = saved(infer(batches.select("doc_id", "batch_no", "system", F.col("items_json").alias("prompt"), F.lit(True).alias("json_mode")), fn, parallel))
+    prompt = F.udf(lambda s, t, mode, retry, own: system_prompt(s or "", t or "", mode, terms=(*terms, *map(tuple, own or ())), retry=retry), "string")
+    todo = saved(todo.withColumn("pair", F.struct(F.coalesce("source_lang", F.lit("")).alias("s"), F.coalesce("target_lang", F.lit("")).alias("t"))).withColumn("batch_key", F.struct("doc_id", "pair")))
+    pairs = todo.select("pair", F.col("pair.s").alias("source_lang"), F.col("pair.t").alias("target_lang")).distinct()
+    if glossary is not None:
+        own = glossary_for(pairs, glossary, domain).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("source_term", "preferred_translation", "note"))).alias("own"))
+        pairs = pairs.join(own, "pair", "left")
+    else:
+        pairs = pairs.withColumn("own", F.lit(None).cast("array<struct<a:string,b:string,c:string>>"))
+    pairs = saved(pairs)  # a row for each pair of languages
+    system = lambda mode, retry: F.broadcast(pairs.select("pair", prompt("source_lang", "target_lang", F.lit(mode), F.lit(retry), "own").alias("system")))
+    batches = pack_batches(todo, batch_size, "batch_key").select("batch_key.doc_id", "batch_key.pair", "batch_no", "items_json").join(system("batch", False), "pair")
+    answered = saved(infer(batches.select("doc_id", "pair", "batch_no", "system", F.col("items_json").alias("prompt"), F.lit(True).alias("json_mode")), fn, parallel))
     log = [answered.select("doc_id", "batch_no", F.lit(0).alias("round"), "latency_ms", "retry_count", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"))]
     items = answered.select("doc_id", F.posexplode_outer(batch_items(F.col("reply"))).alias("item_pos", "i")).where("i.id is not null").select("doc_id", "item_pos", "i.id", "i.translation")
-    errors = answered.select("doc_id", "batch_no", F.col("error").alias("call_error"))
-    state = saved(_settled(match_responses(todo, items).join(errors, ["doc_id", "batch_no"], "left")).select(*todo.columns, *[c for c in RESULT if c not in todo.columns]))
+    errors = answered.select("doc_id", "pair", "batch_no", F.col("error").alias("call_error"))
+    state = saved(_settled(match_responses(todo, items).join(errors, ["doc_id", "pair", "batch_no"], "left")).select("call_error", *todo.columns, *[c for c in RESULT if c not in todo.columns]))
     done = [state.where("status = 'completed'").select(*RESULT)]
+    if on_error == "batch":
+        done.append(state.where("status = 'failed' and call_error is not null").select(*RESULT))
+        state = state.where("call_error is null")
+    tell(0, state)
     for attempt in range(1, attempts + 1):
         left = state.where("status = 'failed'").select(*todo.columns)
-        asked = left.join(system("single", attempt > 1), ["source_lang", "target_lang"]).withColumn("prompt", user_prompt(F.col("previous_text"), F.col("protected_text"), F.col("next_text"))).withColumn("json_mode", F.lit(False))
+        if not left.limit(1).count():
+            break
+        asked = left.join(system("single", attempt > 1), "pair").withColumn("prompt", user_prompt(F.col("previous_text"), F.col("protected_text"), F.col("next_text"))).withColumn("json_mode", F.lit(False))
         reply = saved(infer(asked, fn, parallel))
         log.append(reply.select("doc_id", "batch_no", F.lit(attempt).alias("round"), "latency_ms", "retry_count", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status")))
         state = saved(_settled(reply.withColumnsRenamed({"reply": "translation", "error": "call_error"})).select(*todo.columns, *[c for c in RESULT if c not in todo.columns]))
         done.append(state.where("status = 'completed'").select(*RESULT))
+        tell(attempt, state)
     done.append(state.where("status = 'failed'").select(*RESULT))
     finished = blank.withColumns({"translated_raw": F.col("translated_text"), "error_message": F.lit(None).cast("string")}).select(*RESULT)
     results, calls = finished, log[0]

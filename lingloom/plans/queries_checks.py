@@ -187,4 +187,4 @@ def r2_stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
     from .queries_flow import streamed
 
-    return streamed(spark, sf_dir, lambda s: jobs.stream_validate(s).select("doc_id", "segment_id", "protected_text", F.col("completeness.status").alias("status")), "append", "documents")
+    return streamed(spark, sf_dir, lambda s: jobs.stream_validate(s).select("doc_id", "segment_id", "protected_text", F.col("completeness.status").alias("status")), "append", table="documents")

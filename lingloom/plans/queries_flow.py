@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.protect import protect_tags, token_texts
 from ..functions.text import failure_hint, is_blank, plain_text, xml_escape
 from ..operators import dimensions, metrics, segments, validate
 from ..sources import files, rewrite
-from ..sources.tables import default_glossary, with_user_terms
+from ..sources.tables import default_glossary, shared_folder, with_user_terms
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,40 +281,76 @@ def i3_i6_translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r1_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
-    return streamed(spark, sf_dir, lambda s: jobs.stream_progress(s), "complete")
+    return streamed(spark, sf_dir, lambda s: jobs.stream_progress(s), "update", ["job_id"])
 
 
 @query("""SELECT date_trunc('day', ts) AS window_start, provider, count(*) AS requests, count(*) FILTER (status = 'failed') AS failed, CAST(floor(avg(latency_ms) + 0.5) AS BIGINT) AS avg_latency_ms, max(latency_ms) AS max_latency_ms FROM call_log GROUP BY ALL""", "call_log")
 def r3_stream_call_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
 
-    out = streamed(spark, sf_dir, lambda s: jobs.stream_call_metrics(s, "1 day"), "complete")
+    out = streamed(spark, sf_dir, lambda s: jobs.stream_call_metrics(s, "1 day"), "update", ["window_start", "provider"])
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def streamed(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], mode: str, table: str = "events") -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None, table: str = "events") -> DataFrame:
     """The job over a stream of the table's files, everything that is there, read back from its sink in the shared folder."""
     import uuid
 
     from ..streaming import jobs
 
-    home = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lingloom-')}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = V.table(spark, sf_dir, table).schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
     stream = V.call_log_of(rows) if table == "events" else V.pair_of(V.seg_doc_of(rows))
     jobs.run_available(job(stream), f"{home}/out", f"{home}/state", mode).awaitTermination()
-    return spark.read.parquet(f"{home}/out")
+    out = spark.read.parquet(f"{home}/out")
+    return jobs.latest(out, keys) if keys else out
 
 
-def _xliff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _unit(t, k):
+    return F.concat(F.lit('<trans-unit id="u'), k.cast("string"), F.when(k % 7 == 3, '" translate="no">').otherwise('">'), F.lit("<source>"), xml_escape(t), F.lit("</source><target/></trans-unit>"))
+
+
+def _xliff_documents(spark: SparkSession, sf_dir: str, unit=_unit) -> DataFrame:
     """(doc_id, xml, lang): each document's segments as a bilingual file, every seventh unit locked."""
     d = V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     texts = F.transform(F.filter(F.split("text", "\n", -1), lambda x: ~is_blank(x)), plain_text)
-    unit = lambda t, k: F.concat(F.lit('<trans-unit id="u'), k.cast("string"), F.when(k % 7 == 3, '" translate="no">').otherwise('">'), F.lit("<source>"), xml_escape(t), F.lit("</source><target/></trans-unit>"))
     body = F.array_join(F.transform(texts, unit), "\n")
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.concat(F.lit('<xliff><file source-language="'), "lang", F.lit('">'), body, F.lit("</file></xliff>")).alias("xml"))
 
 
+RAW = """source_text || chr(160) || 'A&#0; <c> & <bpt id="1">x</bpt>'"""
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'u' || seg_index AS segment_id, {RAW} AS source_raw, {V.sql_plain(f"({RAW})")} AS source_text, 's' || (seg_index % 3) AS own_status, 'a & "b"' AS note FROM seg_doc""", "seg_doc")
+def s2_s3_inner_xml_and_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner XML with references, CDATA and markup, and attributes in either quotes; each unit's copy in a comment is no unit."""
+
+    def unit(t, k):
+        u = F.concat(F.lit("<trans-unit id='u"), k.cast("string"), F.lit("' mq:status=\"s"), (k % 3).cast("string"), F.lit("\" note='a &amp; \"b\"'><source>"), xml_escape(t), F.lit('&#160;&#x41;&#0;<![CDATA[ <c> & ]]><bpt id="1">x</bpt></source></trans-unit>'))
+        return F.concat(u, F.lit("<!-- <trans-unit id='no'><source>no</source></trans-unit> -->"))
+
+    rows = files.xliff_segments(_xliff_documents(spark, sf_dir, unit))
+    return rows.select("doc_id", "segment_id", "source_raw", "source_text", F.col("attributes")["mq:status"].alias("own_status"), F.col("attributes")["note"].alias("note"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS well_formed FROM documents")
+def k7_well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as XML, two of three with an element left open or a bare ampersand."""
+    case = F.col("doc_id") % 3
+    clean = F.regexp_replace(xml_escape(F.coalesce("text", F.lit(""))), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    xml = F.concat(F.lit("<r><p>"), clean, F.when(case == 1, "<b></p></r>").when(case == 2, "A & B</p></r>").otherwise("</p></r>"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", files.is_well_formed(xml).alias("well_formed"))
+
+
+@query("""SELECT doc_id, seg_index, '__TAG_1__' || t || '__TAG_2____TAG_3__' AS protected_text, '__TAG_1__=<bpt id="1">i</bpt>|__TAG_2__=<ph id="2"/>|__TAG_3__=<mq:ch val="x">y</mq:ch>' AS tokens
+FROM (SELECT doc_id, seg_index, regexp_replace(source_text, '<', '', 'g') AS t FROM seg_doc)""", "seg_doc")
+def t1_inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline tags of translation files around each segment, by the default pattern."""
+    rows = V.seg_doc(spark, sf_dir).select("doc_id", *long("seg_index"), F.concat(F.lit('<bpt id="1">i</bpt>'), F.regexp_replace("source_text", "<", ""), F.lit('<ph id="2"/><mq:ch val="x">y</mq:ch>')).alias("raw"))
+    return protect_tags(rows, "raw").select("doc_id", "seg_index", "protected_text", token_texts(F.col("tag_tokens")).alias("tokens"))
+
+
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'u' || seg_index AS segment_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_index) - 1 AS seg_index, source_text, lang AS declared_source_lang FROM seg_doc WHERE seg_index % 7 <> 3""", "seg_doc")
 def s1_s4_scan_xliff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = files.with_declared_langs(_xliff_documents(spark, sf_dir))
@@ -332,13 +368,28 @@ def k1_rewrite_xliff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.xliff_segments(written).select("doc_id", "segment_id", "target_text")
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'p-' || row_number() OVER (PARTITION BY doc_id ORDER BY seg_index) AS segment_id, source_text FROM seg_doc WHERE source_text <> ''""", "seg_doc")
-def s5_s6_scan_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as word-processor markup with each paragraph split into two runs, some of them in tables."""
+def _package_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml): documents as word-processor markup, each paragraph in two runs, some in tables, an empty run and an
+    empty paragraph before each."""
     s = V.seg_doc(spark, sf_dir)
     half = F.floor(F.length("source_text") / 2).cast("int")
-    runs = F.concat(F.lit("<w:p><w:pPr/><w:r><w:t>"), xml_escape(F.substring("source_text", F.lit(1), half)), F.lit('</w:t></w:r><w:r><w:t xml:space="preserve">'), xml_escape(F.substring("source_text", half + 1, F.length("source_text"))), F.lit("</w:t></w:r></w:p>"))
+    runs = F.concat(F.lit('<w:p w:id="0"/><w:p><w:pPr/><w:r><w:t xml:space="preserve"/></w:r><w:r><w:t>'), xml_escape(F.substring("source_text", F.lit(1), half)), F.lit('</w:t></w:r><w:r><w:t xml:space="preserve">'), xml_escape(F.substring("source_text", half + 1, F.length("source_text"))), F.lit("</w:t></w:r></w:p>"))
     p = F.when(F.col("seg_index") % 5 == 2, F.concat(F.lit("<w:tbl><w:tc>"), runs, F.lit("</w:tc></w:tbl>"))).otherwise(runs)
     parts = s.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("seg_index", p.alias("p")))).alias("x"))
-    docs = parts.select("doc_id", F.concat(F.lit("<w:document><w:body>"), F.array_join(F.transform("x", lambda x: x["p"]), ""), F.lit("</w:body></w:document>")).alias("xml"))
-    return files.docx_segments(docs).select("doc_id", "segment_id", "source_text")
+    return parts.select("doc_id", F.concat(F.lit("<w:document><w:body>"), F.array_join(F.transform("x", lambda x: x["p"]), ""), F.lit("</w:body></w:document>")).alias("xml"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'p-' || row_number() OVER (PARTITION BY doc_id ORDER BY seg_index) AS segment_id, source_text FROM seg_doc WHERE source_text <> ''""", "seg_doc")
+def s5_s6_scan_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.docx_segments(_package_documents(spark, sf_dir)).select("doc_id", "segment_id", "source_text")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'p-' || row_number() OVER (PARTITION BY doc_id ORDER BY seg_index) AS segment_id, 'T & ' || source_text AS source_text, true AS same_count FROM seg_doc WHERE source_text <> ''""", "seg_doc")
+def k2_k8_rewrite_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph translated into its document; the outputs opened again, and their segments counted."""
+    docs = _package_documents(spark, sf_dir)
+    own = files.docx_segments(docs)
+    done = own.select("doc_id", "segment_id", F.lit("completed").alias("status"), F.concat(F.lit("T & "), "source_text").alias("translated_text"))
+    again = files.docx_segments(rewrite.rewrite_docx_xml(docs, own, done).select("doc_id", F.col("output").alias("xml")))
+    same = rewrite.verify_roundtrip(again, own).select("doc_id", F.col("ok").alias("same_count"))
+    return again.join(same, "doc_id").select("doc_id", "segment_id", "source_text", "same_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,12 @@ def with_user_terms(glossary: DataFrame, terms: list[tuple]) -> DataFrame:
 def domains(spark: SparkSession) -> DataFrame:
     """One profile whatever domain is asked for."""
     return spark.createDataFrame([DOMAIN], "code string, name string, instructions string")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for what jobs keep between stages. Only a local session without one gets a folder
+    of its own: on a cluster each machine would write to its own disk."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return shared or tempfile.mkdtemp(prefix="lingloom-")

@@ -11,7 +11,7 @@ from ..functions.protect import protect
 
 
 def stream_progress(results: DataFrame, key: str = "job_id") -> DataFrame:
-    """Completed, failed and all results of each job so far; state is one row for each job. Output mode complete or update."""
+    """Completed, failed and all results of each job so far; state is one row for each job. Output mode update."""
     return results.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
@@ -29,7 +29,14 @@ def stream_call_metrics(call_log: DataFrame, window: str = "1 day", late: str =
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Everything that is there now, written as Parquet, each micro-batch once."""
+    """Everything that is there now, written as Parquet, each micro-batch once. In update mode, a micro-batch writes the
+    rows that it changed into a folder of its own, which a retry overwrites; `latest` reads the last ones."""
     if mode == "append":
         return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    return df.writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{path}/micro_batch={k}")).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key of what an update stream wrote; combines before the shuffle."""
+    rest = [c for c in changes.columns if c not in (*keys, "micro_batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "micro_batch").alias("_b")).select(*keys, "_b.*")

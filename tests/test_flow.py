@@ -20,8 +20,8 @@ def test_dimension_tables(spark):
     assert languages(spark).count() == 12 and default_glossary(spark).count() == 14 and domains(spark).count() == 1
     assert with_user_terms(default_glossary(spark), [GLOSSARY[0]]).count() == 15
     assert synthetic_segments(spark, 25).count() == 25
-    names = spark.createDataFrame([("Hello.docx", "ta"), ("Patient.Report.Final.docx", "gu"), ("Doc.xliff", "zz"), ("Plain", "hi")], "f string, l string")
-    assert {r.output_name for r in dimensions.output_name(names, "f", "l", languages(spark)).collect()} == {"Hello_tamil.docx", "Patient.Report.Final_gujarati.docx", "Doc_zz.xliff", "Plain_hindi"}
+    names = spark.createDataFrame([("Tides.docx", "ta"), ("Log.of.June.docx", "gu"), ("Map.xliff", "zz"), ("Bare", "hi")], "f string, l string")
+    assert {r.output_name for r in dimensions.output_name(names, "f", "l", languages(spark)).collect()} == {"Tides_tamil.docx", "Log.of.June_gujarati.docx", "Map_zz.xliff", "Bare_hindi"}
     pairs = spark.createDataFrame([("en", "hi"), ("EN", "hi")], "source_lang string, target_lang string")
     assert dimensions.glossary_for(pairs, default_glossary(spark), "legal").count() == 3 and dimensions.glossary_for(pairs, default_glossary(spark), "").count() == 8
 
@@ -64,6 +64,54 @@ def test_translation_rounds(spark):
     assert [(c["round"], c["count"]) for c in calls] == [(0, 2), (1, 7), (2, 2)]
 
 
+def test_failures_are_tried_again_by_their_message():
+    assert inference.pause_before("400 bad request", 0) is None and inference.pause_before("took 4290 ms", 0) is None
+    assert inference.pause_before("503 overloaded, took 4012 ms", 1) == 2.0 and inference.pause_before("Rate limit: try again in 1.25s", 0) == 2.25
+    assert inference.pause_before("quota, retry after 900 s", 0) == 65.0 and inference.pause_before("timeout", 9) == 30.0
+
+
+def test_retries_wait_by_the_hint(spark):
+    def fn(system, user, json_mode):
+        raise ValueError({"a": "400 bad request", "b": "503 overloaded, took 4012 ms", "c": "429, try again in 0.5 s"}[user])
+
+    rows = spark.createDataFrame([(x, "s", x, False) for x in "abc"], "k string, system string, prompt string, json_mode boolean")
+    got = {r.k: r for r in inference.infer(rows, fn, retries=2, pause=lambda s: None).collect()}
+    assert {k: r.retry_count for k, r in got.items()} == {"a": 0, "b": 2, "c": 2} and got["a"].error == "400 bad request"
+
+
+def test_prompts_go_by_pair_with_its_terms(spark):
+    rows = [("d", f"s{k}", k, f"word{k} text", f"word{k} text", None, "en", "hi" if k % 2 else "gu") for k in range(12)]
+    glossary = spark.createDataFrame([("word", "en", "hi", "H-TERM", "legal", None), ("word", "en", "gu", "G-TERM", None, "n"), ("other", "en", "hi", "M-TERM", "medical", None)], "source_term string, source_lang string, target_lang string, preferred_translation string, domain string, note string")
+
+    def fn(system, user, json_mode):
+        own = "H-TERM" if "H-TERM" in system else "G-TERM" if "G-TERM" in system else "none"
+        if "M-TERM" in system or (own == "H-TERM") != ("Hindi" in system):
+            own = "wrong"
+        letters = "".join(chr((0x915 if own == "H-TERM" else 0xA95) + k) for k in range(9))
+        return json.dumps([{"id": x["id"], "translation": f"{own} {letters}"} for x in json.loads(user)])
+
+    seen = []
+    results, log = inference.translate(spark.createDataFrame(rows, SEG), fn, glossary=glossary, domain="legal", on_round=lambda *x: seen.append(x))
+    got = {r.segment_id: r.translated_text.split()[0] for r in results.collect()}
+    assert got == {f"s{k}": "H-TERM" if k % 2 else "G-TERM" for k in range(12)} and seen == [(0, 12, 0)]
+    assert log.count() == 4  # two pairs, two batches of ten numbers each
+
+
+def test_a_failed_batch_fails_as_a_whole(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(system, user, json_mode):
+        calls.add(1)
+        if json_mode and "s0" in user:
+            raise ValueError("401 unauthorized")
+        return json.dumps([{"id": x["id"], "translation": x["sourceText"].upper()} for x in json.loads(user)]) if json_mode else user
+
+    results, log = inference.translate(_segments(spark, 12), fn, on_error="batch")
+    rows = {r.segment_id: r for r in results.collect()}
+    assert [rows[f"s{k}"].status for k in range(12)] == ["failed"] * 10 + ["completed"] * 2 and rows["s3"].error_message == "401 unauthorized"
+    assert len(rows) == 13 and log.count() == 2 and calls.value == 2
+
+
 def test_two_providers(spark):
     fn = lambda s, u, j: json.dumps([{"id": x["id"], "translation": x["sourceText"]} for x in json.loads(u)]) if j else u
     bad = lambda s, u, j: (_ for _ in ()).throw(ValueError("403"))

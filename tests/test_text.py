@@ -27,6 +27,9 @@ def test_formats_escapes_and_hints(spark):
     assert got == ["docx", "xliff", "mqxliff", "mqxliff", None, None]
     assert one(spark, T.xml_escape(F.col("t")), t="a&<b>\"'") == "a&amp;&lt;b&gt;&quot;&apos;"
     assert one(spark, T.xml_unescape(F.col("t")), t="&amp;lt; &lt;") == "&lt; <"
+    assert one(spark, T.xml_unescape(F.col("t")), t="&#65;&#x1F600;&#xe9;&amp;#66; &#0; &#xD800; &#; &#1114112;") == "A\U0001f600é&#66; &#0; &#xD800; &#; &#1114112;"
+    assert one(spark, T.cdata_as_text(F.col("t")), t="a<![CDATA[<b>&]]>c<![CDATA[]]>") == "a&lt;b&gt;&amp;c"
+    assert one(spark, T.without_comments(F.col("t")), t="a<!-- b\n-->c<!---->") == "ac"
     assert one(spark, T.retry_after_ms(F.col("t")), t="Please try again in 1.2s.") == 2200
     assert one(spark, T.retry_after_ms(F.col("t")), t="try again in 100s") == 65000
     assert one(spark, T.backoff_ms(F.col("n")), n=9) == 30000
@@ -36,18 +39,18 @@ def test_formats_escapes_and_hints(spark):
 
 
 def test_tags_are_numbered_in_text_order(spark):
-    text = 'In <bpt id="1" i="1">&lt;b&gt;</bpt>trial<ept id="2" i="1"/> of <ph id="3">25 mg</ph> and <phrase>'
+    text = 'On <bpt id="7" i="4">&lt;i&gt;</bpt>harbour<ept id="8" i="4"/> at <ph id="9">low tide</ph> or <phrase>'
     r = P.protect_tags(spark.createDataFrame([(text,)], ["t"]), "t").first()
     assert [t["token"] for t in r["tag_tokens"]] == ["__TAG_1__", "__TAG_2__", "__TAG_3__", "__TAG_4__"]
-    assert r["protected_text"] == "In __TAG_1__trial__TAG_2__ of __TAG_3__ and __TAG_4__"
-    greedy = P.protect_tags(spark.createDataFrame([('a<g id="1">b<ph id="2">25 mg</ph>c</g>d',)], ["t"]), "t").first()
-    assert [t["original"] for t in greedy["tag_tokens"]] == ['<g id="1">', '<ph id="2">25 mg</ph>c</g>']
+    assert r["protected_text"] == "On __TAG_1__harbour__TAG_2__ at __TAG_3__ or __TAG_4__"
+    greedy = P.protect_tags(spark.createDataFrame([('a<g id="5">b<ph id="6">two oars</ph>c</g>d',)], ["t"]), "t").first()
+    assert [t["original"] for t in greedy["tag_tokens"]] == ['<g id="5">', '<ph id="6">two oars</ph>c</g>']
 
 
 def test_entities_are_numbered_by_pass(spark):
-    text = "Mail study@example.com, see https://example.com/study or ftp://f.org/x; NCT12345678, STUDY-2026-MED-001."
+    text = "Mail boats@quay.test, see https://quay.test/tides or ftp://f.org/x; NCT00000042, LOG-7-OAK-19."
     r = P.protect_entities(spark.createDataFrame([(text,)], ["t"]), "t").first()
-    assert [t["original"] for t in r["entity_tokens"]] == ["https://example.com/study", "ftp://f.org/x;", "study@example.com", "NCT12345678", "STUDY-2026-MED-001"]
+    assert [t["original"] for t in r["entity_tokens"]] == ["https://quay.test/tides", "ftp://f.org/x;", "boats@quay.test", "NCT00000042", "LOG-7-OAK-19"]
     assert r["protected_text"].startswith("Mail __ENTITY_3__, see __ENTITY_1__ or __ENTITY_2__ __ENTITY_4__")
     edge = P.protect_entities(spark.createDataFrame([(" +x@y.org ",)], ["t"]), "t").first()
     assert [t["original"] for t in edge["entity_tokens"]] == ["x@y.org"]
