@@ -409,8 +409,10 @@ def _repeats_of_hot(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[row]), pa.array(start)], names=["w", "id", "start"])
 
     windows = saved(contexts).mapInArrow(run, "w long, id long, start long")
-    first = windows.groupBy("w").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("w", "first")
-    later = windows.join(saved(first), "w")  # a saved side lets Spark split a window that very many texts have.where(F.struct("id", "start") != F.col("first"))
+    first = windows.groupBy("w").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last"))
+    # a saved side lets Spark split a window that very many texts have
+    first = saved(first.where("first <> last").select(F.col("w").alias("of"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")))
+    later = windows.join(first, F.col("w") == F.col("of")).where("id <> first_id or start <> first_start")
     return later.select("id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
 
 
