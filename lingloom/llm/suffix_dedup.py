@@ -21,7 +21,8 @@ is removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ GRAM = 24  #: bytes of an anchor
 FOLD_BYTES = 16 << 20  #: text of which a task folds equal contexts before the shuffle
 HOT_CONTEXTS = 50_000  #: differing contexts of one anchor that one task takes
 SAMPLE_TEXTS, SAMPLE_HITS = 5000, 100  #: texts that are looked at for frequent anchors, and how many contexts one has there
-BLOCK = 60_000  #: symbols of one suffix array; strings under one anchor are never parted
+BLOCK = 8_000  #: symbols of one suffix array, few enough for a cache; strings under one anchor are never parted
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def suffix_array(text: Sequence[int] | np.ndarray) -> list[int]:
     """Order of all suffixes of text, in linear time, by grouping and without recursive renaming.
 
     Phase 1 takes the groups of suffixes, at first by their first symbol, from the highest to the lowest. Each suffix
@@ -49,61 +50,75 @@ def suffix_array(text: list[int]) -> list[int]:
     one places the suffix before it, and that one's chain of previous smaller suffixes, at the front of their groups.
     """
     n = len(text) + 1
-    s = [x + 1 for x in text] + [0]
+    s = np.append(np.asarray(text, np.int64) + 1, 0)
+    by_symbol, count = np.argsort(s, kind="stable"), np.bincount(s)
+    begin = np.cumsum(count) - count
+    rank = np.empty(n, np.int64)
+    rank[by_symbol] = np.arange(n)
+    order, place, start = by_symbol.tolist(), rank.tolist(), begin[s].tolist()
     size = [0] * n
-    begin = [0] * (max(s) + 2)
-    for x in s:
-        begin[x + 1] += 1
-    for x in range(1, len(begin)):
-        begin[x] += begin[x - 1]
-    first, order, place, start = begin[:-1], [0] * n, [0] * n, [0] * n
-    for i, x in enumerate(s):
-        k = first[x]
-        first[x] += 1
-        order[k], place[i], start[i] = i, k, begin[x]
-        size[begin[x]] += 1
+    for g, c in zip(begin[count > 0].tolist(), count[count > 0].tolist()):
+        size[g] = c
     prev = [-1] * n
     end = n - 1
     while end >= 0:
-        low = start[order[end]]
+        i = order[end]
+        low = start[i]
+        if low == end:  # a group of one, as most are: its previous smaller suffix goes behind its own group
+            p = i - 1
+            while p >= 0 and start[p] > low:
+                p = prev[p]
+            prev[i] = p
+            if p >= 0:
+                g = start[p]
+                if size[g] > 1:
+                    size[g] -= 1
+                    k, here = g + size[g], place[p]
+                    if k != here:
+                        other = order[k]
+                        order[here], place[other] = other, here
+                        order[k], place[p] = p, k
+                    start[p], size[k] = k, 1
+            end -= 1
+            continue
         group = order[low : end + 1]
+        tied = []
         for i in group:  # up to the last earlier suffix of this group or a lower one
             p = i - 1
             while p >= 0 and start[p] > low:
                 p = prev[p]
             prev[i] = p
-        for i in group:  # on through this group, each of whose members is passed once
+            if p >= 0 and start[p] == low:
+                tied.append(i)
+        for i in tied:  # on through this group, each of whose members is passed once
             p = i
             while p >= 0 and start[p] == low:
                 p = prev[p]
             q = i
             while q != p and prev[q] != p:
                 prev[q], q = p, prev[q]
-        times: dict[int, int] = {}
-        for i in group:
-            p = prev[i]
-            if p >= 0:
-                times[p] = times.get(p, 0) + 1
-        if times:
-            by_count: list[list[int]] = [[] for _ in range(max(times.values()) + 1)]
-            for p, c in times.items():
-                by_count[c].append(p)
-            for same in reversed(by_count):
-                left: dict[int, list[int]] = {}
-                for p in same:
-                    g = start[p]
+        times = Counter([prev[i] for i in group])
+        times.pop(-1, None)
+        by_count: dict[int, list[int]] = {}
+        for p, c in times.items():
+            by_count.setdefault(c, []).append(p)
+        for c in sorted(by_count, reverse=True):
+            groups = [start[p] for p in by_count[c]]
+            # a group that leaves as a whole stays where it is
+            leaving = {g: m for g, m in Counter(groups).items() if m < size[g]}
+            for p, g in zip(by_count[c], groups):
+                if g in leaving:
                     size[g] -= 1
                     k, here = g + size[g], place[p]
                     if k != here:
                         other = order[k]
                         order[here], place[other] = other, here
                         order[k], place[p] = p, k
-                    left.setdefault(g, []).append(p)
-                for g, members in left.items():
-                    new = g + size[g]
-                    size[new] = len(members)
-                    for p in members:
-                        start[p] = new
+            for g, m in leaving.items():
+                new = g + size[g]
+                size[new] = m
+                for p in order[new : new + m]:
+                    start[p] = new
         end = low - 1
     out, placed, front = [n - 1] * n, [False] * n, list(range(n))
     for k in range(n):
@@ -272,14 +287,14 @@ def _shared_reach(group: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.n
 
 def _repeated_in(strings: list[bytes], firsts: list[tuple[int, int]], length: int) -> list[np.ndarray]:
     """For each string, which window starts repeat an earlier window, by the suffix array of all strings."""
-    text = list(b"".join(s + b"\xff" for s in strings))  # 0xFF never occurs in UTF-8
+    text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)  # 0xFF never occurs in UTF-8
     at = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
     sa = np.array(suffix_array(text), np.int64)
     owner = np.searchsorted(at, sa, "right") - 1
     fits = sa + length <= at[owner + 1] - 1
     sa, owner = sa[fits], owner[fits]
     off = sa - at[owner]
-    windows = np.lib.stride_tricks.sliding_window_view(np.array(text, np.uint8), length)
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
     new = np.ones(len(sa), bool)
     new[1:] = (windows[sa[1:]] != windows[sa[:-1]]).any(1)
     group = np.cumsum(new)
