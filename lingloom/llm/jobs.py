@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,12 @@ def saved(df: DataFrame) -> DataFrame:
             spark.conf.set(FREE_SHUFFLES, before)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store that a job made for itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A join's side up to this size goes to the tasks as a broadcast (its measured size); beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -61,6 +67,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """df with a number from 0 in this order, equal rows in any order of theirs. Rows are dealt out by ranges of the order,
+    numbered in each, and the ranges' counts added up."""
+    dealt = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", inside).join(counts, "_range").withColumn(out, F.col("_own") - 1 + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,19 +33,19 @@ MAX_RUNS = 50_000  #: entries of the table of annuli, some 40 bytes each
 RUN_BLOCK = 2048  #: annuli that 1024 queries are held against at once
 
 
-def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>) with floor(scale * x) of each component; vectors that are null or empty, or hold a null or
+def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, v array<long>, columns to keep) with floor(scale * x) of each component; vectors that are null or empty, or hold a null or
     non-finite component, and null ids, take no part."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     fit = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return df.where(F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return df.where(F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"), *keep)
 
 
 def _matrix(lists) -> np.ndarray:
     return np.stack([np.asarray(v, np.int64) for v in lists]) if len(lists) else np.zeros((0, 1), np.int64)
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products; doubles are exact while no sum can reach 2**53."""
     if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
@@ -183,7 +183,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
                 for a in np.unique(turn[live, step]).tolist():
                     who = live[turn[live, step] == a]
                     s, e = starts[a], ends[a]
-                    scores = _products(q[who], x[s:e])
+                    scores = products(q[who], x[s:e])
                     for r, w in enumerate(who.tolist()):
                         ok = (ids[s:e] != own_ids[w]) & (scores[r] >= bound[w])
                         found[w] = _merge(*found[w], ids[s:e][ok], scores[r][ok], k)
