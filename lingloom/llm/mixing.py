@@ -191,7 +191,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] | DataFrame, id_col: str = "do
     rounds = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(none), F.when(F.col("some"), F.array("whole")).otherwise(none))
     block = F.least(F.floor(F.col("start") / block_words), F.col("blocks") - 1)
     drawn = rows.withColumn("block", block).withColumn("round", F.explode_outer(rounds))
-    number = F.least(F.col("round") * F.col("blocks") + F.col("block"), F.col("quota") - 1)
+    number = F.when(F.col("round").isNotNull(), F.least(F.col("round") * F.col("blocks") + F.col("block"), F.col("quota") - 1))
     drawn = drawn.withColumn("run", F.pmod(number * _STEP + F.pmod(F.xxhash64(F.lit(seed), "s"), F.col("quota")), F.when(F.col("quota") > 0, F.col("quota"))))
 
     n_blocks = sources.agg(F.sum("quota")).first()[0] or 0
