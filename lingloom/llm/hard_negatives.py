@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import saved
+from .jobs import numbered, saved
 from .topk_search import products
 
 N_CLUSTERS = 64
@@ -158,10 +158,9 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
             yield pdf.assign(cluster=cos.argmax(1).astype(np.int32), cos=cos.max(1, initial=-1))
 
     anchors = saved(anchors.mapInPandas(clustered, "id long, label string, v array<long>, cluster int, cos double"))
-    n_blocks = max(1, -(-anchors.count() // block))
-    blocks = saved(anchors.repartitionByRange(n_blocks, "cluster", "cos", "id").withColumn("block", F.spark_partition_id()))
+    blocks = saved(numbered(anchors, [F.col("cluster"), F.col("cos"), F.col("id")], "n").withColumn("block", F.floor(F.col("n") / block)))
     found = []
-    for b in [r[0] for r in blocks.select("block").distinct().orderBy("block").collect()]:
+    for b in range(-(-anchors.count() // block)):
         own = blocks.where(F.col("block") == b).orderBy("cluster", "id").toPandas()
         found.append(saved(_block_negatives(rows, Block(own, centres), positives, negatives, low, high)))
     out = found[0]
