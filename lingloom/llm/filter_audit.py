@@ -32,7 +32,7 @@ from .jobs import removed, saved, with_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 FILTERS = "ABCDE"
 E = 16  #: the bit of filter E; A to D are 1, 2, 4 and 8
-BUCKET_TEXTS = 256
+BUCKET_TEXTS = 1024
 MICRO_BATCHES = 4
 CHANGES = "part string, mask int, good boolean, toxic boolean, n long"
 
