@@ -1,7 +1,7 @@
 """Operator 2: benchmark decontamination by size-partitioned MinHash containment search.
 
 A short test item inside a long document has a tiny resemblance, so a sketch of the document would miss it. The
-sketch is the item's: items are partitioned by their number of shingles, a partition for each power of two. The
+sketch is the item's: items are partitioned by their number of shingles, a partition for each factor of 16. The
 sketch of an item of n shingles, m = ceil(t * n) of which a document must contain, keeps its n - m + s least shingle
 hashes (bottom-k MinHash); a document that contains m shingles holds s of any so many of them, where s, the hits that
 a partition asks for, grows with its sizes. Sketches are looked up in whole documents, so it does not matter where
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .jobs import saved, side
 from .kernels import _LOWER, shingle_hashes, text_chunks, word_hashes, words
@@ -102,6 +103,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     total = sets.agg(F.sum("size")).first()[0] or 0
     blocks = max(1, -(-int(total) // block_shingles))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), sets.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(sets.schema["item_id"].dataType)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
 
     def one_pass(block: int) -> DataFrame:
@@ -135,7 +137,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                                             col.append(x)
                     if out[0]:
                         ids = batch.column(0).slice(i, j - i).take(pa.array(out[0], pa.int64()))
-                        item = pa.array(out[1], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None)
+                        item = pa.array(out[1], item_type)
                         yield pa.RecordBatch.from_arrays([ids, item, pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["id", "item_id", "n_shingles", "n_found"])
 
         return texts.mapInArrow(run, f"id {kind}, item_id {item_kind}, n_shingles long, n_found long")

@@ -5,6 +5,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes after lower-casing A-Z; ha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,11 +164,12 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    for j in range(n):
+    out = mix(hashes[:m])
+    for j in range(1, n):
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += hashes[j : j + m]
-    return mix(out)
+        out = mix(out)
+    return out
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
@@ -184,3 +186,24 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def word_digests(data: np.ndarray, offs: np.ndarray) -> list[bytes | None]:
+    """SHA-256 of each text's lower-cased words, a space after each; None for a text without words."""
+    space = _SPACE[data]
+    after = space.copy()
+    after[1:] &= ~space[:-1]
+    after[:1] = False
+    low = np.where(space, np.uint8(0x20), _LOWER[data])
+    begins = offs[:-1][np.diff(offs) > 0]
+    after[begins] = False  # white space that begins a text follows no word of it
+    keep = ~space | after
+    at = np.concatenate([[0], np.cumsum(keep)])[offs]
+    packed = memoryview(low[keep])
+    out: list[bytes | None] = []
+    for a, b, end in zip(at[:-1].tolist(), at[1:].tolist(), offs[1:].tolist()):
+        h = hashlib.sha256(packed[a:b])
+        if b > a and not space[end - 1]:
+            h.update(b" ")
+        out.append(h.digest() if b > a else None)
+    return out

@@ -1,8 +1,9 @@
 """Operator 6: near-duplicate documents by b-bit MinHash, with every link confirmed on the full shingle sets.
 
-1. One pass over the texts: shingle sets, `n_hashes` minima of each set, band keys, and a signature that keeps
-   the low `bits` bits of each minimum, packed.
-2. Equal sets fold into one class at once, so a group of exact copies is one row from here on.
+1. One pass over the texts: shingle sets, `n_hashes` minima of each set, band keys, a signature that keeps the low
+   `bits` bits of each minimum, packed, and the SHA-256 of the text's words.
+2. Texts of the same words fold into one class by that digest, so a group of exact copies is one row from here on. Sets
+   that are equal by other words, or only by their hashes, are classes of their own and have to be confirmed.
 3. Classes that share a band key are compared by signature: with a share m of equal low bits the similarity is
    estimated as (m - 2**-bits) / (1 - 2**-bits), which takes out the agreement by chance. A bucket is walked
    breadth first, each class against those not reached yet, so a bucket of n mutual copies costs n comparisons
@@ -12,8 +13,8 @@
    it is held `slack` below the threshold.
 5. Components of the confirmed links.
 
-Buckets and clusters over a size limit are dealt into tiles, pairs of blocks that cover all pairs between them,
-so no task holds an unbounded group, and nothing is capped.
+Buckets and clusters over a size limit are dealt into tiles, pairs of blocks that cover all pairs between them, and
+nothing is capped. Rows come to Python sorted by tile, in Arrow batches; a task holds a batch and the tile it ends in.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import connected_components, saved, shuffle_partitions, side
-from .kernels import exact_sets, mix, shingle_sets, text_chunks
+from .kernels import exact_sets, mix, shingle_sets, text_chunks, word_digests
 
 BUCKET_ROWS = 4096  #: classes of a bucket that one task compares; more are dealt into tiles
 CLUSTER_BYTES = 16 << 20  #: text of a cluster that one task holds; more is dealt into tiles
@@ -78,7 +79,6 @@ def _sketch_rows(df: DataFrame, id_col: str, text_col: str, words: int, n_hashes
                 full = [s for s in sets if len(s)]
                 n = len(sets)
                 where = np.flatnonzero([len(s) > 0 for s in sets])
-                key = np.zeros((n, 2), np.uint64)
                 sig, band = [None] * n, [None] * n
                 if full:
                     m = _minima(full, n_hashes)
@@ -88,15 +88,14 @@ def _sketch_rows(df: DataFrame, id_col: str, text_col: str, words: int, n_hashes
                         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + m[:, r : bands * rows : rows] + np.uint64(r))
                     h = mix(h + np.arange(bands, dtype=np.uint64)).view(np.int64)
                     for k, w in enumerate(where.tolist()):
-                        key[w] = mix(full[k]).sum(), np.bitwise_xor.reduce(mix(full[k] + np.uint64(77)))
                         sig[w], band[w] = packed[k].tobytes(), h[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                    names=["id", "n_bytes", "n_shingles", "k0", "k1", "sig", "bands"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array([len(s) for s in sets], pa.int64()), pa.array(word_digests(data, offs), pa.binary()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+                    names=["id", "n_bytes", "n_shingles", "digest", "sig", "bands"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_bytes long, n_shingles long, k0 long, k1 long, sig binary, bands array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_bytes long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
 def _walk(n: int, near) -> Iterator[tuple[int, int]]:
@@ -134,6 +133,37 @@ def _groups(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[int, np.ndarra
         yield n, order[begin[size == n][:, None] + np.arange(n)]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames that hold whole groups of rows sorted by keys: what a batch ends and the groups within it. Only the last group of a
+    batch waits for the next one."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+        start = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if start:
+            yield pd.concat([*held, pdf.iloc[:start]])
+            held = [pdf.iloc[start:]]
+        elif held and (held[-1][keys].iloc[-1] != pdf[keys].iloc[0]).any():
+            yield pd.concat(held)
+            held = [pdf]
+        else:
+            held.append(pdf)
+    if held:
+        yield pd.concat(held)
+
+
+def _by_tile(rows: DataFrame, keys: list[str], parts: int, run, schema: str) -> DataFrame:
+    """run(frame) over frames of whole tiles: rows meet by keys, sorted by them."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, keys):
+            yield run(pdf)
+
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(each, schema)
+
+
 def _estimated_edges(buckets: DataFrame, kind: str, n_hashes: int, bits: int, bound: float, ratio: float, parts: int) -> DataFrame:
     """Forest edges between classes of a tile whose estimated similarity reaches the bound.
 
@@ -175,7 +205,7 @@ def _estimated_edges(buckets: DataFrame, kind: str, n_hashes: int, bits: int, bo
                     add(g[pairs[:, 0]], g[pairs[:, 1]], np.ones(len(pairs), bool))
         return pd.DataFrame({"src": np.concatenate(src) if src else [], "dst": np.concatenate(dst) if dst else []})
 
-    return buckets.repartition(parts, "bundle").groupBy("bundle").applyInPandas(run, f"src {kind}, dst {kind}")
+    return _by_tile(buckets, ["band", "key", "tile_i", "tile_j"], parts, run, f"src {kind}, dst {kind}")
 
 
 def _confirmed_edges(members: DataFrame, kind: str, words: int, percent: float, parts: int) -> DataFrame:
@@ -210,7 +240,7 @@ def _confirmed_edges(members: DataFrame, kind: str, words: int, percent: float,
                 dst.append(ids[root])
         return pd.DataFrame({"src": src, "dst": dst})
 
-    return members.repartition(parts, "bundle").groupBy("bundle").applyInPandas(run, f"src {kind}, dst {kind}")
+    return _by_tile(members, ["cluster", "tile_i", "tile_j"], parts, run, f"src {kind}, dst {kind}")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: float = 80, n_hashes: int = 252, bits: int = 2, slack: float = 0.12) -> DataFrame:
@@ -227,12 +257,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = shuffle_partitions(spark)
     docs = saved(_sketch_rows(df, id_col, text_col, words, n_hashes, rows, bits))
     linkable = docs.where("id is not null and n_shingles > 0")
-    classes = saved(linkable.groupBy("k0", "k1", "n_shingles").agg(F.min(F.struct("id", "n_bytes", "sig", "bands")).alias("s")).select("k0", "k1", "n_shingles", "s.*"))
+    classes = saved(linkable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "n_bytes", "sig", "bands")).alias("s")).select("digest", "s.*"))
 
     keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / BUCKET_ROWS).alias("blocks"))
     buckets = _tiles(keys.join(shared, ["band", "key"]).join(classes.select("id", "n_shingles", "sig"), "id"), "blocks", "id")
-    buckets = buckets.withColumn("bundle", F.pmod(F.xxhash64("band", "key", "tile_i", "tile_j"), F.lit(8 * parts)))
     edges = _estimated_edges(buckets, kind, n_hashes, bits, t - slack, t, parts)
 
     cluster = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
@@ -241,15 +270,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = side(saved(cluster.select("id", "cluster").join(totals, "cluster")), 48)
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     members = _tiles(texts.join(wanted, "id"), "blocks", "id")
-    members = members.withColumn("bundle", F.pmod(F.xxhash64("cluster", "tile_i", "tile_j"), F.lit(8 * parts)))
     confirmed = _confirmed_edges(members, kind, words, percent, parts)
     twice = linkable.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if twice.limit(1).count():  # an id of several texts ties their classes together
-        own = linkable.join(twice, "id", "left_semi").join(classes.select("k0", "k1", "n_shingles", F.col("id").alias("dst")), ["k0", "k1", "n_shingles"])
+        own = linkable.join(twice, "id", "left_semi").join(classes.select("digest", F.col("id").alias("dst")), "digest")
         confirmed = confirmed.unionByName(own.select(F.col("id").alias("src"), "dst"))
     links = connected_components(confirmed).select(F.col("node").alias("rep"), "component")
 
-    reps = classes.select("k0", "k1", "n_shingles", F.col("id").alias("rep")).join(links, "rep", "left").select("k0", "k1", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    reps = classes.select("digest", F.col("id").alias("rep")).join(links, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     alone = docs.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = linkable.join(reps, ["k0", "k1", "n_shingles"]).select("id", "n_shingles", "component_id").unionByName(alone)
+    out = linkable.join(reps, "digest").select("id", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -127,7 +127,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
             for i, j, x in feature_rows(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["grade", "x"])
 
-    got = texts.mapInArrow(run, "grade int, x binary").orderBy("grade", F.xxhash64("x")).limit(max_labelled).collect()
+    got = texts.mapInArrow(run, "grade int, x binary").orderBy(F.xxhash64("x"), "grade").limit(max_labelled).collect()
     y = np.array([r["grade"] for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         return None

@@ -442,3 +442,9 @@ def test_secrets_in_prose_are_not_taught_as_false_positives(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, before string, secret string, f_covered double")
     got = {r.k: r.label for r in df.select("k", secrets.confirmed_by_assignment().alias("label")).collect()}
     assert [got[k] for k in range(7)] == [None, None, None, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_a_small_bound_still_shows_every_grade(spark):
+    docs = spark.createDataFrame([(i % 30, f"{'fine calm words' if i % 30 < 15 else 'bad junk lines'} {i}") for i in range(90)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, int(i < 15)) for i in range(30)], "doc_id long, grade int")
+    assert quality.fit(docs, ratings, max_labelled=25) is not None

@@ -6,6 +6,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,39 @@ def test_boilerplate_lines(spark):
     assert [r[0] for r in urls] == ["a.b.c", "", ""]
     html = spark.createDataFrame([("<p>a<br>b </p><script>x<y</script><!-- n -->\n<style>s</style>c",)], "h string").select(line_dedup.html_lines(F.col("h"))).first()
     assert html[0] == ["a", "b", "c"]
+
+
+def test_sets_that_only_their_hashes_make_equal_are_not_folded(spark):
+    """Two texts of one shingle that an earlier, linear hash gave the same key, and texts of equal sets by other words."""
+    rows = [(0, "alpha beta gamma"), (1, "doc76988 other i&n]nwya"), (2, "Alpha\tbeta  gamma "), (3, "a b c a b c a"), (4, "c a b c a b c"), (5, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (3, 3), 4: (3, 3), 5: (0, 5)}
+
+
+def test_word_digests_are_of_the_words_alone():
+    texts = ["", " ", "a", " a", "a ", "A\n\tb ", "a b", "ab", "é b", "", "  x", "x"]
+    raw = [t.encode() for t in texts]
+    got = kernels.word_digests(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [tuple(re.sub("[A-Z]", lambda m: m[0].lower(), t).split()) for t in texts]
+    for i in range(len(texts)):
+        assert (got[i] is None) == (not want[i])
+        for j in range(len(texts)):
+            assert (got[i] == got[j]) == (want[i] == want[j]), (texts[i], texts[j])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_groups_are_whole_whatever_the_batches(size):
+    rng = np.random.default_rng(size)
+    pdf = pd.DataFrame({"k": np.sort(rng.integers(0, 12, 60)), "j": 0, "x": np.arange(60)})
+    frames = list(near_dup.whole_groups((pdf.iloc[a : a + size] for a in range(0, 60, size)), ["k", "j"]))
+    assert pd.concat(frames)["x"].tolist() == list(range(60))
+    assert sum(f["k"].nunique() for f in frames) == pdf["k"].nunique()
+    assert max(map(len, frames)) <= size + 2 * pdf.groupby("k").size().max()
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "bigint"])
+def test_items_of_any_id_type(spark, kind):
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven")], "doc_id long, text string")
+    items = spark.createDataFrame([("7", "one two three four five six")], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    found = decontaminate.contained_items(docs, items)
+    assert found.schema["item_id"].dataType.simpleString() == kind and [str(r.item_id) for r in found.collect()] == ["7"]
