@@ -42,6 +42,11 @@ SCRIPT_RANGES = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
@@ -103,13 +108,30 @@ def _character(number: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(units), "UTF-16BE")).otherwise(F.concat(F.lit("&#"), number, F.lit(";")))
 
 
-def cdata_as_text(c: Column) -> Column:
-    """CDATA sections as escaped text."""
-    return _rewritten(c, "<![CDATA[", r"<!\[CDATA\[([\s\S]*?)\]\]>", xml_escape)
+#: What stands in a document without being markup: comments, CDATA sections, processing instructions.
+NOT_MARKUP = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>"
+#: Characters that no XML document may hold stand around the number of a place that one of these was taken from.
+PLACE = r"\x01([0-9]+)\x02"
+
+
+def only_markup(xml: Column) -> Column:
+    """Comments and instructions taken out, CDATA sections as escaped text: every '<' left opens or closes an element."""
+    text = lambda m: F.when(F.startswith(m, F.lit("<![CDATA[")), xml_escape(F.substring(m, F.lit(10), F.length(m) - 12))).otherwise("")
+    made = F.transform(F.regexp_extract_all(xml, F.lit(NOT_MARKUP), F.lit(0)), text)
+    return F.array_join(F.zip_with(F.split(xml, NOT_MARKUP, -1), made, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
+def taken_out(xml: Column) -> tuple[Column, Column]:
+    """(xml with numbered places for what is not markup, what was there): the same elements as in only_markup."""
+    found = F.regexp_extract_all(xml, F.lit(NOT_MARKUP), F.lit(0))
+    names = F.transform(found, lambda _, k: F.concat(F.lit("\x01"), k.cast("string"), F.lit("\x02")))
+    return F.array_join(F.zip_with(F.split(xml, NOT_MARKUP, -1), names, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""), found
 
 
-def without_comments(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit("<!--")), F.regexp_replace(c, r"<!--[\s\S]*?-->", "")).otherwise(c)
+def put_back(text: Column, found: Column) -> Column:
+    """What taken_out took, at the places that are left."""
+    there = F.transform(F.regexp_extract_all(text, F.lit(PLACE), F.lit(1)), lambda k: F.coalesce(F.get(found, k.cast("int")), F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, PLACE, -1), there, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
 
 
 def xml_unescape(c: Column) -> Column:

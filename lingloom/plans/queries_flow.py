@@ -368,6 +368,26 @@ def k1_rewrite_xliff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.xliff_segments(written).select("doc_id", "segment_id", "target_text")
 
 
+@query(f"""WITH u AS (SELECT *, CASE WHEN seg_index % 3 = 2 THEN 'own' END AS before FROM seg_doc), n AS (SELECT doc_id, count(*) AS units, count(*) FILTER (seg_index % 2 = 0) AS replaced FROM seg_doc GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'u' || seg_index AS segment_id, before, CASE WHEN seg_index % 2 = 0 THEN {V.sql_plain("('T & ' || source_text)")} ELSE before END AS after, replaced, 2 * units AS others FROM u JOIN n USING (doc_id)""", "seg_doc")
+def s1_k1_own_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units whose comments, alternatives and notes hold targets of theirs: read, every second one translated into its own
+    target, and read again; what the others hold stays."""
+
+    def unit(t, k):
+        own = F.when(k % 3 == 0, "").when(k % 3 == 1, "<target state='a>b'/>").otherwise("<target>own</target>")
+        head = F.concat(F.lit('<trans-unit note="1 > 0" id="u'), k.cast("string"), F.lit('"><!-- <target>old</target> --><source>'), xml_escape(t), F.lit("</source>"))
+        return F.concat(head, F.lit("<alt-trans><source>x</source><target>near</target></alt-trans><m:h><m:e><target>near</target></m:e></m:h>"), own, F.lit("</trans-unit>"))
+
+    docs = _xliff_documents(spark, sf_dir, unit)
+    own = files.xliff_segments(docs)
+    done = own.where("cast(substring(segment_id, 2) as int) % 2 = 0").select("doc_id", "segment_id", F.lit("completed").alias("status"), F.concat(F.lit("T & "), "source_text").alias("translated_raw"))
+    written = rewrite.rewrite_xliff(docs, done)
+    again = files.xliff_segments(written.select("doc_id", F.col("output").alias("xml"))).select("doc_id", "segment_id", F.col("target_text").alias("after"))
+    counts = written.select("doc_id", "replaced", F.regexp_count("output", F.lit("<target>near</target>")).cast("long").alias("others"))
+    return own.select("doc_id", "segment_id", F.col("target_text").alias("before")).join(again, ["doc_id", "segment_id"]).join(counts, "doc_id")
+
+
 def _package_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, xml): documents as word-processor markup, each paragraph in two runs, some in tables, an empty run and an
     empty paragraph before each."""

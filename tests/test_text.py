@@ -28,8 +28,9 @@ def test_formats_escapes_and_hints(spark):
     assert one(spark, T.xml_escape(F.col("t")), t="a&<b>\"'") == "a&amp;&lt;b&gt;&quot;&apos;"
     assert one(spark, T.xml_unescape(F.col("t")), t="&amp;lt; &lt;") == "&lt; <"
     assert one(spark, T.xml_unescape(F.col("t")), t="&#65;&#x1F600;&#xe9;&amp;#66; &#0; &#xD800; &#; &#1114112;") == "A\U0001f600é&#66; &#0; &#xD800; &#; &#1114112;"
-    assert one(spark, T.cdata_as_text(F.col("t")), t="a<![CDATA[<b>&]]>c<![CDATA[]]>") == "a&lt;b&gt;&amp;c"
-    assert one(spark, T.without_comments(F.col("t")), t="a<!-- b\n-->c<!---->") == "ac"
+    assert one(spark, T.only_markup(F.col("t")), t="a<![CDATA[<b>&<!-- ]]>c<![CDATA[]]><!-- <![CDATA[ -->d<?p <x> ?>") == "a&lt;b&gt;&amp;&lt;!-- cd"
+    left, found = T.taken_out(F.col("t"))
+    assert one(spark, F.struct(left, T.put_back(left, found)), t="a<!-- b -->c<![CDATA[d]]>") == ("a\x010\x02c\x011\x02", "a<!-- b -->c<![CDATA[d]]>")
     assert one(spark, T.retry_after_ms(F.col("t")), t="Please try again in 1.2s.") == 2200
     assert one(spark, T.retry_after_ms(F.col("t")), t="try again in 100s") == 65000
     assert one(spark, T.backoff_ms(F.col("n")), n=9) == 30000
