@@ -307,6 +307,70 @@ def streamed(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFr
     return jobs.latest(out, keys) if keys else out
 
 
+@query("""SELECT job_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) >= any_value(expected) AS finished
+FROM call_log JOIN (SELECT job_id, count(*) + CASE WHEN job_id % 5 = 0 THEN 1 ELSE 0 END AS expected FROM call_log GROUP BY 1) USING (job_id) GROUP BY job_id""", "call_log")
+def r1_progress_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that know how many calls they will have, every fifth one more than there are: finished ones leave the state."""
+    from ..streaming import jobs
+
+    expected = V.call_log(spark, sf_dir).groupBy("job_id").agg((F.count("*") + F.when(F.col("job_id") % 5 == 0, 1).otherwise(0)).alias("expected"))
+    return streamed(spark, sf_dir, lambda s: jobs.stream_progress_until_done(s.join(expected, "job_id")), "update", ["job_id"])
+
+
+@query("""SELECT 'd' || d.doc_id || '_hindi.' || CASE WHEN d.doc_id % 2 = 0 THEN 'xliff' ELSE 'MQXLIFF' END AS name, count(s.doc_id) AS segments, count(s.doc_id) FILTER (seg_index % 2 = 0) AS translated
+FROM documents d LEFT JOIN (SELECT * FROM seg_doc WHERE seg_index % 7 <> 3) s ON s.doc_id = d.doc_id WHERE d.doc_id % 10 <> 9 GROUP BY d.doc_id""", "seg_doc")
+def k11_k9_export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents translated in part and written as files under their translations' names, but for those that a gate holds
+    back; the files of that folder read and scanned again."""
+    import uuid
+
+    from ..sources import sink
+    from ..sources.tables import languages
+
+    found, own, done = _translated_files(spark, sf_dir)
+    gates = found.select("doc_id", (F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("long") % 10 == 9).alias("blocked"))
+    home = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    sink.export_documents(found, own, done, home, F.lit("hi"), languages(spark), gates)
+    again = files.read_files(spark, home)
+    rows = files.xliff_segments(files.xml_documents(again)).groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("target_text").alias("translated"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return again.select("doc_id", F.col("file_name").alias("name")).join(rows, "doc_id", "left").select("name", zero("segments"), zero("translated"))
+
+
+def _translated_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as files of two extensions, their segments, and a translation of every second one."""
+    docs = _xliff_documents(spark, sf_dir)
+    name = F.concat(F.lit("d"), "doc_id", F.when(F.col("doc_id").cast("long") % 2 == 0, ".xliff").otherwise(".MQXLIFF"))
+    found = docs.select("doc_id", name.alias("file_name"), F.when(F.endswith(name, F.lit(".xliff")), "xliff").otherwise("mqxliff").alias("source_format"), F.length("xml").cast("long").alias("length"), F.col("xml").cast("binary").alias("content"))
+    own = files.xliff_segments(docs)
+    even = own.where("cast(substring(segment_id, 2) as int) % 2 = 0")
+    return found, own, even.select("doc_id", "segment_id", F.lit("completed").alias("status"), F.concat(F.lit("T "), "source_text").alias("translated_raw"), F.concat(F.lit("T "), "source_text").alias("translated_text"))
+
+
+@query("""SELECT CASE doc_id % 6 WHEN 1 THEN 'Unsupported file type' WHEN 2 THEN 'File is empty.' WHEN 3 THEN 'No <trans-unit> elements found.' WHEN 4 THEN 'XML parse error' ELSE 'segment' END AS kind, count(*) AS n
+FROM (SELECT d.doc_id FROM documents d WHERE doc_id % 6 BETWEEN 1 AND 4 UNION ALL SELECT doc_id FROM seg_doc WHERE doc_id % 6 IN (0, 5) AND seg_index % 7 <> 3) GROUP BY 1""", "seg_doc")
+def r2_s8_s9_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, two of three of them of no use, in two arrivals; each arrival's files are taken in by a
+    stream that goes on where it ended: segments, and a quarantine with the reasons."""
+    import uuid
+
+    from ..sources import sink
+    from ..streaming import jobs
+
+    home = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    docs = _xliff_documents(spark, sf_dir)
+    case = F.col("doc_id").cast("long") % 6
+    name = F.concat(F.lit("d"), "doc_id", F.when(case == 1, ".txt").otherwise(".xliff"))
+    text = F.when(case == 2, " \n").when(case == 3, "<xliff></xliff>").when(case == 4, "<a><b></a>").otherwise(F.col("xml"))
+    made = docs.select(F.col("doc_id").cast("long").alias("k"), name.alias("name"), text.cast("binary").alias("content"))
+    for part in (0, 1):
+        sink.write_files(made.where(F.col("k") % 2 == part), f"{home}/in")
+        jobs.ingest(jobs.arriving_files(spark, f"{home}/in", per_batch=50_000), home, f"{home}/state").awaitTermination()
+    ok = spark.read.parquet(f"{home}/segments").select(F.lit("segment").alias("kind"))
+    bad = spark.read.parquet(f"{home}/quarantine").select(F.col("error_message").alias("kind"))
+    return ok.unionByName(bad).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def _unit(t, k):
     return F.concat(F.lit('<trans-unit id="u'), k.cast("string"), F.when(k % 7 == 3, '" translate="no">').otherwise('">'), F.lit("<source>"), xml_escape(t), F.lit("</source><target/></trans-unit>"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.completeness import with_completeness
 from ..functions.protect import protect
+from ..sources import files
 
 
 def stream_progress(results: DataFrame, key: str = "job_id") -> DataFrame:
@@ -15,6 +19,58 @@ def stream_progress(results: DataFrame, key: str = "job_id") -> DataFrame:
     return results.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+def stream_progress_until_done(results: DataFrame, key: str = "job_id", expected: str = "expected", abandoned_after_ms: int | None = None) -> DataFrame:
+    """(key, total, completed, failed, finished) of each job that a micro-batch has changed. A row says how many results its job
+    will have; when they are there the job is finished and its state goes. So does the state of a job that got nothing for
+    `abandoned_after_ms`, with a last row that is not finished; a stream with that never runs out of micro-batches, so it is
+    for triggers other than available-now. State is one row for each open job."""
+    kind = results.schema[key].dataType.simpleString()
+
+    def update(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        total, completed, failed, wanted = state.get if state.exists else (0, 0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for pdf in batches:
+                total += len(pdf)
+                completed += int((pdf["status"] == "completed").sum())
+                failed += int((pdf["status"] == "failed").sum())
+                wanted = max(wanted, int(pdf["expected"].max()))
+            if total < wanted:
+                state.update((total, completed, failed, wanted))
+                if abandoned_after_ms is not None:
+                    state.setTimeoutDuration(abandoned_after_ms)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame({key: [name[0]], "total": [total], "completed": [completed], "failed": [failed], "finished": [total >= wanted]})
+
+    rows = results.select(key, F.coalesce("status", F.lit("")).alias("status"), F.coalesce(F.col(expected).cast("long"), F.lit(0)).alias("expected")).where(F.col(key).isNotNull())
+    out = f"{key} {kind}, total long, completed long, failed long, finished boolean"
+    return rows.groupBy(key).applyInPandasWithState(update, out, "total long, completed long, failed long, wanted long", "update", "NoTimeout" if abandoned_after_ms is None else "ProcessingTimeTimeout")
+
+
+def arriving_files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
+    """Files below a path as they arrive, with their bytes: the columns of read_files. Each is read once."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path)
+    return files.file_rows(stream)
+
+
+def ingest(arriving: DataFrame, home: str, checkpoint: str, max_bytes: int = files.MAX_BYTES) -> StreamingQuery:
+    """Arriving files as segments (home/segments), and those of another type, too large or unreadable with the reason
+    (home/quarantine); a micro-batch that is run again overwrites its own rows."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        accepted, rejected = files.split_acceptable(batch, max_bytes)
+        text = files.xliff_segments(files.xml_documents(accepted.where("source_format in ('xliff', 'mqxliff')")))
+        packages = files.docx_segments(files.unpacked(accepted.where("source_format = 'docx'")).where("xml is not null"))
+        bad = rejected.select("doc_id", "error_message").unionByName(files.scan_errors(accepted))
+        text.unionByName(packages).write.mode("overwrite").parquet(f"{home}/segments/micro_batch={number}")
+        bad.write.mode("overwrite").parquet(f"{home}/quarantine/micro_batch={number}")
+
+    return arriving.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_validate(segments: DataFrame, source: str = "source_text", target: str = "target_text") -> DataFrame:
     """Protection and completeness of each arriving segment; the same columns as in batch, no state."""
     return with_completeness(protect(segments, source), source, target, "source_lang", "target_lang")
