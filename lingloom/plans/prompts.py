@@ -28,14 +28,17 @@ def script_note(code: str) -> str:
     return f" Write the output in {label(code)} script ({native}), not in Latin letters." if native else ""
 
 
-def system_prompt(source: str, target: str, mode: str = "single", rules: tuple = (), terms: tuple = (), retry: bool = False) -> str:
-    """mode: 'single' or 'batch'. terms: (source term, translation, note). retry adds the notice of an incomplete attempt."""
+def system_prompt(source: str, target: str, mode: str = "single", rules: tuple = (), terms: tuple = (), retry: bool = False, profile: str = "") -> str:
+    """mode: 'single' or 'batch'. terms: (source term, translation, note). retry adds the notice of an incomplete attempt, profile what to know of
+    the domain."""
     what = "the CURRENT SEGMENT" if mode == "single" else 'the "sourceText" of every segment'
     parts = [f"You are a translator. Translate {what} from {label(source)} into {label(target)}.{script_note(target)}", "## PRINCIPLES\n" + "\n".join(f"- {p}" for p in PRINCIPLES)]
     if mode == "batch":
         parts.append("## OUTPUT FORMAT\n" + REPLY)
     if retry:
         parts.append(f"## CRITICAL RETRY NOTICE\nThe attempt before left source text untranslated. Translate every part into {label(target)}.")
+    if profile:
+        parts.append("## DOMAIN\n" + profile)
     if rules:
         parts.append(f"## LANGUAGE RULES ({label(target)})\n" + "\n".join(f"- {r}" for r in rules))
     if terms:

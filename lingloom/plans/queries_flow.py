@@ -277,6 +277,100 @@ def i3_i6_translate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("conv_id"), F.col("segment_id").cast("long").alias("turn"), "status", shown.alias("translated_text"))
 
 
+def _turns(spark: SparkSession, sf_dir: str, source: str = "text") -> DataFrame:
+    t = V.table(spark, sf_dir, "conversations").withColumn("t", F.expr(source))
+    lang = F.when(F.col("turn") % 2 == 0, "hi").otherwise("gu")
+    return t.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("string").alias("segment_id"), F.col("turn").cast("int").alias("seg_index"), F.col("t").alias("source_raw"), F.col("t").alias("source_text"), F.lit(None).cast("string").alias("target_text"), F.lit("en").alias("source_lang"), lang.alias("target_lang"))
+
+
+def _answer(user: str, json_mode: bool, text) -> str:
+    import json
+
+    return json.dumps([{"id": x["id"], "translation": text} for x in json.loads(user)]) if json_mode else text
+
+
+@query("""SELECT conv_id, turn, provider, CASE turn % 3 WHEN 0 THEN '503 overloaded' WHEN 1 THEN '400 bad request' END AS error, CASE WHEN turn % 3 = 0 THEN 2 ELSE 0 END AS retry_count,
+CASE WHEN turn % 3 = 2 THEN provider || ' ' || upper(role) END AS reply FROM conversations, (VALUES ('a'), ('b')) p(provider)""")
+def i2_retries_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of two providers that fail for good, for now, or not: what may be tried again comes again in a later round."""
+    from .inference import infer
+
+    def fn(name):
+        def call(system, user, json_mode):
+            turn, role = user.split(" ")
+            if int(turn) % 3 < 2:
+                raise ValueError(["503 overloaded", "400 bad request"][int(turn) % 3])
+            return f"{name} {role.upper()}"
+
+        return call
+
+    rows = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("provider"), F.lit("s").alias("system"), F.concat_ws(" ", F.col("turn").cast("string"), "role").alias("prompt"), F.lit(False).alias("json_mode"))
+    out = infer(rows, {"a": fn("a"), "b": fn("b")}, retries=2, pause=lambda seconds: None)
+    return out.select("conv_id", "turn", "provider", "error", "retry_count", "reply")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN conv_id % 4 = 0 THEN '401 unauthorized' END AS error_message FROM conversations""")
+def i5_failed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches whose call fails for good fail as a whole; no single calls follow."""
+    from .inference import translate
+
+    def fn(system, user, json_mode):
+        if "CONV0 " in user:
+            raise ValueError("401 unauthorized")
+        return _answer(user, json_mode, "\u0915\u0916\u0917" if "Hindi" in system else "\u0a95\u0a96\u0a97")
+
+    out, _ = translate(_turns(spark, sf_dir, "concat('CONV', conv_id % 4, ' words')"), fn, patterns=[], tags="<never>", on_error="batch", parallel=8, max_context=20)
+    return out.select(F.col("doc_id").cast("long").alias("conv_id"), F.col("segment_id").cast("long").alias("turn"), "status", "error_message")
+
+
+@query("""SELECT provider, conv_id, turn, CASE WHEN provider = 'b' AND turn % 3 = 0 THEN 'failed' ELSE 'completed' END AS status FROM conversations, (VALUES ('a'), ('b')) p(provider)""")
+def i7_two_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments through two providers at once, one of which leaves every third turn out."""
+    from .inference import benchmark
+
+    word = lambda system: "\u0915\u0916\u0917" if "Hindi" in system else "\u0a95\u0a96\u0a97"
+
+    def b(system, user, json_mode):
+        import json
+
+        if json_mode:
+            return json.dumps([{"id": x["id"], "translation": word(system)} for x in json.loads(user) if not x["sourceText"].startswith("LEFT0")])
+        now = user.split("CURRENT SEGMENT (translate this):\n", 1)[1]
+        return "" if now.startswith("LEFT0") else word(system)
+
+    rows = _turns(spark, sf_dir, "concat('LEFT', turn % 3, ' out')")
+    out, _ = benchmark(rows, {"a": lambda s, u, j: _answer(u, j, word(s)), "b": b}, patterns=[], tags="<never>")
+    return out.select("provider", F.col("doc_id").cast("long").alias("conv_id"), F.col("segment_id").cast("long").alias("turn"), "status")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'rules terms profile model script' ELSE 'profile model script' END AS seen FROM conversations""")
+def f4_f5_f8_i8_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the prompts of two language pairs hold: rules of one target, terms of one pair, the domain's profile, the model."""
+    from ..sources.tables import DOMAIN, languages
+    from .inference import translate
+
+    def fn(system, user, json_mode, model=None):
+        hindi = "Hindi" in system
+        seen = {"rules": "Use the formal address." in system, "terms": '"word"' in system and "TERM" in system, "profile": DOMAIN[2] in system, "model": model == "big", "script": "not in Latin letters" in system}
+        return _answer(user, json_mode, "".join(chr((0x915 if hindi else 0xA95) + k) for k in range(25)) + " " + " ".join(k for k, v in seen.items() if v))
+
+    glossary = spark.createDataFrame([("word", "en", "hi", "TERM", "legal", None), ("word", "en", "gu", "TERM", "medical", None)], "source_term string, source_lang string, target_lang string, preferred_translation string, domain string, note string")
+    rules = languages(spark, {"hi": ["Use the formal address."]})
+    out, _ = translate(_turns(spark, sf_dir, "'number one'"), fn, patterns=[], tags="<never>", glossary=glossary, domain="legal", languages=rules, profile=DOMAIN[2], model="big", attempts=0)
+    return out.select(F.col("doc_id").cast("long").alias("conv_id"), F.col("segment_id").cast("long").alias("turn"), F.regexp_extract("translated_text", "^[^ ]* (.*)$", 1).alias("seen"))
+
+
+@query("SELECT doc_id, seg_index, source_text || ' __ENTITY_1__ x __ENTITY_2__' AS protected_text, '__ENTITY_1__=REF:' || seg_index || ';|__ENTITY_2__=REF:7;' AS tokens FROM (SELECT doc_id, seg_index, regexp_replace(source_text, 'REF:', '', 'g') AS source_text FROM seg_doc)", "seg_doc")
+def t3_custom_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own pattern alone: addresses and codes stay in the text."""
+    from ..functions.protect import custom_patterns, protect_entities
+
+    raw = F.concat(F.regexp_replace("source_text", "REF:", ""), F.lit(" REF:"), F.col("seg_index").cast("string"), F.lit("; x REF:7;"))
+    rows = V.seg_doc(spark, sf_dir).select("doc_id", *long("seg_index"), raw.alias("raw"))
+    out = protect_entities(rows, "raw", patterns=custom_patterns({"ref": "REF:[0-9]+;"}, urls=False, emails=False))
+    return out.select("doc_id", "seg_index", "protected_text", token_texts(F.col("entity_tokens")).alias("tokens"))
+
+
 @query("SELECT job_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM call_log GROUP BY job_id", "call_log")
 def r1_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs

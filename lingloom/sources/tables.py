@@ -51,8 +51,9 @@ def synthetic_segments(spark: SparkSession, n: int) -> DataFrame:
     return rows.withColumn("source_text", plain_text(F.col("source_raw")))
 
 
-def languages(spark: SparkSession) -> DataFrame:
-    rows = [(*r, []) for r in LANGUAGES]
+def languages(spark: SparkSession, rules: dict[str, list[str]] | None = None) -> DataFrame:
+    """The built-in languages; rules are a caller's own, by code: none are built in."""
+    rows = [(*r, (rules or {}).get(r[0], [])) for r in LANGUAGES]
     return spark.createDataFrame(rows, "code string, name string, native_name string, direction string, rules array<string>")
 
 

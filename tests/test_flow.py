@@ -79,6 +79,44 @@ def test_retries_wait_by_the_hint(spark):
     assert {k: r.retry_count for k, r in got.items()} == {"a": 0, "b": 2, "c": 2} and got["a"].error == "400 bad request"
 
 
+def test_no_task_waits_and_a_hint_holds_back_its_provider(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def hinting(system, user, json_mode, model=None):
+        made.add(1)
+        raise ValueError("429, try again in 9 s")
+
+    fine = lambda s, u, j, model=None: f"{u} {model}"
+    rows = spark.createDataFrame([(p, m, "s", f"{k}", False) for p in ("slow", "fine") for k, m in enumerate(["m", None] * 10)], "provider string, model string, system string, prompt string, json_mode boolean").coalesce(1)
+    waits = []
+    got = inference.infer(rows, {"slow": hinting, "fine": fine}, retries=1, pause=waits.append).collect()
+    assert len(got) == 40 and {r.reply for r in got if r.provider == "fine"} == {f"{k} {'m' if k % 2 == 0 else None}" for k in range(20)}
+    assert {r.error for r in got if r.provider == "slow"} == {"429, try again in 9 s"}
+    # each round calls the held provider until its first hint, and one task's rows wait for it together
+    assert made.value <= 40 and all(8 < w <= 11 for w in waits) and len(waits) >= 20
+
+
+def test_a_budget_of_calls_is_kept_in_each_round(spark):
+    waits = []
+    rows = spark.createDataFrame([(f"{k}", "s", f"{k}", False) for k in range(50)], "k string, system string, prompt string, json_mode boolean").coalesce(1)
+    got = inference.infer(rows, lambda s, u, j: u, parallel=2, calls_per_interval=20, interval=30.0, pause=waits.append).collect()
+    assert sorted(r.reply for r in got) == sorted(r.k for r in got) and len(got) == 50
+    assert 2 <= len(waits) <= 4 and all(25 < w <= 30 for w in waits)
+
+
+def test_prompts_hold_rules_profile_and_model(spark):
+    from lingloom.sources.tables import DOMAIN, languages
+
+    def fn(system, user, json_mode, model=None):
+        ok = model == "big" and DOMAIN[2] in system and ("Use the formal address." in system) == ("Hindi" in system)
+        letters = "".join(chr((0x915 if "Hindi" in system else 0xA95) + k) for k in range(9))
+        return json.dumps([{"id": x["id"], "translation": f"{letters} {ok}"} for x in json.loads(user)])
+
+    rows = [("d", f"s{k}", k, f"word{k} text", f"word{k} text", None, "en", "hi" if k % 2 else "gu") for k in range(4)]
+    results, _ = inference.translate(spark.createDataFrame(rows, SEG), fn, languages=languages(spark, {"hi": ["Use the formal address."]}), profile=DOMAIN[2], model="big", attempts=0)
+    assert [r.translated_text.split()[-1] for r in results.collect()] == ["True"] * 4
+
+
 def test_prompts_go_by_pair_with_its_terms(spark):
     rows = [("d", f"s{k}", k, f"word{k} text", f"word{k} text", None, "en", "hi" if k % 2 else "gu") for k in range(12)]
     glossary = spark.createDataFrame([("word", "en", "hi", "H-TERM", "legal", None), ("word", "en", "gu", "G-TERM", None, "n"), ("other", "en", "hi", "M-TERM", "medical", None)], "source_term string, source_lang string, target_lang string, preferred_translation string, domain string, note string")
@@ -106,7 +144,9 @@ def test_a_failed_batch_fails_as_a_whole(spark):
             raise ValueError("401 unauthorized")
         return json.dumps([{"id": x["id"], "translation": x["sourceText"].upper()} for x in json.loads(user)]) if json_mode else user
 
-    results, log = inference.translate(_segments(spark, 12), fn, on_error="batch")
+    seen = []
+    results, log = inference.translate(_segments(spark, 12), fn, on_error="batch", on_round=lambda *x: seen.append(x))
+    assert seen[0] == (0, 2, 10)
     rows = {r.segment_id: r for r in results.collect()}
     assert [rows[f"s{k}"].status for k in range(12)] == ["failed"] * 10 + ["completed"] * 2 and rows["s3"].error_message == "401 unauthorized"
     assert len(rows) == 13 and log.count() == 2 and calls.value == 2
