@@ -5,6 +5,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes after lower-casing A-Z; ha
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -43,6 +44,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are used again by later stages, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows that hold about limit bytes; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -57,6 +66,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
