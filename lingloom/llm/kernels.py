@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20  #: texts are worked on in chunks of this size; a longer text is a chunk of its own
+GIVE_BACK_BYTES = 32 << 20  #: bytes of text after which a worker hands freed memory back
+_handled = [0]
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -66,7 +68,10 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
-    give_back()
+    _handled[0] += len(raw)
+    if _handled[0] > GIVE_BACK_BYTES:
+        _handled[0] = 0
+        give_back()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
