@@ -1,4 +1,4 @@
-"""Order, context and batches of segments. A document's segments meet in one task: a document is one file."""
+"""Order, context and batches of segments. A document that is one file fits a task; `span` cuts longer ones into ranges."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, right_trimmed
+from .ranges import beside, running
 
 EMPTY_SOURCE = "Source text was empty"
 
@@ -14,9 +15,11 @@ def drop_locked(df: DataFrame, attributes: str = "attributes") -> DataFrame:
     return df.where(F.coalesce(F.col(attributes)["translate"], F.lit("")) != "no")
 
 
-def reindex(df: DataFrame, key: str = "doc_id", position: str = "pos", out: str = "seg_index") -> DataFrame:
-    """Dense index from 0 in document order; run it after locked rows are gone."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1)
+def reindex(df: DataFrame, key: str = "doc_id", position: str = "pos", out: str = "seg_index", span: int | None = None) -> DataFrame:
+    """Dense index from 0 in document order; run it after locked rows are gone. span: positions of a range."""
+    if span is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1)
+    return running(df, key, position, {"_rows": F.lit(1)}, span).withColumn(out, F.col("_rows") - 1).drop("_rows", "_rows_all")
 
 
 def with_segment_id(df: DataFrame, id_col: str = "segment_id", position: str = "pos") -> DataFrame:
@@ -27,15 +30,19 @@ def cut_context(c: Column, max_chars: int) -> Column:
     return F.when(F.length(c) > max_chars, F.concat(right_trimmed(F.substring(c, 1, max_chars)), F.lit("..."))).otherwise(c)
 
 
-def with_context(df: DataFrame, max_chars: int = 500, key: str = "doc_id", order: str = "seg_index", text: str = "source_text") -> DataFrame:
+def with_context(df: DataFrame, max_chars: int = 500, key: str = "doc_id", order: str = "seg_index", text: str = "source_text", span: int | None = None) -> DataFrame:
     """previous_text and next_text, '' at the ends, cut to max_chars; blank neighbours count, so run it before split_blank."""
-    w = Window.partitionBy(key).orderBy(order)
     near = lambda c: cut_context(F.coalesce(c, F.lit("")), max_chars)
-    return df.withColumns({"previous_text": near(F.lag(text).over(w)), "next_text": near(F.lead(text).over(w))})
+    rows = beside(df, key, order, {"previous_text": (text, -1), "next_text": (text, 1)}, span)
+    return rows.withColumns({c: near(F.col(c)) for c in ("previous_text", "next_text")})
 
 
-def with_batch_no(df: DataFrame, size: int = 10, key: str = "doc_id") -> DataFrame:
+def with_batch_no(df: DataFrame, size: int = 10, key: str = "doc_id", span: int | None = None) -> DataFrame:
+    """batch_no from 0 and total_batches; with span, the last batch comes from an aggregate in place of a window."""
     batch = F.floor(F.col("seg_index") / size).cast("int")
+    if span is not None:
+        last = df.groupBy(F.col(key).alias("_key")).agg((F.max(batch) + 1).alias("total_batches"))
+        return df.withColumn("batch_no", batch).join(last, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     return df.withColumn("batch_no", batch).withColumn("total_batches", F.max(batch).over(Window.partitionBy(key)) + 1)
 
 
@@ -61,12 +68,11 @@ def pack_batches(df: DataFrame, size: int = 10, key: str = "doc_id") -> DataFram
     return packed.withColumn("items_json", F.to_json(slim))
 
 
-def progress(results: DataFrame, size: int = 10, key: str = "doc_id") -> DataFrame:
-    """(key, batch_no, completed, failed, current_index): running counts after each batch."""
+def progress(results: DataFrame, size: int = 10, key: str = "doc_id", span: int | None = None) -> DataFrame:
+    """(key, batch_no, completed, failed, current_index): running counts after each batch. span: batches of a range."""
     batch = results.groupBy(key, F.floor(F.col("seg_index") / size).cast("int").alias("batch_no")).agg(F.count_if(F.col("status") == "completed").alias("c"), F.count_if(F.col("status") == "failed").alias("f"), F.count("*").alias("n"))
-    run = Window.partitionBy(key).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(Window.partitionBy(key))
-    return batch.select(key, "batch_no", F.sum("c").over(run).alias("completed"), F.sum("f").over(run).alias("failed"), F.least((F.col("batch_no") + 1) * size - 1, total - 1).cast("long").alias("current_index"))
+    run = running(batch, key, "batch_no", {"completed": F.col("c"), "failed": F.col("f"), "rows": F.col("n")}, span)
+    return run.select(key, "batch_no", "completed", "failed", F.least((F.col("batch_no") + 1) * size - 1, F.col("rows_all") - 1).cast("long").alias("current_index"))
 
 
 def propagate_repetitions(segments: DataFrame, results: DataFrame, text: str = "source_text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.completeness import held, with_completeness
 from ..functions.protect import find_tokens
 from ..functions.text import failure_hint, is_blank, numbers
+from .ranges import beside
 
 KEYS = ["doc_id", "segment_id"]
 #: Fixed value: what is said of a segment without a result.
@@ -78,10 +79,9 @@ def issue_histogram(issues: DataFrame) -> DataFrame:
     return issues.groupBy("doc_id", "error_type").agg(F.count("*").alias("n"))
 
 
-def out_of_order(results: DataFrame, position: str = "pos") -> DataFrame:
-    """Results that come after one of a later segment."""
-    w = Window.partitionBy("doc_id").orderBy(position)
-    return results.withColumn("_before", F.lag("seg_index").over(w)).where("seg_index < _before").drop("_before")
+def out_of_order(results: DataFrame, position: str = "pos", span: int | None = None) -> DataFrame:
+    """Results that come after one of a later segment. span: positions of a range of a long document."""
+    return beside(results, "doc_id", position, {"_before": ("seg_index", -1)}, span).where("seg_index < _before").drop("_before")
 
 
 def job_counts(results: DataFrame, key: str = "doc_id") -> DataFrame:

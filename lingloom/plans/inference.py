@@ -145,7 +145,7 @@ def _settled(rows: DataFrame) -> DataFrame:
 RESULT = ["doc_id", "segment_id", "seg_index", "translated_text", "translated_raw", "status", "error_message", "validation_warnings"]
 
 
-def translate(segments: DataFrame, fn: Infer | dict[str, Infer], batch_size: int = 10, max_context: int = 500, attempts: int = 2, patterns: list = ENTITY_PATTERNS, tags: str | None = None, terms: tuple = (), parallel: int | None = None, glossary: DataFrame | None = None, domain: str = "", on_error: str = "segment", on_round: Callable[[int, int, int], None] | None = None, languages: DataFrame | None = None, profile: str = "", model: str | None = None, **calls) -> tuple[DataFrame, DataFrame]:
+def translate(segments: DataFrame, fn: Infer | dict[str, Infer], batch_size: int = 10, max_context: int = 500, attempts: int = 2, patterns: list = ENTITY_PATTERNS, tags: str | None = None, terms: tuple = (), parallel: int | None = None, glossary: DataFrame | None = None, domain: str = "", on_error: str = "segment", on_round: Callable[[int, int, int], None] | None = None, languages: DataFrame | None = None, profile: str = "", model: str | None = None, span: int | None = None, **calls) -> tuple[DataFrame, DataFrame]:
     """(results, call_log) of segments(doc_id, segment_id, seg_index, source_raw, source_text, target_text, source_lang, target_lang).
 
     Round 0 sends batches. A reply that is no list leaves its whole batch open, one that is leaves what is missing,
@@ -155,8 +155,8 @@ def translate(segments: DataFrame, fn: Infer | dict[str, Infer], batch_size: int
     Prompts are made for each language pair: with its terms of `glossary` that fit `domain`, and `terms` for all. A
     batch holds segments of one document and pair. With on_error='batch' a batch whose call failed has failed as a whole.
     on_round(round, completed, failed) is told of each round's end. The rules of a pair's target in languages(code, rules) and
-    `profile`, what to know of the domain, are parts of its prompts. `model` goes to fn with every call. Other options
-    are those of infer.
+    `profile`, what to know of the domain, are parts of its prompts. `model` goes to fn with every call. span cuts
+    documents that are too long for a task into ranges of as many segments. Other options are those of infer.
 
     With functions by provider all of them get the same protected segments in the same rounds, and results and calls have a
     provider column.
@@ -167,7 +167,7 @@ def translate(segments: DataFrame, fn: Infer | dict[str, Infer], batch_size: int
             n = {r["status"]: r["n"] for r in state.groupBy("status").agg(F.count("*").alias("n")).collect()}
             on_round(attempt, n.get("completed", 0), n.get("failed", 0))
 
-    rows = protect(with_batch_no(with_context(segments, max_context), batch_size), "source_raw", patterns, tags)
+    rows = protect(with_batch_no(with_context(segments, max_context, span=span), batch_size, span=span), "source_raw", patterns, tags)
     todo, blank = split_blank(rows)
     prompt = F.udf(lambda s, t, mode, retry, own, rules: system_prompt(s or "", t or "", mode, rules=tuple(rules or ()), terms=(*terms, *map(tuple, own or ())), retry=retry, profile=profile), "string")
     keys = [F.col("doc_id")]

@@ -53,6 +53,25 @@ def w4_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.progress(V.results(spark, sf_dir), 10).select("doc_id", *long("batch_no", "completed", "failed", "current_index"))
 
 
+@query(f"""SELECT lang, pos, {_cut('p')} AS previous_text, {_cut('n')} AS next_text
+FROM (SELECT *, coalesce(lag(source_text) OVER w, '') AS p, coalesce(lead(source_text) OVER w, '') AS n FROM (SELECT *, CAST(doc_id AS BIGINT) * 100000 + seg_index AS pos FROM seg_doc) WINDOW w AS (PARTITION BY lang ORDER BY pos))""", "seg_doc")
+def w1_w2_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of a language as one document, in ranges of fifty texts: positions have gaps."""
+    rows = V.seg_doc(spark, sf_dir).withColumn("pos", F.col("doc_id").cast("long") * 100_000 + F.col("seg_index"))
+    return segments.with_context(rows, 60, "lang", "pos", span=5_000_000).select("lang", "pos", "previous_text", "next_text")
+
+
+@query("""WITH r AS (SELECT source_lang AS doc_id, status, row_number() OVER (PARTITION BY source_lang ORDER BY CAST(doc_id AS BIGINT) * 100000 + seg_index) - 1 AS seg_index FROM results)
+SELECT doc_id AS lang, batch_no, max(batch_no) OVER (PARTITION BY doc_id) + 1 AS total_batches, CAST(sum(c) OVER w AS BIGINT) AS completed, CAST(sum(f) OVER w AS BIGINT) AS failed, CAST(least((batch_no + 1) * 10 - 1, sum(n) OVER (PARTITION BY doc_id) - 1) AS BIGINT) AS current_index
+FROM (SELECT doc_id, seg_index // 10 AS batch_no, count(*) FILTER (status = 'completed') AS c, count(*) FILTER (status = 'failed') AS f, count(*) AS n FROM r GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id ORDER BY batch_no ROWS UNBOUNDED PRECEDING)""", "results")
+def p4_w3_w4_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes, batches and progress of all results of a language as one document, by ranges."""
+    r = V.results(spark, sf_dir).select(F.col("source_lang").alias("lang"), "status", (F.col("doc_id").cast("long") * 100_000 + F.col("seg_index")).alias("pos"))
+    rows = segments.with_batch_no(segments.reindex(r, "lang", "pos", span=5_000_000), 10, "lang", span=5_000_000)
+    totals = rows.groupBy("lang").agg(F.max("total_batches").alias("total_batches"))
+    return segments.progress(rows, 10, "lang", span=50).join(totals, "lang").select("lang", *long("batch_no", "total_batches", "completed", "failed", "current_index"))
+
+
 @query("""SELECT doc_id, seg_index // 10 AS batch_no, count(*) AS n_items, string_agg(segment_id, ',' ORDER BY seg_index) AS ids, sha256(string_agg(source_text, chr(10) ORDER BY seg_index)) AS texts_sha256, count(*) FILTER (seg_index > 0) AS with_previous FROM seg_doc GROUP BY ALL""", "seg_doc")
 def m11_f3_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments.with_context(V.seg_doc(spark, sf_dir)).withColumn("protected_text", F.col("source_text"))
