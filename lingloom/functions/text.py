@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: White space that trimming takes off, as members of a character class.
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-#: A number that no letter, digit or underscore of ASCII touches.
-NUMBER = r"(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])"
+#: The same characters, one by one.
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: A number that no letter, digit or underscore of ASCII touches; the digit is looked for before what stands around it.
+NUMBER = r"(?=[0-9])(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])"
 
 #: Languages (code, name, native name, direction) and the script range of those that have one.
 LANGUAGES = [
@@ -48,11 +50,11 @@ def let(value: Column, body) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def right_trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+$", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

@@ -11,8 +11,13 @@ from ..functions.text import failure_hint, is_blank, numbers
 from .ranges import beside
 
 KEYS = ["doc_id", "segment_id"]
-#: Fixed value: what is said of a segment without a result.
+#: What is said of a segment without a result, of a failed check, and of a number that was lost.
 NO_RESULT = "Segment missing from translation results"
+NO_MESSAGE = "Translation failed"
+EMPTY_RESULT = "Empty translation output for non-empty source segment"
+TAGS_LEFT = "Unrestored tag tokens: "
+ENTITIES_LEFT = "Unrestored entity tokens: "
+NUMBER_LOST = ('number "', '" from source not found in translation')
 
 
 def missing_segments(segments: DataFrame, results: DataFrame) -> DataFrame:
@@ -49,17 +54,17 @@ def checked(segments: DataFrame, results: DataFrame) -> DataFrame:
     issues = F.filter(
         F.array(
             F.when(F.col("missing"), _issue(-1, "validation_error", F.lit(NO_RESULT))),
-            F.when(F.col("status") == "failed", _issue(0, "api_error", F.coalesce("error_message", F.lit("Translation failed")))),
-            F.when(done & worded & is_blank(F.col("translated_text")), _issue(4, "validation_error", F.lit("Empty translation output for non-empty source segment"))),
-            F.when(done & (F.size(tags) > 0), _issue(5, "tag_error", F.concat(F.lit("Unrestored tag tokens: "), F.array_join(tags, ", ")))),
-            F.when(done & (F.size(entities) > 0), _issue(6, "entity_error", F.concat(F.lit("Unrestored entity tokens: "), F.array_join(entities, ", ")))),
+            F.when(F.col("status") == "failed", _issue(0, "api_error", F.coalesce("error_message", F.lit(NO_MESSAGE)))),
+            F.when(done & worded & is_blank(F.col("translated_text")), _issue(4, "validation_error", F.lit(EMPTY_RESULT))),
+            F.when(done & (F.size(tags) > 0), _issue(5, "tag_error", F.concat(F.lit(TAGS_LEFT), F.array_join(tags, ", ")))),
+            F.when(done & (F.size(entities) > 0), _issue(6, "entity_error", F.concat(F.lit(ENTITIES_LEFT), F.array_join(entities, ", ")))),
             F.when(done & worded & (verdict == "failed"), _issue(8, "validation_error", F.col("completeness.reason"))),
         ),
         lambda x: x.isNotNull(),
     )
     lost = F.when(done & has, missing_numbers(F.col("source_text"), F.col("translated_text")))
     own = F.coalesce("validation_warnings", F.array().cast("array<string>"))
-    texts = F.array_distinct(F.concat(F.coalesce(F.transform(lost, lambda n: F.concat(F.lit('number "'), n, F.lit('" from source not found in translation'))), F.array().cast("array<string>")), F.when(done & worded & (verdict == "warning"), F.array("completeness.reason")).otherwise(F.array().cast("array<string>")), own))
+    texts = F.array_distinct(F.concat(F.coalesce(F.transform(lost, lambda n: F.concat(F.lit(NUMBER_LOST[0]), n, F.lit(NUMBER_LOST[1]))), F.array().cast("array<string>")), F.when(done & worded & (verdict == "warning"), F.array("completeness.reason")).otherwise(F.array().cast("array<string>")), own))
     warnings = F.transform(texts, lambda w: F.concat(F.lit("Segment "), F.col("segment_id"), F.lit(": "), w))
     return held(df, issues=issues, warnings=F.when(F.col("missing"), F.array().cast("array<string>")).otherwise(warnings), missing_numbers=F.coalesce(lost, F.array().cast("array<string>")))
 
@@ -113,7 +118,7 @@ def gate_outputs(results: DataFrame, issues: DataFrame) -> DataFrame:
     state = results.groupBy("doc_id").agg(F.count_if(F.col("status") == "completed").alias("c"), F.min_by("error_message", F.when(F.col("status") == "failed", F.col("seg_index"))).alias("cause"))
     out = state.join(hurt, "doc_id", "left").withColumn("protected_issues", F.coalesce("protected_issues", F.lit(0)))
     gate = F.when(F.col("protected_issues") > 0, "placeholders").when(F.col("c") == 0, "nothing_completed").otherwise("open")
-    cause = F.when(gate == "nothing_completed", F.coalesce("cause", F.lit("Translation failed")))
+    cause = F.when(gate == "nothing_completed", F.coalesce("cause", F.lit(NO_MESSAGE)))
     return out.select("doc_id", (gate != "open").alias("blocked"), gate.alias("gate"), cause.alias("root_cause"), F.when(cause.isNotNull(), failure_hint(cause)).alias("hint"), "protected_issues")
 
 

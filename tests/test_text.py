@@ -105,3 +105,26 @@ def test_replies_in_every_wrapping(spark):
     assert one(spark, batch_items(F.col("t")), t='{"translations": "no", "data": %s}' % item)[0]["id"] == "1"
     for broken in ("", "sorry", '{"other": []}', '{"translations": ['):
         assert not one(spark, batch_items(F.col("t")), t=broken)
+
+
+def test_shared_words_and_trims_against_plain_python(spark):
+    from lingloom.functions.completeness import script_count, with_completeness
+    from lingloom.functions.text import WS_CHARS, right_trimmed, trimmed
+
+    texts = ["alpha beta gamma alpha", "alpha alpha alpha", "one", "", "delta 　 gamma\tbeta  beta", "words words other thing again again", "\xa0  mixed हिन्दी text﻿"]
+    pairs = [(s, t) for s in texts for t in texts]
+    df = with_completeness(spark.createDataFrame([(*p, "fr", "en") for p in pairs], "s string, t string, sl string, tl string"), "s", "t", "sl", "tl")
+    for r in df.collect():
+        s, t = ("".join(c if c.isalpha() else " " for c in x) for x in (r.s, r.t))
+        sw = [w for w in s.split() if len(w) >= 4]
+        hit = sum(w in t.split() for w in sw) / max(len(sw), 1)
+        if not t.strip() or len(sw) < 3:
+            continue
+        assert (r.completeness.status == "failed") == (hit >= 0.70) and (r.completeness.status == "warning") == (0.45 <= hit < 0.70), (r, hit)
+    rows = spark.createDataFrame([(t, "hi") for t in [*texts, None]], "t string, l string")
+    got = rows.select("t", trimmed(F.col("t")).alias("a"), right_trimmed(F.col("t")).alias("b"), script_count(F.col("t"), F.col("l")).alias("n")).collect()
+    for r in got:
+        if r.t is None:
+            assert (r.a, r.b, r.n) == (None, None, None)
+        else:
+            assert (r.a, r.b, r.n) == (r.t.strip(WS_CHARS), r.t.rstrip(WS_CHARS), sum("ऀ" <= c <= "ॿ" for c in r.t))
