@@ -1,7 +1,7 @@
 """Operator 1: secret scans with a random forest that removes false positives, in DataFrame functions only.
 
 A scan finds candidates: long runs of key characters that hold a digit, and whatever follows a secret's name and an
-assignment, short, wordy or with other characters as it may be. Each gets features of its length, its character
+assignment, short, wordy or with other characters as it may be, and the password of a URL. Each gets features of its length, its character
 transitions, how much of it is words of the corpus, its file's path and the words next to it. A random forest trained
 on labelled findings gives the probability that a candidate is a secret.
 
@@ -41,19 +41,22 @@ CONFIG_PATH = r"(?i)\.(env|ya?ml|json|toml|ini|cfg|conf|properties|tf)$"
 #: A secret's name and what assigns a value to it, right before the value.
 NAMED = SECRET_WORDS + r"[A-Za-z0-9_.-]{0,16}[\"']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}(?:(?:bearer|basic)\s)?[\"']?"
 NAMED_VALUE = r"(?!(?i:bearer|basic)\b)[^\s\"'<>,;]{6,}"
+#: The password of a URL with a user, and a URL that has one.
+URL_PASSWORD = r"(?<=://[^\s:/@]{0,64}:)[^\s@/:]{6,128}(?=@)"
+URL_WITH_PASSWORD = r"://[^\s:/@]{0,64}:[^\s@/:]{6,128}@"
 #: Features of the value, of its path, and of its neighbours; DEFINING are those that a label by neighbours repeats.
 DEFINING = ["f_secret_word", "f_other_word", "f_assigned", "f_quoted"]
-FEATURES = ["f_length", "f_digits", "f_uppers", "f_symbols", "f_turns", "f_case_turns", "f_pairs", "f_vowels", "f_distinct", "f_hex", "f_covered", "f_test_path", "f_config_path", "f_depth", "f_near_letters", "f_near_symbols", *DEFINING]
+FEATURES = ["f_length", "f_digits", "f_uppers", "f_symbols", "f_turns", "f_case_turns", "f_pairs", "f_vowels", "f_distinct", "f_hex", "f_covered", "f_test_path", "f_config_path", "f_depth", "f_near_letters", "f_near_symbols", "f_in_url", *DEFINING]
 MASKED = 0.5
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None) -> DataFrame:
     """(id, finding, secret, before, after, path): the candidates of each text in order, with what stands around them."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = F.col("t").rlike(NAMED + NAMED_VALUE)
+    named = F.col("t").rlike(NAMED + NAMED_VALUE) | F.col("t").rlike(URL_WITH_PASSWORD)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce((path if path is not None else F.lit("")).cast("string"), F.lit("")).alias("path"), t.alias("t"))
     rows = rows.where(F.col("t").rlike(CANDIDATE) | named)
-    both = f"(?<={NAMED}){NAMED_VALUE}|{CANDIDATE}"
+    both = f"(?<={NAMED}){NAMED_VALUE}|{URL_PASSWORD}|{CANDIDATE}"
     # looking back at every character is dear, so only texts with a named value are cut that way
     rows = rows.withColumn("named", named)
     found = F.when(F.col("named"), F.regexp_extract_all("t", F.lit(both), F.lit(0))).otherwise(F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)))
@@ -62,7 +65,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = F.transform("gaps", lambda g: F.struct(F.right(g, F.lit(NEAR)).alias("last"), F.left(g, F.lit(NEAR)).alias("first")))
     rows = rows.select("id", "path", "found", near.alias("gaps"))
     every = F.transform("found", lambda s, k: F.struct(k.alias("k"), s.alias("secret"), F.get("gaps", k)["last"].alias("before"), F.get("gaps", k + 1)["first"].alias("after")))
-    kept = F.filter(every, lambda s: s["secret"].rlike(f"^{CANDIDATE}$") & s["secret"].rlike("[0-9]") | s["before"].rlike(NAMED + "$"))
+    kept = F.filter(every, lambda s: s["secret"].rlike(f"^{CANDIDATE}$") & s["secret"].rlike("[0-9]") | s["before"].rlike(NAMED + "$") | s["before"].rlike(":$") & s["after"].rlike("^@"))
     return rows.select("id", "path", F.posexplode(kept).alias("finding", "s")).select("id", "finding", "s.secret", "s.before", "s.after", "path")
 
 
@@ -113,6 +116,7 @@ def featured(found: DataFrame, words: DataFrame, *keep: str) -> DataFrame:
         F.size(F.split("path", "/")).cast("double").alias("f_depth"),
         near("[A-Za-z]").alias("f_near_letters"),
         near("[^A-Za-z0-9 ]").alias("f_near_symbols"),
+        flag(F.col("before").rlike(":/{0,2}$") & F.col("after").rlike("^@")).alias("f_in_url"),
         flag(F.col("before").rlike(SECRET_WORDS)).alias("f_secret_word"),
         flag(F.col("before").rlike(OTHER_WORDS)).alias("f_other_word"),
         flag(F.col("before").rlike("[:=]\\s*[\"']?$")).alias("f_assigned"),
@@ -168,21 +172,41 @@ def confirmed_by_assignment() -> Column:
 
 
 #: Surroundings of secrets and of what looks like them.
-AROUND_SECRETS = [('token = "', '"'), ("api_key: ", "\n"), ("export SECRET_KEY=", "\n"), ("Authorization: Bearer ", "\n"), ("the password is ", " and"), ('"access_token": "', '",'), ("secret='", "'"), ("use the credential ", " for")]
-AROUND_OTHERS = [("commit ", " of"), ("md5: ", "\n"), ("id = ", ";"), ("paid by card ", " on"), ("see ", " for"), ('checksum = "', '"'), ("", "\n"), ("file ", ",")]
+AROUND_SECRETS = [
+    ('token = "', '"'), ("api_key: ", "\n"), ("export SECRET_KEY=", "\n"), ("Authorization: Bearer ", "\n"), ("the password is ", " and"), ('"access_token": "', '",'),
+    ("secret='", "'"), ("use the credential ", " for"), ("https://", "@github.com/"), ("postgres://app:", "@db.internal/"), ("aws_access_key_id = ", "\n"), ("Cookie: auth=", "; path"),
+]
+AROUND_OTHERS = [
+    ("commit ", " of"), ("md5: ", "\n"), ("id = ", ";"), ("paid by card ", " on"), ("see ", " for"), ('checksum = "', '"'), ("", "\n"), ("file ", ","), ("auth commit = ", "\n"),
+    ("https://", "/index.html"), ("password uuid: ", "\n"),
+]
 
 
-def example_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
+def example_findings(spark: SparkSession, n: int = 4000, without: tuple[str, ...] = ()) -> DataFrame:
     """(secret, before, after, path, label): findings made by rules, half of each label; every shape of a kind stands in
     every surrounding of that kind. Shapes of hashes are in both kinds, where the neighbours decide, and stand-ins
-    stand in the surroundings of secrets."""
+    stand in the surroundings of secrets. without: families of keys to leave out, such as those of a test."""
     k = F.col("id")
     text = k.cast("string")
     sha, md5, mixed = F.sha1(text), F.md5(text), F.translate(F.base64(F.unhex(F.sha2(text, 256))), "+/=", "xYz")
     digits = F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**16)).cast("string"), 16, "4")
     words = F.array(*map(F.lit, ["user", "order", "value", "index", "total", "result", "search", "account", "window", "number"]))
     word = lambda j: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(j)), F.lit(10)) + 1).cast("int"))
-    keys = [sha, md5, F.left(mixed, F.lit(40)), F.concat(F.lit("sk_live_"), F.left(mixed, F.lit(24))), F.concat(F.left(mixed, F.lit(9)), F.lit("!7.")), F.upper(F.concat(F.lit("AK"), F.left(sha, F.lit(18)))), F.concat_ws(".", F.left(mixed, F.lit(20)), F.substring(mixed, 21, 20))]
+    part = lambda a, b: F.substring(mixed, a, b)
+    families = {
+        "sha1": sha,
+        "md5": md5,
+        "plain": part(1, 40),
+        "stripe": F.concat(F.lit("sk_live_"), part(1, 24)),
+        "password": F.concat(part(1, 9), F.lit("!7.")),
+        "aws": F.concat(F.lit("AKIA"), F.left(F.translate(F.upper(mixed), "0189", "QXYZ"), F.lit(16))),
+        "dotted": F.concat_ws(".", part(1, 20), part(21, 20)),
+        "github": F.concat(F.lit("ghp_"), part(1, 36)),
+        "slack": F.concat_ws("-", F.lit("xoxb"), F.left(digits, F.lit(11)), F.right(digits, F.lit(12)), part(1, 24)),
+        "jwt": F.concat(F.lit("eyJ"), part(1, 33)),
+        "short": part(5, 12),
+    }
+    keys = [c for name, c in families.items() if name not in without]
     others = [sha, md5, F.concat_ws("-", F.left(md5, F.lit(8)), F.substring(md5, 9, 4), F.substring(md5, 13, 4), F.right(md5, F.lit(12))), digits, F.concat(F.lit("20"), F.left(digits, F.lit(15))), F.concat_ws("_", word(1), word(2), word(3), F.lit("2")), F.concat_ws("/", word(1), word(2), word(3), word(4)), F.concat(F.repeat(F.lit("A"), 20), F.lit("1"))]
     stand_ins = [F.lit("changeme1"), F.lit("your_token_goes_here_1"), F.lit("xxxxxxxxxxxxxxxxxxxx"), F.concat_ws("_", F.lit("example"), word(1), F.lit("1")), word(2)]
     paths = [F.lit(x) for x in ("src/app.py", "config/prod.env", "README", "tests/test_app.py", "deploy/values.yaml")]
@@ -191,6 +215,6 @@ def example_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     rows = spark.range(n).select("id", (k % 2).alias("label"), F.floor(k / 2).alias("j"))
     j = F.col("j")
     stand_in = (F.col("label") == 0) & (j % 4 == 3)
-    near = lambda c: F.when((F.col("label") == 1) | stand_in, pick(side(AROUND_SECRETS, c), j / 7)).otherwise(pick(side(AROUND_OTHERS, c), j / 8))
+    near = lambda c: F.when((F.col("label") == 1) | stand_in, pick(side(AROUND_SECRETS, c), j / len(keys))).otherwise(pick(side(AROUND_OTHERS, c), j / len(others)))
     secret = F.when(F.col("label") == 1, pick(keys, j)).when(stand_in, pick(stand_ins, j / 4)).otherwise(pick(others, j))
     return rows.select(secret.alias("secret"), near(0).alias("before"), near(1).alias("after"), pick(paths, j / 3).alias("path"), "label")

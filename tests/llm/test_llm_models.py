@@ -192,6 +192,28 @@ def test_planted_secrets_are_found_and_the_rest_left(spark):
     assert len(false) <= 0.1 * 104, false
 
 
+def test_families_of_keys_that_were_not_trained_on(spark):
+    """GitHub, AWS and Slack keys by a forest that saw none, URL passwords, JWTs; hashes, links and names beside them."""
+    rng = np.random.default_rng(5)
+    pick = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(list(chars), n))
+    upper, hexes, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "0123456789"
+    secret = [
+        lambda: f"git clone https://ghp_{pick(36)}@github.com/team/app.git",
+        lambda: f"aws_access_key_id = AKIA{pick(16, upper)}",
+        lambda: f"SLACK_TOKEN=xoxb-{pick(11, digits)}-{pick(12, digits)}-{pick(24)}",
+        lambda: f"Cookie: auth=eyJ{pick(33)}.eyJ{pick(60)}.{pick(43)}; path=/",
+        lambda: f"url: postgres://app:{pick(12)}@db.internal/main",
+    ]
+    other = [lambda: f"auth commit = {pick(40, hexes)}", lambda: f"see commit {pick(40, hexes)} of the branch", lambda: f"checksum = {pick(32, hexes)}", lambda: "https://user.example.com/total_result_index_2/page", lambda: "mail me at http://a.b:8080/x@y"]
+    rows = [(k, secret[k % 5]()) for k in range(100)] + [(1000 + k, other[k % 5]()) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = secrets.scan_secrets(docs, secrets.example_findings(spark, without=("github", "aws", "slack"))).collect()
+    found = {r.doc_id for r in out if r.is_secret}
+    recall = [sum(k in found for k in range(s, 100, 5)) / 20 for s in range(5)]
+    wrong = [sum(1000 + k in found for k in range(s, 100, 5)) / 20 for s in range(5)]
+    assert sum(recall) / 5 >= 0.8 and sum(wrong) / 5 <= 0.1, (recall, wrong)
+
+
 def test_findings_of_odd_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, 'token = "0123456789abcdef0123"', 1)], "doc_id long, text string, f_length int")
     findings = secrets.example_findings(spark, 400).withColumn("length", F.lit(1)).withColumn("f_length", F.lit("x")).withColumn("id", F.lit(3)).withColumn("letters", F.lit(0))
@@ -219,6 +241,7 @@ def test_features_equal_brute_force(spark):
             "f_hex": float(all(c in "0123456789abcdefABCDEF" for c in s)), "f_covered": sum(len(w) for w in re.findall("[a-z]{3,}", s.lower()) if w in ("some", "words", "token")) / n,
             "f_test_path": float(re.search(strip(secrets.TEST_PATH), r.path, re.I) is not None), "f_config_path": float(re.search(strip(secrets.CONFIG_PATH), r.path, re.I) is not None), "f_depth": r.path.count("/") + 1,
             "f_near_letters": sum(c.isalpha() for c in near) / max(1, len(near)), "f_near_symbols": sum(not c.isalnum() and c != " " for c in near) / max(1, len(near)),
+            "f_in_url": float(re.search(":/{0,2}$", r.before) is not None and r.after.startswith("@")),
             "f_secret_word": float(re.search(strip(secrets.SECRET_WORDS), r.before, re.I) is not None), "f_other_word": float(re.search(strip(secrets.OTHER_WORDS), r.before, re.I) is not None),
             "f_assigned": float(re.search("[:=]\\s*[\"']?$", r.before) is not None), "f_quoted": float(r.before[-1:] in ("'", '"') and r.before != "" and r.after[:1] in ("'", '"') and r.after != ""),
         }
