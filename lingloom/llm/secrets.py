@@ -42,7 +42,7 @@ CONFIG_PATH = r"(?i)\.(env|ya?ml|json|toml|ini|cfg|conf|properties|tf)$"
 NAMED = SECRET_WORDS + r"[A-Za-z0-9_.-]{0,16}[\"']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}(?:(?:bearer|basic)\s)?[\"']?"
 NAMED_VALUE = r"(?!(?i:bearer|basic)\b)[^\s\"'<>,;]{6,}"
 #: The password of a URL with a user, and a URL that has one.
-URL_PASSWORD = r"(?<=://[^\s:/@]{0,64}:)[^\s@/:]{6,128}(?=@)"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s@/:]{6,128}(?=@)"
 URL_WITH_PASSWORD = r"://[^\s:/@]{0,64}:[^\s@/:]{6,128}@"
 #: Features of the value, of its path, and of its neighbours; DEFINING are those that a label by neighbours repeats.
 DEFINING = ["f_secret_word", "f_other_word", "f_assigned", "f_quoted"]
