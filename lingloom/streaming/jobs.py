@@ -61,14 +61,26 @@ def ingest(arriving: DataFrame, home: str, checkpoint: str, max_bytes: int = fil
     (home/quarantine); a micro-batch that is run again overwrites its own rows."""
 
     def keep(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # four readers follow; each would open every file again
         accepted, rejected = files.split_acceptable(batch, max_bytes)
         text = files.xliff_segments(files.xml_documents(accepted.where("source_format in ('xliff', 'mqxliff')")))
         packages = files.docx_segments(files.unpacked(accepted.where("source_format = 'docx'")).where("xml is not null"))
         bad = rejected.select("doc_id", "error_message").unionByName(files.scan_errors(accepted))
         text.unionByName(packages).write.mode("overwrite").parquet(f"{home}/segments/micro_batch={number}")
         bad.write.mode("overwrite").parquet(f"{home}/quarantine/micro_batch={number}")
-
-    return arriving.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.unpersist()
+
+    conf = arriving.sparkSession.conf
+    tasks = str(4 * arriving.sparkSession.sparkContext.defaultParallelism)
+    small = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks, "spark.sql.files.openCostInBytes": "256k"}
+    before = {k: conf.get(k) for k in small}
+    for k, v in small.items():  # a stream keeps what the session has when it starts; else a task would list one file and read 32
+        conf.set(k, v)
+    try:
+        return arriving.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def stream_validate(segments: DataFrame, source: str = "source_text", target: str = "target_text") -> DataFrame:
