@@ -47,7 +47,7 @@ def cleaned(c: Column) -> Column:
     for pattern, may in _STRIPPED:
         stepwise = once(stepwise, partial(_without, pattern, may))
     rest = F.when(special, stepwise).otherwise(c)
-    return trimmed(F.regexp_replace(F.regexp_replace(rest, NUMBER, ""), rf"[^A-Za-z \p{{L}}{WS}]", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(rest, NUMBER, ""), rf"[[^A-Za-z ]&&[^\p{{L}}{WS}]]", " "))
 
 
 def script_count(text: Column, lang: Column) -> Column:
@@ -90,7 +90,7 @@ def with_completeness(df: DataFrame, source: str, target: str, source_lang: str,
     apart where both languages have the same one.
     """
     df = held(df, _cs=cleaned(F.coalesce(source, F.lit(""))), _ct=cleaned(F.coalesce(target, F.lit(""))))
-    words = lambda c: F.split(F.regexp_replace(c, f"[{WS}&&[^ ]]", " "), " ", -1)
+    words = lambda c: F.split(F.regexp_replace(c, f"[[^ !-~]&&[{WS}]]", " "), " ", -1)
     df = held(df, _sw=F.filter(words(F.col("_cs")), lambda w: F.length(w) >= 4), _tw=words(F.col("_ct")))
     df = held(df, _common=F.array_intersect("_sw", "_tw"), _lost=F.array_except("_sw", "_tw"))
     df = held(df, _hit=_hits(F.col("_common"), F.col("_lost"), F.col("_sw")) / F.greatest(F.size("_sw"), F.lit(1)))
