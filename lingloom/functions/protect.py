@@ -7,47 +7,62 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import occurrences
+from .text import let, occurrences
 
 #: The inline tags of translation files, and the entity patterns in the order they are applied. A tag's
 #: match is an opening tag; with it, up to the last inline closing tag before another inline tag opens, if there is one.
 INLINE_TAG = r"<(?:bpt|ept|ph|g|mrk|x|bx|ex|it|mq:[a-zA-Z]+)[^>]*(?:/>|>(?:[^<]*(?:<(?!(?:bpt|ept|ph|g|mrk|x|bx|ex|it|mq:[a-zA-Z]+)[^>]*>)[^<]*)*</(?:bpt|ept|ph|g|mrk|x|bx|ex|it|mq:[a-zA-Z]+)>)?)"
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_E = r"(?![A-Za-z0-9_])"
 URL = r"https?://[^ \t\n\x0B\f\r\x{A0}\x{FEFF}<>\"'()\[\]{}]+"
 FTP = r"ftp://[^ \t\n\x0B\f\r\x{A0}\x{FEFF}<>\"'()\[\]{}]+"
+_W = "[A-Za-z0-9_]"
 #: A boundary between a word character of ASCII and anything else.
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-EMAIL = _EDGE + r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}" + _E
-TRIAL_ID = _B + "NCT[0-9]{8}" + _E
-CODE = _B + r"[A-Z]{2,}-[A-Z0-9-]{2,}" + _EDGE
+_EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+#: What can open a match is asked for before what stands around it, so most characters fail at the first step.
+EMAIL = rf"(?:(?=[.%+\-])(?<={_W})|(?={_W})(?<!{_W}))[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}" + _E
+TRIAL_ID = rf"NCT(?<!{_W}NCT)[0-9]{{8}}" + _E
+CODE = rf"[A-Z](?<!{_W}[A-Z])[A-Z]+-[A-Z0-9-]{{2,}}" + _EDGE
 ENTITY_PATTERNS = [("url", URL), ("ftp", FTP), ("email", EMAIL), ("nct_id", TRIAL_ID), ("code", CODE)]
 
 
-def replace_matches(text: Column, pattern: str, kind: str, offset: Column) -> tuple[Column, Column]:
-    """(text with placeholders, array of (token, original, type)) for the matches of a pattern, numbered from offset + 1."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+#: Set around matches as they are found; a text that holds it is read twice instead.
+_MARK = "\x01"
+EMPTY_TOKENS = "array<struct<token:string,original:string,type:string>>"
+
+
+def replace_matches(text: Column, pattern: str, kind: str, offset: Column) -> Column:
+    """(text with placeholders, tokens: array of (token, original, type)) for the matches of a pattern, numbered from
+    offset + 1. A struct, so that its fields are read from one scan: give it a column of its own.
+
+    Matches are marked in one scan and cut out at the marks; a text without any is left as it is.
+    """
     name = lambda k: F.concat(F.lit(f"__{kind}_"), (k + 1 + offset).cast("string"), F.lit("__"))
-    tokens = F.transform(found, lambda m, k: F.struct(name(k).alias("token"), m.alias("original"), F.lit(kind.lower()).alias("type")))
-    joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda m, k: name(k)), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
-    return F.when(F.size(found) > 0, joined).otherwise(text), tokens
+    none = F.array().cast(EMPTY_TOKENS)
 
+    def swapped(gaps: Column, found: Column) -> Column:
+        tokens = F.transform(found, lambda m, k: F.struct(name(k).alias("token"), m.alias("original"), F.lit(kind.lower()).alias("type")))
+        joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda m, k: name(k)), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+        return F.struct(joined.alias("text"), tokens.alias("tokens"))
 
-EMPTY_TOKENS = "array<struct<token:string,original:string,type:string>>"
+    odd = lambda pieces, r: F.filter(pieces, lambda p, k: k % 2 == r)
+    unmarked = lambda x: F.struct(x.alias("text"), none.alias("tokens"))
+    by_marks = let(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), lambda x: F.when(F.contains(x, F.lit(_MARK)), let(F.split(x, _MARK, -1), lambda p: swapped(odd(p, 0), odd(p, 1)))).otherwise(unmarked(x)))
+    read_twice = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: F.when(F.size(f) > 0, swapped(F.split(text, pattern, -1), f)).otherwise(unmarked(text)))
+    return F.when(F.contains(text, F.lit(_MARK)), read_twice).otherwise(by_marks)
 
 
 def protect_tags(df: DataFrame, col: str, out: str = "protected_text", tokens: str = "tag_tokens", pattern: str | None = None) -> DataFrame:
-    text, found = replace_matches(F.col(col), pattern or INLINE_TAG, "TAG", F.lit(0))
-    return df.withColumns({out: text, tokens: F.coalesce(found, F.array().cast(EMPTY_TOKENS))})
+    df = df.withColumn("_m", replace_matches(F.col(col), pattern or INLINE_TAG, "TAG", F.lit(0)))
+    return df.withColumns({out: F.col("_m.text"), tokens: F.col("_m.tokens")}).drop("_m")
 
 
 def protect_entities(df: DataFrame, col: str, out: str = "protected_text", tokens: str = "entity_tokens", patterns: list[tuple[str, str]] = ENTITY_PATTERNS) -> DataFrame:
     """One pass for each pattern; numbers go on from pass to pass, so they follow the passes, not the text."""
     df = df.withColumns({"_t": F.col(col), "_k": F.array().cast(EMPTY_TOKENS)})
     for _, pattern in patterns:
-        text, found = replace_matches(F.col("_t"), pattern, "ENTITY", F.size("_k"))
-        df = df.withColumns({"_t2": text, "_k2": F.concat("_k", F.coalesce(found, F.array().cast(EMPTY_TOKENS)))}).drop("_t", "_k").withColumnsRenamed({"_t2": "_t", "_k2": "_k"})
-    return df.withColumns({out: F.col("_t"), tokens: F.col("_k")}).drop("_t", "_k")
+        df = df.withColumn("_m", replace_matches(F.col("_t"), pattern, "ENTITY", F.size("_k")))
+        df = df.withColumns({"_t": F.col("_m.text"), "_k": F.concat("_k", "_m.tokens")})
+    return df.withColumns({out: F.col("_t"), tokens: F.col("_k")}).drop("_t", "_k", "_m")
 
 
 def protect(df: DataFrame, col: str, patterns: list[tuple[str, str]] = ENTITY_PATTERNS, tags: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lingloom.functions import protect as P
 from lingloom.functions import text as T
 from lingloom.plans import views as V
 from lingloom.sources import files as S
@@ -37,3 +38,46 @@ def test_white_space_as_before(spark):
     df = spark.createDataFrame([(x,) for x in odd], "x string")
     old = T.trimmed(F.regexp_replace(F.regexp_replace("x", "<[^>]+>", ""), f"[{T.WS}]+", " "))
     assert df.where(~old.eqNullSafe(T.plain_text(F.col("x")))).count() == 0
+
+
+def test_white_space_without_intersected_classes(spark):
+    assert "&&" not in T.RUNS
+    every = [f"{a}{w}{b}" for w in T.WS_CHARS for a in ("x", "x ", "é", "") for b in ("y", " y", "é", "", f"{w} z")]
+    df = spark.createDataFrame([(x,) for x in every], "x string")
+    old = T.trimmed(F.regexp_replace("x", f"[{T.WS}]+", " "))
+    assert df.where(~old.eqNullSafe(T.plain_text(F.col("x")))).count() == 0
+
+
+def test_protection_scans_a_text_once_for_each_pattern(spark):
+    out = P.protect_entities(spark.createDataFrame([("a",)], "t string"), "t", patterns=[("own", "X[0-9]+")])
+    lines = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "X[0-9]+" in x]
+    assert len(lines) == 1 and lines[0].count("regexp_replace(") == 1 and lines[0].count("regexp_extract_all(") == 1  # the latter for texts with marks
+
+
+def test_protection_of_texts_with_marks(spark):
+    texts = ["", "X1", "aX1bX22", "\x01", "X1\x01X2", "\x01X3\x01", "$0 \\ X4"]
+    rows = P.protect_entities(spark.createDataFrame([(x,) for x in [*texts, None]], "t string"), "t", patterns=[("own", "X[0-9]+")]).collect()
+    for r in rows[:-1]:
+        assert [k["original"] for k in r["entity_tokens"]] == re.findall("X[0-9]+", r["t"])
+        want, n = r["t"], len(r["entity_tokens"])
+        for k in range(n):
+            want = re.sub("X[0-9]+", f"__ENTITY_{k + 1}__", want, count=1)
+        assert r["protected_text"] == want
+    assert rows[-1]["protected_text"] is None and rows[-1]["entity_tokens"] == []
+
+
+def test_entity_patterns_as_before(spark):
+    w, e = "[A-Za-z0-9_]", "(?![A-Za-z0-9_])"
+    edge = rf"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
+    old = {"email": edge + r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}" + e, "nct_id": rf"(?<!{w})NCT[0-9]{{8}}" + e, "code": rf"(?<!{w})[A-Z]{{2,}}-[A-Z0-9-]{{2,}}" + edge}
+    pieces = ["a", "+", ".", "_", "@", "b.co", "é", " ", "NCT00000042", "N", "AB-", "-X9", "B", "%", "-"]
+    df = spark.createDataFrame([(a + b + c + d,) for a in pieces for b in pieces for c in pieces for d in ("", "@c.org", "AB-C1", "NCT12345678_")], "x string")
+    for name, pattern in P.ENTITY_PATTERNS:
+        if name in old:
+            both = [F.regexp_extract_all("x", F.lit(p), F.lit(0)) for p in (pattern, old[name])]
+            assert df.where(~both[0].eqNullSafe(both[1])).count() == 0 and df.where(F.size(both[0]) > 0).count() > 9
+
+
+def test_pages_are_dealt_out_finely(spark):
+    pages = V.seg_page(spark, "/root/testdata/sf0.001")
+    assert pages.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
