@@ -81,3 +81,18 @@ def test_entity_patterns_as_before(spark):
 def test_pages_are_dealt_out_finely(spark):
     pages = V.seg_page(spark, "/root/testdata/sf0.001")
     assert pages.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_runs_and_edges_of_packages_as_before(spark):
+    assert "*?" not in S.RUN_TEXT and S.PARAGRAPH_EDGE.count("(?=") == 1
+    pieces = ["<w:p>", "<w:p w:id='1'>", "<w:p/>", "<w:pPr/>", "</w:p>", "<w:t>", '<w:t xml:space="preserve">', "<w:t/>", "</w:t>", "a", "\n", "<b>&amp;#65;</b>", "<w:tbl>"]
+    df = spark.createDataFrame([(a + b + c + d,) for a in pieces for b in pieces for c in pieces for d in pieces], "x string")
+    runs = [F.regexp_extract_all("x", F.lit(p), F.lit(1)) for p in (S.RUN_TEXT, r"<w:t(?:\s(?:[^>]*[^/>])?)?>((?s:.*?))</w:t>")]
+    cuts = [F.split("x", p, -1) for p in (S.PARAGRAPH_EDGE, r"(?=<w:p[\s>])|(?=</w:p>)")]
+    assert df.where(~runs[0].eqNullSafe(runs[1]) | ~cuts[0].eqNullSafe(cuts[1])).count() == 0 and df.where(F.size(runs[0]) > 0).count() > 99
+
+
+def test_runs_of_a_paragraph_are_read_once(spark):
+    out = S.docx_segments(spark.createDataFrame([("d", "<w:p><w:t>&amp;lt; &#65;</w:t><w:t>b</w:t></w:p><w:p><w:t> </w:t></w:p>")], "doc_id string, xml string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lambda") == 2  # the runs; references of a text with '&'
+    assert [r.source_text for r in out.collect()] == ["&lt; Ab"]
