@@ -96,3 +96,11 @@ def test_runs_of_a_paragraph_are_read_once(spark):
     out = S.docx_segments(spark.createDataFrame([("d", "<w:p><w:t>&amp;lt; &#65;</w:t><w:t>b</w:t></w:p><w:p><w:t> </w:t></w:p>")], "doc_id string, xml string"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lambda") == 2  # the runs; references of a text with '&'
     assert [r.source_text for r in out.collect()] == ["&lt; Ab"]
+
+
+def test_repetitions_clean_texts_by_the_fast_pattern(spark):
+    from lingloom.plans import queries_flow as Q
+
+    out = Q.j5_repetitions(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?=[^!-~])" in plan and "&&[" not in plan
