@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.completeness import with_completeness
 from ..functions.protect import protect
+from ..functions.text import classify_format
 from ..sources import files
+from ..sources.listing import list_files, open_files
 
 
 def stream_progress(results: DataFrame, key: str = "job_id") -> DataFrame:
@@ -49,38 +54,57 @@ def stream_progress_until_done(results: DataFrame, key: str = "job_id", expected
     return rows.groupBy(key).applyInPandasWithState(update, out, "total long, completed long, failed long, wanted long", "update", "NoTimeout" if abandoned_after_ms is None else "ProcessingTimeTimeout")
 
 
-def arriving_files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
-    """Files below a path as they arrive, with their bytes: the columns of read_files. Each is read once."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path)
-    return files.file_rows(stream)
+@dataclass
+class Arrivals:
+    """Files below a path, to be taken in so many at a time."""
 
+    spark: SparkSession
+    path: str
+    per_batch: int
 
-def ingest(arriving: DataFrame, home: str, checkpoint: str, max_bytes: int = files.MAX_BYTES) -> StreamingQuery:
-    """Arriving files as segments (home/segments), and those of another type, too large or unreadable with the reason
-    (home/quarantine); a micro-batch that is run again overwrites its own rows."""
+    def stream(self, log: str) -> DataFrame:
+        """(path, length) of the files, a stream of the lists that the log holds; files that it does not name yet are added, in
+        lists of at most per_batch. A file is told by its path, and named once. Tasks list the folder and compare, so what
+        the driver and the stream's own checkpoint hold grows with the lists, not with the files."""
+        schema = "path string, length long"
+        found, first = list_files(self.spark, self.path), False
+        try:
+            found = found.join(self.spark.read.schema(schema).parquet(log), "path", "left_anti")
+        except AnalysisException:
+            first = True
+        found = found.persist()
+        count = found.count()
+        if count or first:
+            lists = max(1, math.ceil(1.1 * count / self.per_batch))
+            found.repartition(lists).write.mode("append").option("maxRecordsPerFile", self.per_batch).parquet(log)
+        found.unpersist()
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(log)
+
+
+def arriving_files(spark: SparkSession, path: str, per_batch: int = 1000) -> Arrivals:
+    """Files below a path that pyarrow reaches, as they arrive; `ingest` takes each in once."""
+    return Arrivals(spark, path, per_batch)
+
+
+def ingest(arriving: Arrivals, home: str, checkpoint: str, max_bytes: int = files.MAX_BYTES) -> StreamingQuery:
+    """Arrived files as segments (home/segments), and those of another type, too large or unreadable with the reason
+    (home/quarantine); a micro-batch that is run again overwrites its own rows. The next call takes in what has arrived
+    since; what has been seen is in checkpoint/arrivals."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # four readers follow; each would open every file again
+        packages = not batch.where(classify_format(F.col("path")) == "docx").isEmpty()  # else no task asks Python for them
+        batch = files.file_rows(open_files(batch, max_bytes)).persist()  # its readers would open every file again
         accepted, rejected = files.split_acceptable(batch, max_bytes)
-        text = files.xliff_segments(files.xml_documents(accepted.where("source_format in ('xliff', 'mqxliff')")))
-        packages = files.docx_segments(files.unpacked(accepted.where("source_format = 'docx'")).where("xml is not null"))
-        bad = rejected.select("doc_id", "error_message").unionByName(files.scan_errors(accepted))
-        text.unionByName(packages).write.mode("overwrite").parquet(f"{home}/segments/micro_batch={number}")
-        bad.write.mode("overwrite").parquet(f"{home}/quarantine/micro_batch={number}")
+        segments = files.xliff_segments(files.xml_documents(accepted.where("source_format in ('xliff', 'mqxliff')")))
+        errors = files.text_errors(accepted)
+        if packages:
+            segments = segments.unionByName(files.docx_segments(files.unpacked(accepted.where("source_format = 'docx'")).where("xml is not null")))
+            errors = files.scan_errors(accepted)
+        segments.write.mode("overwrite").parquet(f"{home}/segments/micro_batch={number}")
+        rejected.select("doc_id", "error_message").unionByName(errors).write.mode("overwrite").parquet(f"{home}/quarantine/micro_batch={number}")
         batch.unpersist()
 
-    conf = arriving.sparkSession.conf
-    tasks = str(4 * arriving.sparkSession.sparkContext.defaultParallelism)
-    small = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks, "spark.sql.files.openCostInBytes": "256k"}
-    before = {k: conf.get(k) for k in small}
-    for k, v in small.items():  # a stream keeps what the session has when it starts; else a task would list one file and read 32
-        conf.set(k, v)
-    try:
-        return arriving.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
+    return arriving.stream(f"{checkpoint}/arrivals").writeStream.foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
 def stream_validate(segments: DataFrame, source: str = "source_text", target: str = "target_text") -> DataFrame:

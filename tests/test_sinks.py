@@ -102,3 +102,57 @@ def test_state_of_finished_jobs_goes(spark, tmp_path):
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 10
     out = jobs.latest(spark.read.parquet(str(tmp_path / "out")), ["job_id"]).collect()
     assert {r.job_id: (r.total, r.completed, r.failed, r.finished) for r in out} == {f"j{k}": (3, 2, 1, True) if k % 4 else (2, 1, 1, False) for k in range(40)}
+
+
+def test_the_driver_lists_and_moves_no_names(spark, tmp_path):
+    for k in range(7):
+        (tmp_path / "in" / f"{k % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"{k % 2}" / f"f{k} é.xliff").write_text(UNIT.format(k))
+    (tmp_path / "in" / "_staging-x").mkdir()
+    (tmp_path / "in" / "_staging-x" / "h.xliff").write_text("hidden")
+    (tmp_path / "in" / "x.XML").write_text("<x/>")
+    found = S.read_files(spark, str(tmp_path / "in"), S.PATTERNS["xliff"])
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", S.PATTERNS["xliff"]).load(str(tmp_path / "in"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, S.file_rows(plain).collect())) and found.count() == 8
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "in" / "late.xml").write_text("<x/>")
+    assert found.count() == 8  # as it was when it was read
+    assert not [f for f in sink.Written.__dataclass_fields__ if f == "names"]
+
+
+def test_a_list_of_arrivals_names_each_file_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    log, total = str(tmp_path / "log"), 0
+    for new in (0, 5, 0, 4):
+        for k in range(new):
+            (tmp_path / "in" / f"{total + k}.xml").write_text("<x/>")
+        total += new
+        jobs.arriving_files(spark, str(tmp_path / "in"), per_batch=2).stream(log)
+        rows = spark.read.parquet(log).select("path", F.input_file_name().alias("at")).collect()
+        assert len(rows) == len({r.path for r in rows}) == total
+    assert max(sum(r.at == x.at for r in rows) for x in rows) <= 2
+
+
+def test_tasks_that_go_on_cannot_bring_a_staging_folder_back(tmp_path):
+    w = sink.FileWriter(str(tmp_path)).begin()
+    store, root = sink.store_of(str(tmp_path))
+    w.abort([])
+    with pytest.raises(OSError):
+        store.create_dir(f"{w._staging(root)}/0-0", recursive=False)
+    assert os.listdir(tmp_path) == []
+
+
+def test_one_name_twice_in_a_task(spark, tmp_path):
+    df = spark.createDataFrame([("a", b"1"), ("a", b"2")], "name string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="two rows of one name"):
+        sink.write_files(df, str(tmp_path))
+    assert os.listdir(tmp_path) == []
+
+
+def test_globs_as_patterns():
+    import re
+
+    from lingloom.sources.listing import as_pattern
+
+    for glob, names, no in ((S.PATTERNS["docx"], ["a.docx", ".DOCX", "a.b.dOcX"], ["docx", "a.docxx"]), (S.PATTERNS["xliff"], ["a.XML", "b.mqxliff"], ["a.xm", "xml", "a.xmls"]), ("a?,[!b]*", ["ax,c", "a,,cd"], ["ax,b", "a,c"])):
+        assert all(re.fullmatch(as_pattern(glob), n) for n in names) and not any(re.fullmatch(as_pattern(glob), n) for n in no)
