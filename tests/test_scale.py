@@ -104,3 +104,47 @@ def test_repetitions_clean_texts_by_the_fast_pattern(spark):
     out = Q.j5_repetitions(spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "(?=[^!-~])" in plan and "&&[" not in plan
+
+
+def _odd_units() -> list[str]:
+    import random
+
+    chance = random.Random(5)
+    loose = ["<source>", "</source>", "<source/>", "<target>", "</target>", "<target/>", "<target state='a>b' />", "<alt-trans>", "</alt-trans>", "<m:e>" * 7, "</m:e>" * 7, "<sourcex>", "</x>", "x", "&amp; y", "<", "<!z>", "<?p?>", '<g id="1 > 0">', "</g>", "<n/>", "$1\\", "é\n"]
+    whole = ["<source>s</source>", "<target>t</target>", "<target/>", "<alt-trans><source>x</source><target>near</target></alt-trans>", "<note>n</note>", "\x03"]
+    body = lambda k: "".join(chance.choice(loose if chance.random() < (0.2, 0.9)[k % 2] else whole) for _ in range(chance.randint(0, 9)))
+    return [f"<trans-unit id='1'>{body(k)}</trans-unit>" for k in range(6000)] + ["<trans-unit/>", "<trans-unit a='/>'>" + "<a>" * 9 + "<target>t</target>" + "</a>" * 9 + "<source>s</source></trans-unit>"]
+
+
+def test_patterns_read_and_write_what_the_fold_does(spark):
+    df = spark.createDataFrame([(x,) for x in _odd_units()], "u string").persist()
+    u, value = F.col("u"), F.lit("V$1\\")
+    fold = S.own_children(u, lambda c: F.struct(S._within(c, c["at"]["sa"], c["at"]["sb"]).alias("source"), S._within(c, c["at"]["ta"], c["at"]["tb"]).alias("target")))
+    out = df.select(fold.alias("a"), S._own_texts(u).alias("b"), R._with_target(u, value).alias("c"), R._with_own_target(u, value).alias("d")).persist()
+    assert out.where("not (a <=> b) or not (c <=> d)").count() == 0
+    assert out.where("a.target <> ''").count() > 999 and out.where("c is null").count() > 999
+    by_pattern = df.where(F.regexp_like("u", F.concat(F.lit(S.UNIT_OPEN), F.lit(S._both_children()[1:]))))
+    assert by_pattern.count() > 499
+
+
+def test_units_as_before(spark):
+    old = S.UNIT_OPEN + r"(?:(?<=/>)|(?s:.*?)</trans-unit\s*>)"
+    texts = ["".join(_odd_units()[k : k + 3]) + "<trans-unit>open </trans-unitx> <trans-unit id='q'/>" for k in range(0, 900, 3)]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    both = [F.regexp_extract_all("x", F.lit(p), F.lit(0)) for p in (S.UNIT, old)]
+    assert ".*?" not in S.UNIT and df.where(~both[0].eqNullSafe(both[1])).count() == 0
+
+
+def test_what_is_not_markup_as_before(spark):
+    old = r"(?s:<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>)"
+    pieces = ["<!--", "-->", "<![CDATA[", "]]>", "<?", "?>", "a", "<!x>", "\n"]
+    df = spark.createDataFrame([(a + b + c + d,) for a in pieces for b in pieces for c in pieces for d in pieces], "x string")
+    cuts = [F.split("x", p, -1) for p in (T.NOT_MARKUP, old)]
+    assert T.NOT_MARKUP.count("<") == 1 and df.where(~cuts[0].eqNullSafe(cuts[1])).count() == 0
+
+
+def test_own_children_are_made_and_read_once(spark):
+    from lingloom.plans import queries_flow as Q
+
+    plan = Q.s1_k1_own_children(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and plan.count("alt-trans") == 0
