@@ -11,6 +11,7 @@ from ..functions.protect import protect_tags, token_texts
 from ..functions.text import failure_hint, is_blank, plain_text, xml_escape
 from ..operators import dimensions, metrics, segments, validate
 from ..sources import files, rewrite
+from ..sources.listing import list_files
 from ..sources.tables import default_glossary, shared_folder, with_user_terms
 from . import views as V
 
@@ -444,15 +445,15 @@ def k11_k9_export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = found.select("doc_id", (F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("long") % 10 == 9).alias("blocked"))
     home = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     sink.export_documents(found, own, done, home, F.lit("hi"), languages(spark), gates)
-    again = files.read_files(spark, home)
-    rows = files.xliff_segments(files.xml_documents(again)).groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("target_text").alias("translated"))
+    rows = files.xliff_segments(files.xml_documents(files.read_files(spark, home))).groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("target_text").alias("translated"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return again.select("doc_id", F.col("file_name").alias("name")).join(rows, "doc_id", "left").select("name", zero("segments"), zero("translated"))
+    there = list_files(spark, home).select(*files.named("path"))  # the names alone: no file is opened for them
+    return there.select("doc_id", F.col("file_name").alias("name")).join(rows, "doc_id", "left").select("name", zero("segments"), zero("translated"))
 
 
 def _translated_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as files of two extensions, their segments, and a translation of every second one."""
-    docs = _xliff_documents(spark, sf_dir)
+    docs = stored(_xliff_documents(spark, sf_dir), "documents")
     name = F.concat(F.lit("d"), "doc_id", F.when(F.col("doc_id").cast("long") % 2 == 0, ".xliff").otherwise(".MQXLIFF"))
     found = docs.select("doc_id", name.alias("file_name"), F.when(F.endswith(name, F.lit(".xliff")), "xliff").otherwise("mqxliff").alias("source_format"), F.length("xml").cast("long").alias("length"), F.col("xml").cast("binary").alias("content"))
     own = files.xliff_segments(docs)

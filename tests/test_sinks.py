@@ -156,3 +156,21 @@ def test_globs_as_patterns():
 
     for glob, names, no in ((S.PATTERNS["docx"], ["a.docx", ".DOCX", "a.b.dOcX"], ["docx", "a.docxx"]), (S.PATTERNS["xliff"], ["a.XML", "b.mqxliff"], ["a.xm", "xml", "a.xmls"]), ("a?,[!b]*", ["ax,c", "a,,cd"], ["ax,b", "a,c"])):
         assert all(re.fullmatch(as_pattern(glob), n) for n in names) and not any(re.fullmatch(as_pattern(glob), n) for n in no)
+
+
+def test_exported_files_are_opened_once_and_not_named_by_the_driver(spark, tmp_path):
+    import pickle
+
+    from lingloom.plans import queries_flow as Q
+
+    plan = Q.k11_k9_export_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and len([x for x in plan.splitlines() if "MapInArrow" in x and "content" in x]) == 1
+    w = sink.FileWriter(str(tmp_path)).begin()
+    store, root = sink.store_of(str(tmp_path))
+    store.create_dir(f"{w._staging(root)}/0-0", recursive=False)
+    for k in range(3000):
+        (tmp_path / f"_staging-{w.run}" / "0-0" / f"f{k}").touch()
+    message = sink.Written(f"{w._staging(root)}/0-0", 3000)
+    assert len(pickle.dumps(message)) < 500
+    w.commit([message, None])
+    assert len(os.listdir(tmp_path)) == 3000 and not [x for x in os.listdir(tmp_path) if x[0] == "_"]
